@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", **more: str) -> SparkSession:
     """A local session; on a cluster the caller's own session serves as it is."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -22,7 +22,7 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    return SparkSession.builder.master(master).appName("quillon").config(map=settings).getOrCreate()
+    return SparkSession.builder.master(master).appName("quillon").config(map=settings | {k.replace("__", "."): v for k, v in more.items()}).getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
