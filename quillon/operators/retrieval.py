@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import text as T
 from quillon.operators.blocks import in_blocks
+from quillon.session import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,7 +86,8 @@ def complete(head: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFram
 
 def walk(edges: DataFrame, start: DataFrame, direction: str = "descendants", depth: int = 10, relations: tuple[str, ...] = ("is_a", "part_of")) -> DataFrame:
     """start, node, depth: nodes within so many steps, each once at its least depth, without the start.
-    edges(parent, child, relation), start(start). A frontier at a time, so that paths aren't enumerated."""
+    edges(parent, child, relation), start(start). A frontier at a time, checkpointed, so that paths
+    aren't enumerated and plans stay small."""
     allowed = [r for r in relations if r in ("is_a", "part_of")]
     if depth < 0 or direction not in ("ancestors", "descendants"):
         raise ValueError("depth or direction")
@@ -94,7 +96,9 @@ def walk(edges: DataFrame, start: DataFrame, direction: str = "descendants", dep
     frontier = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     seen = frontier
     for d in range(1, depth + 1 if allowed else 1):
-        frontier = frontier.join(steps, "node").select("start", F.col("next").alias("node"), F.lit(d).alias("depth")).distinct().join(seen, ["start", "node"], "left_anti")
+        frontier = cut(frontier.join(steps, "node").select("start", F.col("next").alias("node"), F.lit(d).alias("depth")).distinct().join(seen, ["start", "node"], "left_anti"))
+        if not frontier.take(1):
+            break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").select("start", "node", "depth")
 
