@@ -54,6 +54,8 @@ class Ppm:
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
+        if not self.languages:
+            return
         seen = np.zeros(256, np.int64)
         joined = [np.frombuffer(b"".join(_START + t for t in sorted(texts[x])) or _START, np.uint8) for x in self.languages]
         for data in joined:
