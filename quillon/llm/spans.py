@@ -5,8 +5,9 @@ reach MIN_SENTENCES sentences and MIN_WORDS words; its words are hashed, in lowe
 all documents meet by hash; of equal ones the first, by doc_id and place, stays, and every sentence that another one
 covers is removed. Spans that overlap an earlier copy of themselves in one document count as repeated too.
 
-A hash is counted before it is joined: only hashes that occur twice are joined with the spans, so that a line which a
-third of all documents hold is one row on the small side, and its many rows are split by Spark's skew handling.
+A hash is counted, in part where its spans are, before it is joined: only hashes that occur twice are. A hash with more
+than a HOT-th of all spans is sent to the spans, of which there are HOT at most, so that a line which a third of all
+documents hold is never gathered; the others are joined by a shuffle.
 
 Null and empty texts have no sentence and stay as they are. Rows with equal doc_id and text count as one document; a row
 without a doc_id comes after all others. Other columns are not read; empty tables give empty results.
@@ -22,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, doc_texts, materialize, maybe_among, with_keys
+from quillon.llm.common import arrow_map, doc_texts, materialize, maybe_among
 
-MIN_SENTENCES, MIN_WORDS = 2, 16
+MIN_SENTENCES, MIN_WORDS, HOT = 2, 16, 1000
 _SENTENCE = re.compile(r"[^.!?;:\n]*[.!?;:\n]+|[^.!?;:\n]+\Z")
 
 
@@ -70,9 +71,13 @@ def repeated(documents: DataFrame, min_sentences: int = MIN_SENTENCES, min_words
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "doc_id", "doc_key", "a", "b"])
 
     found = materialize(arrow_map(docs, run, "h long, doc_id long, doc_key long, a int, b int"), "spans")
-    firsts = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc_key", "a")).alias("first")).where("n > 1").select("h", "first")
-    firsts = materialize(firsts, "firsts")
-    later = with_keys(found, firsts.select("h"), "h").join(firsts, "h").where("struct(doc_id, doc_key, a) <> first")
+    firsts = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc_key", "a")).alias("first")).where("n > 1")
+    firsts = materialize(firsts.select("h", "n", "first"), "firsts")
+    # at most HOT hashes can have more than a HOT-th of all spans; they are sent to the spans, the others are shuffled
+    often = max(HOT, found.count() // HOT)
+    hot, cold = F.broadcast(firsts.where(F.col("n") > often).drop("n")), firsts.where(F.col("n") <= often).drop("n")
+    rest = maybe_among(found.join(hot.select("h"), "h", "left_anti"), cold.select("h"), "h").where("maybe").drop("maybe")
+    later = found.join(hot, "h").unionByName(rest.join(cold, "h")).where("struct(doc_id, doc_key, a) <> first")
     return later.select("doc_key", "a", "b")
 
 
