@@ -1,9 +1,12 @@
 """Repeated passages by sliding spans of sentences.
 
-Sentences end at . ! ? ; : or a line break. From each sentence a span runs over as many following ones as it takes to
-reach MIN_SENTENCES sentences and MIN_WORDS words; its words are hashed, in lower case, with single spaces. All spans of
-all documents meet by hash; of equal ones the first, by doc_id and place, stays, and every sentence that another one
-covers is removed. Spans that overlap an earlier copy of themselves in one document count as repeated too.
+Sentences end at . ! ? ; : or a line break. A run of sentences is long enough with MIN_SENTENCES sentences and MIN_WORDS
+words, or with LONG_WORDS words in whatever sentences. Spans are the shortest such runs from each sentence on and the
+shortest ones up to each sentence, and the whole text if it is shorter; their words are hashed, in lower case, with single
+spaces. Whatever run repeats, each of its sentences is in a span inside the run, the last ones too. All spans of all
+documents meet by hash; of equal ones the first, by doc_id and place, stays, and every sentence that another one covers is
+removed. Spans that overlap an earlier copy of themselves in one document count as repeated too. The part of a passage
+that lies in a sentence which begins or ends outside it stays.
 
 A hash is counted, in part where its spans are, before it is joined: only hashes that occur twice are. A hash with more
 than a HOT-th of all spans is sent to the spans, of which there are HOT at most, so that a line which a third of all
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, doc_texts, materialize, maybe_among
 
-MIN_SENTENCES, MIN_WORDS, HOT = 2, 16, 1000
+MIN_SENTENCES, MIN_WORDS, LONG_WORDS, HOT = 2, 16, 32, 1000
 _SENTENCE = re.compile(r"[^.!?;:\n]*[.!?;:\n]+|[^.!?;:\n]+\Z")
 
 
@@ -39,16 +42,27 @@ def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
     found = [(i, s.lower().encode().split()) for i, s in enumerate(sentences(text))]
     found = [(i, w) for i, w in found if w]
     out, end, held = [], 0, 0
-    for k, (i, w) in enumerate(found):
-        if end <= k:
-            end, held = k, 0
-        while end < len(found) and (held < min_words or end - k < min_sentences):
+
+    def add(k: int, end: int) -> None:
+        joined = b" ".join(x for _, ws in found[k:end] for x in ws)
+        out.append((xxhash.xxh3_64_intdigest(joined) - (1 << 63), found[k][0], found[end - 1][0] + 1))
+
+    def short(k: int) -> bool:
+        return (held < min_words or end - k < min_sentences) and held < max(min_words, LONG_WORDS)
+
+    for k, (_, w) in enumerate(found):
+        before = end
+        while end < len(found) and short(k):
             held += len(found[end][1])
             end += 1
-        if held < min_words or end - k < min_sentences:
+        if k:  # the shortest runs up to the ends that no span from a sentence on reaches
+            for e in range(before + 1, len(found) + 1 if short(k) else end):
+                add(k - 1, e)
+        if short(k):
+            if not k and found:
+                add(0, len(found))
             break
-        joined = b" ".join(x for _, ws in found[k:end] for x in ws)
-        out.append((xxhash.xxh3_64_intdigest(joined) - (1 << 63), i, found[end - 1][0] + 1))
+        add(k, end)
         held -= len(w)
     return out
 

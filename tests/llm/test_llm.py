@@ -229,6 +229,26 @@ def test_spans(spark, none):
     assert all("".join(spans.sentences(t)) == t for t in ("a. b", "...", "a\n\nb!", " x ; y"))
 
 
+def test_spans_reach_all_of_a_repeated_run(spark):
+    def sentence(n, tag):
+        return " ".join(f"{tag}{i}" for i in range(n)) + ". "
+
+    for _ in range(300):  # each sentence of each run that is long enough is in a span inside the run
+        sizes = [random.choice((1, 3, 8, 15, 20, 40)) for _ in range(random.randint(1, 8))]
+        found = [(a, b) for _, a, b in spans.spans("".join(sentence(n, f"s{i}x") for i, n in enumerate(sizes)))]
+        assert len(found) == len(set(found))
+        for a in range(len(sizes)):
+            for b in range(a + 1, len(sizes) + 1):
+                if (b - a >= 2 and sum(sizes[a:b]) >= 16) or sum(sizes[a:b]) >= 32:
+                    assert set().union(*(range(x, y) for x, y in found if a <= x and y <= b)) == set(range(a, b))
+    run = sentence(12, "a") + sentence(12, "b") + sentence(3, "c")
+    long = sentence(40, "l")
+    rows = [(1, run + sentence(9, "d")), (2, run + sentence(9, "e")), (3, run), (4, long + sentence(5, "f")), (5, long + sentence(5, "g")), (6, "Too short."), (7, "Too short."), (8, "Too short. No."), (9, " \n")]
+    got = by_id(spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert [got[i][0].strip() for i in (2, 3, 5, 7)] == [sentence(9, "e").strip(), "", sentence(5, "g").strip(), ""]
+    assert all(got[i] == (t,) for i, t in rows if i in (1, 4, 6, 8, 9))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(25, 16))
