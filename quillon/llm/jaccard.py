@@ -10,11 +10,13 @@ two to a byte (16 MB at every size of input); any order gives the same links. Eq
 from the start. Within a bucket of documents that share a prefix token, each is first compared with the bucket's centre,
 the one in which the token comes earliest; what that links needs no further comparison, so that a group of thousands of
 copies costs about one comparison each. Then documents of one bucket that are not in one group yet are compared in pairs.
-No partner is left out, and all links between groups are verified from the texts.
+No partner is left out, and all links between groups are verified from the texts. Last, the links of each document are
+counted: as links never leave a group, all pairs of a group are compared, block against block of at most about BLOCK sets,
+and only counts leave a comparison of blocks.
 
 Words are lower-cased (A-Z) runs of `[^\\x20\\x09-\\x0D]`. With fewer words than a shingle has, all words make one token;
 a text without words (or null) is empty and links with nothing. Tokens are 64-bit hashes; sets are told apart by 64-bit
-hashes of all their tokens. A row without a doc_id gets its set's size and no component. Repeated rows give repeated
+hashes of all their tokens. A row without a doc_id gets its set's size and no component, and is no other's link. Repeated rows give repeated
 results; empty tables empty ones; other columns are not read.
 """
 
@@ -36,6 +38,7 @@ from quillon.llm.common import arrow_map, components, doc_texts, materialize, wi
 
 WORDS, PERCENT = 5, 75
 SKETCH_BITS, CHUNKS = 25, 64
+BLOCK = 1024
 _CHUNK = (1 << SKETCH_BITS) // CHUNKS
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: Seeds of the further orders.
@@ -197,13 +200,79 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words: int = WO
     return arrow_map(both, run, "a long, b long").distinct()
 
 
+def _count_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int) -> dict[int, int]:
+    """How many documents each set links with, of two blocks (key, copies, tokens), or of one if right is None."""
+    left = sorted(left, key=lambda x: len(x[2]))
+    other = left if right is None else sorted(right, key=lambda x: len(x[2]))
+    sets = left if right is None else left + other
+    ids = np.unique(np.concatenate([x[2] for x in sets]), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum([0] + [len(x[2]) for x in sets])
+    first = 0 if right is None else len(left)
+    starts, sizes = ends[first:], np.diff(ends[first:])
+    copies, links = np.array([x[1] for x in other], np.int64), np.zeros(len(sets), np.int64)
+    mark = np.zeros(len(ids), np.int32)
+    for i, (_, own, tokens) in enumerate(left):
+        n = len(tokens)
+        lo = max(int(np.searchsorted(sizes, -(-percent * n // 100))), i + 1 if right is None else 0)
+        hi = int(np.searchsorted(sizes, 100 * n // percent, "right"))
+        if lo < hi:
+            mine = ids[ends[i] : ends[i + 1]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])
+            mark[mine] = 0
+            found = 100 * common.astype(np.int64) >= percent * (n + sizes[lo:hi] - common)
+            links[i] += copies[lo:hi][found].sum()
+            links[first + lo : first + hi][found] += own
+    return {x[0]: int(c) for x, c in zip(sets, links, strict=True) if c}
+
+
+def degrees(groups: DataFrame, owners: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """key and n_links, how many documents have another set that links with it. groups: key, component; owners: key, a
+    doc_id and the number of copies."""
+    blocks = groups.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("of"))
+    members = groups.join(blocks, "component").join(owners, "key").withColumn("block", F.expr("cast(pmod(xxhash64(key), of) as int)"))
+    members = materialize(members.select("doc_id", "key", "copies", "component", "of", "block"), "members")
+    texts = with_keys(docs, members.select("doc_id").distinct(), "doc_id").join(members, "doc_id")
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            real = [_key(t) == key for t, key in zip(tokens, batch.column("key").to_pylist(), strict=True)]  # or another text under a repeated doc_id
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([t.tobytes() for t in tokens], pa.binary())], [*names, "tokens"]).filter(pa.array(real, pa.bool_()))
+
+    names = ["key", "copies", "component", "of", "block"]
+    sets = materialize(arrow_map(texts.select(*names, "text"), tokenize, "key long, copies long, component long, of int, block int, tokens binary"), "sets")
+    met = sets.withColumn("with", F.explode(F.expr("sequence(0, of - 1)"))).selectExpr("component", "least(block, `with`) lo", "greatest(block, `with`) hi", "block", "key", "copies", "tokens")
+    columns = met.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            parts = [[(key, *x) for key, x in of.items()] for of in held.values()]
+            links = _count_links(parts[0], parts[1] if len(parts) > 1 else None, percent) if len(parts) > 1 or at[1] == at[2] else {}
+            return pa.RecordBatch.from_arrays([pa.array(links, pa.int64()), pa.array(links.values(), pa.int64())], ["key", "n_links"])
+
+        at, held = None, {}
+        for batch in batches:
+            for *now, block, key, copies, tokens in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if now != at:
+                    if held:
+                        yield counted()
+                    at, held = now, {}
+                held.setdefault(block, {})[key] = copies, np.frombuffer(tokens, np.uint64)
+        if held:
+            yield counted()
+
+    met_sorted = met.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return arrow_map(met_sorted, run, "key long, n_links long").groupBy("key").agg(F.sum("n_links").alias("n_links"))
+
+
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row, and n_links: how many other classes of equal sets were compared
-    with success (centres first), by which the component hangs together."""
+    """doc_id, n_shingles, component_id for every row, and n_links: with how many other documents it links, copies too."""
     docs = doc_texts(documents, id_col, text_col)
     first = materialize(signatures(docs, words), "signatures")
     rows = first.where("chunk is null").select("doc_id", "n", "key")
-    owners = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    owners = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"))
+    owners = materialize(owners, "owners")
     sets = prefixes(docs, rarity(first.where("chunk is not null")), words, percent).groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"))
     posted = sets.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "key", "n", F.col("t.places").alias("place"))
     bucket = Window.partitionBy("token")
@@ -211,7 +280,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     posted = materialize(posted, "posted")
 
     stars = posted.where(f"key <> c_key and {_can_link('n', 'place', 'c_n', 'c_place', percent)}").selectExpr("least(key, c_key) a", "greatest(key, c_key) b").distinct()
-    linked = materialize(verify(stars, docs, owners, words, percent), "links")
+    linked = materialize(verify(stars, docs, owners.drop("copies"), words, percent), "links")
     label = components(linked).withColumnsRenamed({"node": "key", "component": "label"})
 
     grouped = posted.select("token", "key", "n", "place").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -220,13 +289,15 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     other = mixed.where("not is_main").drop("is_main")
     other = other.withColumnsRenamed({c: f"o_{c}" for c in other.columns if c != "token"})
     crossed = other.join(mixed, "token").where(f"label <> o_label and (is_main or o_key < key) and {_can_link('o_n', 'o_place', 'n', 'place', percent)}").selectExpr("least(key, o_key) a", "greatest(key, o_key) b").distinct()
-    links = materialize(linked.union(verify(crossed, docs, owners, words, percent)).distinct(), "links")
-
-    groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    placed = rows.where("n > 0").join(groups.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = placed.join(degree, "key", "left")
+    links = materialize(linked.union(verify(crossed, docs, owners.drop("copies"), words, percent)).distinct(), "links")
+
+    groups = components(links).withColumnRenamed("node", "key")
+    degree = degrees(groups, owners, docs, words, percent)
+    classes = owners.join(groups, "key", "left").join(degree, "key", "left").select("key", "component", (F.col("copies") + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    classes = materialize(classes, "classes")
+    placed = rows.where("n > 0").join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = placed.withColumn("n_links", F.coalesce("n_links", F.lit(0)) - F.col("doc_id").isNotNull().cast("long"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    full = placed.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    full = placed.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.union(empty)

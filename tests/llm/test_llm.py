@@ -92,6 +92,21 @@ def test_jaccard(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    words = prose(80).split()
+    near = [" ".join([*words[:i], "edit", *words[i + 1 :]]) for i in range(0, 80, 2)]
+    chain = [" ".join(words[i : i + 60]) for i in range(0, 21, 2)]
+    rows = list(enumerate([*near, *chain, near[3], near[3], "alone", "alone", "lonely", None]))
+    sets = [shingle_set(t) for _, t in rows]
+    want = {i: (sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)),) for i, a in enumerate(sets)}
+    assert want[0][0] == 41 and len(set(want.values())) > 5
+    df = spark.createDataFrame([*rows, rows[3], (None, near[3])], "doc_id long, text string")
+    for block in (jaccard.BLOCK, 7):  # 7: several blocks in a group
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        out = jaccard.near_duplicates(df)
+        assert out.count() == len(rows) + 2 and {i: v for i, v in by_id(out, "n_links").items() if i is not None} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
