@@ -2,8 +2,8 @@
 
 Regular expressions propose spans, checks confirm them (Luhn for cards, mod 97 for IBANs, ranges for addresses and
 digit counts), and words before a span change its score. Four kinds have fixed rules and are kept whenever these hold
-(the base). Further kinds (iban, ssn, tel) are kept if their score reaches KEEP_AT: a valid IBAN does so by itself, the
-two others only with a fitting word in the CONTEXT characters before them.
+(the base). Further kinds (iban, ssn, tel) are kept if their score reaches KEEP_AT: a valid IBAN (as long as its country's
+are) does so by itself, the two others only with a fitting word in the CONTEXT characters before them.
 
 Places are code points, ends exclusive; matches of one kind don't overlap, and a match that fails its check is dropped
 without another try. A null text counts as empty; an empty text has no spans. Expressions are written so that time is
@@ -20,6 +20,14 @@ CONTEXT, KEEP_AT = 40, 0.6
 #: Digits that fill an address part: 0 to 255 with leading zeros.
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Lengths of IBANs by country, those of the registry and the known ones outside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE GG IE IM JE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 #: kind: (a cheap test that a text may hold one, the expression). Possessive forms match what greedy ones would.
 BASE = {
     "email": ("@", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -28,9 +36,9 @@ BASE = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 ADDED = {
-    "iban": (r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    "iban": (r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "tel": (r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+()\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
+    "tel": (r"[0-9]{3}(?:\)?[\x20.-]|\))[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+])(?<![0-9][\x20.-])(?<![0-9]\()(?<![0-9][\x20.-]\()(?:1[\x20.-])?(?:\([0-9]{3}\)[\x20.-]?|\(?[0-9]{3}\)?[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
 #: kind: (score without context, what a context word adds, context words)
 SCORES = {

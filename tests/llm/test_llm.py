@@ -138,6 +138,19 @@ def test_pii(spark):
     assert by_id(pii.redact(more), "redacted") == {1: ("IBAN [IBAN], ssn [SSN]",), 2: ("DE89 3704 0044 0532 0130 01",), 3: (None,)}
 
 
+def test_pii_in_sentences(spark):
+    iban = "DE89370400440532013000"
+    texts = {
+        f"{iban} The bank": "[IBAN] The bank", f"to {iban} BIC COBADEFFXXX": "to [IBAN] BIC COBADEFFXXX", f"Send {iban} EUR 50": "Send [IBAN] EUR 50",
+        "GB29 NWBK 6016 1331 9268 19 I pay": "[IBAN] I pay", "NO93 8601 1117 947 AND": "[IBAN] AND", "IT60X0542811101000000123456 UND": "[IBAN] UND", "GR1601101250000000012300695 A": "[IBAN] A", f"{iban[:-1]}1 The": f"{iban[:-1]}1 The", f"{iban}X": f"{iban}X",
+        "call 555-123-4567": "call [TEL]", "phone: (555) 123-4567.": "phone: [TEL].", "phone (555)123-4567": "phone [TEL]", "fax (555-123-4567)": "fax [TEL])", "tel:555-123-4567": "tel:[TEL]",
+        "call 1-555-123-4567 now": "call [TEL] now", "call +1 (555) 123-4567": "call [PHONE]", "call 12 555-123-4567": "call 12 555-123-4567", "call 9-555-123-4567": "call 9-555-123-4567", "see 555-123-4567": "see 555-123-4567",
+    }
+    assert not set(pii.IBAN_LENGTHS) - set(range(15, 35)) and max(Counter(" ".join(pii.IBAN_LENGTHS.values()).split()).values()) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(pii.redact(df), "redacted") == {i: (t,) for i, t in enumerate(texts.values())}
+
+
 def test_quality(spark, none):
     good = [prose(random.randint(20, 200)) for _ in range(150)]
     bad = [" ".join(w + random.choice(["$$$", "***"]) for w in prose(60).split()) for _ in range(70)] + ["spam " * random.randint(20, 90) for _ in range(70)]
