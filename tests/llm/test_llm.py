@@ -210,6 +210,23 @@ def test_html(spark):
     assert same >= 36
 
 
+def test_html_drops_only_scripts_and_styles():
+    def blocks(source):
+        return [t for _, t in html.Page(source).blocks]
+
+    for icon in ("<svg class='i'/>", "<svg/>", "<math/>", "<svg><text>no</text></svg>"):
+        assert blocks(f"<p>One {icon}two.</p><p>Three.</p><svg></svg>") == ["One two.", "Three."]
+    for name in ("noscript", "template", "iframe", "object", "textarea", "svg", "math", "title"):
+        assert blocks(f"<div>One <{name}>two.</div><p>Three.</p>") in (["One two.", "Three."], ["One", "two.", "Three."])
+        assert blocks(f"<p>One</p><{name} /><p>Two.</p><{name}></{name}><p>Three.</p>") == ["One", "Two.", "Three."]
+    for name in ("iframe", "textarea", "svg"):
+        assert blocks(f"<p>One</p><{name}><p>Two.</p><{name}>no</{name}><p>Three.</p>") == ["One", "Two.", "Three."]
+    for name in ("noscript", "template", "object"):
+        assert blocks(f"<p>One.</p><{name}>Two.</{name}><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert blocks("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == ["So x=1 holds."]
+    assert blocks("<title>T</title><p>One<script>no<p>no</script><style>no") == ["One"]
+
+
 def code_length(train, text):
     start = b"\n\n\n"
     data, seen = b"".join(start + t for t in sorted(train)), Counter()
