@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 documents (the last one returns token digests). run() writes each stage's rows as Parquet in the shared folder and reads
 them again for the next.
 
-- language: texts without a letter, or null, go; a missing lang is filled with the predicted one.
+- language: texts whose language the operator does not tell (null or without a letter) go; a missing lang is filled with the predicted one.
 - near_duplicates: of each group of linked documents the one with the smallest doc_id stays. Repeated rows of that
   doc_id stay once. Documents without words are in no group, and stay.
 - decontamination: documents that hold a benchmark item's question and answer go.
@@ -24,10 +24,11 @@ from quillon.llm.common import crc_mod, materialize
 
 def _by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.Ppm(language.sample_by_language(docs, crc_mod(F.col("doc_id"), 4) != 2))
-    found = language.identify(docs, model).groupBy("doc_id").agg(F.max("lang_pred").alias("lang_pred"))
-    kept = docs.where(F.col("text").rlike(r"\p{L}"))
-    missing = kept.where("lang is null").join(found, "doc_id", "left").withColumn("lang", F.when(F.col("lang_pred") != language.UNKNOWN, F.col("lang_pred"))).select(docs.columns)
-    return kept.where("lang is not null").unionByName(missing)
+    found = language.identify(docs, model, keep=docs.columns)
+    known = F.col("lang_pred") != language.UNKNOWN
+    # without a training language the operator tells nothing
+    kept = found.where(known if model.languages else F.col("text").rlike(r"\p{L}"))
+    return kept.withColumn("lang", F.coalesce("lang", F.when(known, F.col("lang_pred")))).select(docs.columns)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,13 +16,14 @@ results and repeated rows repeated ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import arrow_map, doc_texts, hash_share
 
@@ -139,14 +140,14 @@ class Ppm:
         return out
 
 
-def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id (or the columns `keep`, with the text among them), lang_pred, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             real = [i for i, t in enumerate(texts) if t and ppm and ppm.languages and _LETTER.search(t)]
             if real:
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_co
                 sure = 1 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
                 for i, k, s in zip(real, best, sure, strict=True):
                     lang[i], score[i] = ppm.languages[k], float(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*out, "lang_pred", "score"])
 
-    return arrow_map(doc_texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
+    rows, text, out = (docs.select(*keep), text_col, list(keep)) if keep else (doc_texts(docs, id_col, text_col), "text", ["doc_id"])
+    return arrow_map(rows, run, T.StructType([*(rows.schema[c] for c in out), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -340,6 +340,21 @@ def test_lattice(docs, none):
     assert lattice.score(none, F.lit(True), path).count() == 0
 
 
+def test_pipeline_language(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(1, "the lamp", None), (1, "12 !?", "en"), (2, None, "en"), (3, "und der Stein", "de"), (4, "the lamp and the stone", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline._by_language(spark, df, "")
+    assert out.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "the lamp"), (3, "und der Stein"), (4, "the lamp and the stone")]
+    assert all(r["lang"] for r in out.collect())
+    assert sorted(r["doc_id"] for r in corpus_pipeline._by_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()) == [1, 3, 4]
+    # the verdict is the operator's
+    real = language.identify
+    monkeypatch.setattr(language, "identify", lambda *a, **k: real(*a, **k).withColumn("lang_pred", F.when(F.col("text") == "the lamp", language.UNKNOWN).otherwise(F.col("lang_pred"))))
+    assert sorted(r["doc_id"] for r in corpus_pipeline._by_language(spark, df, "").collect()) == [3, 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
