@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, materialize
 
-SHIFT, ROUNDS, KNOWN, FLUSH, LONGEST = 2.7, 1, 200_000, 200_000, 16
+SHIFT, ROUNDS, KNOWN, FLUSH = 2.7, 1, 200_000, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -1e30
 
@@ -44,7 +44,7 @@ class Pieces:
         for i in range(p.get_piece_size()):
             if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)):
                 raw = p.id_to_piece(i).replace("▁", " ").encode().translate(_LOWER)
-                if 0 < len(raw) <= LONGEST and b" " not in raw[1:]:
+                if raw and b" " not in raw[1:]:
                     start[raw] = max(start.get(raw, 0.0), 1 / (SHIFT - min(0.0, p.get_score(i))))
         self.pieces = sorted(start)
         weights = np.array([start[x] for x in self.pieces])

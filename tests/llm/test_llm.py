@@ -340,6 +340,11 @@ def test_lattice(docs, none):
     assert lattice.score(none, F.lit(True), path).count() == 0
 
 
+def test_lattice_has_long_pieces():
+    m = lattice.Pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
+    assert " является".encode() in m.pieces and m.longest == max(map(len, m.pieces)) > 16
+
+
 def test_pipeline_language(spark, monkeypatch):
     import corpus_pipeline
 
