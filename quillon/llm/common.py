@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share; a temporary one only where the session is local and names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return context.getCheckpointDir()
 
@@ -41,10 +43,43 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = 256) -> DataFrame:
-    """mapInArrow over batches of few rows, so that long texts stay within a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+ArrowStep = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def arrow_map(df: DataFrame, fn: ArrowStep, schema: str | T.StructType, rows: int = 256, size: int = 1 << 20) -> DataFrame:
+    """mapInArrow whose function sees slices of at most `rows` rows and about `size` bytes (a longer row comes alone, or
+    with few others). Spark bounds what it sends at once by spark.sql.execution.arrow.maxBytesPerBatch; no setting of the
+    session is changed."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(cut(batches))
+
+    return df.mapInArrow(run, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Of batches sorted by some columns, the rows of each run of equal values there, as one table."""
+    held: list[pa.RecordBatch] = []
+    now: tuple = ()
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        borders = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for lo, hi in zip(borders, borders[1:], strict=False):
+            if lo == hi:
+                continue
+            if held and keys[lo] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)
 
 
 def doc_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

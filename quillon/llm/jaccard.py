@@ -1,59 +1,54 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles, under several global token orders.
 
 Two sets of n and m tokens whose similarity is t or more share, under any one order of all tokens, one of the first
-n - ceil(t n) + 1 tokens of the one with one of the other's. Under the first order, rare tokens first, these prefixes are
-joined: a pair must also agree in size and in what can follow the shared places. Under two further orders, by hashes, the
-prefixes must meet again; only pairs that pass all three are compared in full.
-
-Rarity comes from a sketch of 2^25 counters over all documents, of which the driver and the executors hold doublings,
-two to a byte (16 MB at every size of input); any order gives the same links. Equal sets are one class
-from the start. Within a bucket of documents that share a prefix token, each is first compared with the bucket's centre,
-the one in which the token comes earliest; what that links needs no further comparison, so that a group of thousands of
-copies costs about one comparison each. Then documents of one bucket that are not in one group yet are compared in pairs.
-No partner is left out, and all links between groups are verified from the texts. Last, the links of each document are
-counted: as links never leave a group, all pairs of a group are compared, block against block of at most about BLOCK sets,
-and only counts leave a comparison of blocks.
+n - ceil(t n) + 1 tokens of the one with one of the other's; and of prefixes that are SHARE-ths of the sets longer, they
+share max(n, m) / SHARE tokens. Three orders are used, and a pair must pass all of them before it is compared in full:
+
+1. By the tokens' hashes: a set too few of whose prefix tokens occur in another set's prefix has no partner.
+2. Among the sets left, rarest tokens first, by exact counts: prefix tokens that two sets have put both into a bucket.
+   A set most of whose tokens are its own has no such token, and no bucket holds a common passage's sets together.
+3. By a second hash: the prefixes of a pair from one bucket, under this order and the first, must meet as well.
+
+Counts are exact and take no table that one process holds: each task hands in its distinct tokens in lots, packed, to the
+shard of their hash, and the shards answer lots. A token costs a shard one entry a lot, however many sets have it.
+
+Equal sets are one class from the start. Within a bucket each set is first compared with one centre; what that links
+needs no further comparison, so that a group of thousands of copies costs about one comparison each. Then sets of one
+bucket that are not in one group yet are compared in pairs. No partner is left out. Last, the links of each document are
+counted: as links never leave a group, all pairs of a group are compared, block against block of at most about BLOCK
+sets, and only counts leave a comparison of blocks.
 
 Words are lower-cased (A-Z) runs of `[^\\x20\\x09-\\x0D]`. With fewer words than a shingle has, all words make one token;
 a text without words (or null) is empty and links with nothing. Tokens are 64-bit hashes; sets are told apart by 64-bit
-hashes of all their tokens. A row without a doc_id gets its set's size and no component, and is no other's link. Repeated rows give repeated
-results; empty tables empty ones; other columns are not read.
+hashes of all their tokens. A row without a doc_id gets its set's size and no component, and is no other's link. Repeated
+rows give repeated results; rows of one doc_id with different texts have each its own class; empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-from quillon.llm.common import arrow_map, components, doc_texts, materialize, with_keys
 
-WORDS, PERCENT = 5, 75
-SKETCH_BITS, CHUNKS = 25, 64
-BLOCK = 1024
-_CHUNK = (1 << SKETCH_BITS) // CHUNKS
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Seeds of the further orders.
-_ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+from quillon.llm.common import arrow_map, components, discard, doc_texts, materialize, runs, with_keys
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
+WORDS, PERCENT, SHARE = 5, 75, 20
+#: Tokens of a lot, shards for each shuffle partition, members that meet a centre at once, sets of a block.
+LOT, SHARDS, MEET, BLOCK = 1_000_000, 4, 256, 1024
+_CHUNK = 1 << 20
+_ODD = np.array(
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],
+    np.uint64,
+)
+#: Seed of the second hash order.
+_SECOND = np.uint64(0x1F83D9ABFB41BD6B)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,154 +57,374 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    each = np.array([_hashes[w] for w in found], np.uint64)
-    k = min(words, len(each))
+_BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD[0])
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_powers = np.empty(0, np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2^64."""
+    global _powers
+    if n > len(_powers):
+        out = np.full(2 * n, _ODD[1], np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > _CHUNK:  # for one monstrous word; not kept
+            return out
+        _powers = out
+    return _powers
+
+
+def _word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of the words; a word ends at white space and at each of the borders."""
+    inside = np.flatnonzero(~_SPACE[data])
+    if not len(inside):
+        return np.empty(0, np.uint64), inside
+    new = np.ones(len(inside), bool)
+    new[1:] = np.diff(inside) != 1
+    ends = np.zeros(len(data) + 1, bool)
+    ends[borders] = True
+    first = np.flatnonzero(new | ends[inside])
+    sizes = np.diff(first, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    total = np.add.reduceat(_BYTE[data[inside]] * _power(int(sizes.max()))[place], first)
+    return _mix(total + sizes.astype(np.uint64) * _ODD[2]), inside[first]
+
+
+def _windows(each: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
     total = np.zeros(len(each) - k + 1, np.uint64)
     for i in range(k):
         total += each[i : len(each) - k + 1 + i] * _ODD[i % 8] ^ np.uint64(i + 1)
-    return np.unique(_mix(total + np.uint64(k)))
+    return _mix(total + np.uint64(k))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingle hashes."""
+    if not len(texts):
+        return
+    texts = texts.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(raw):  # in chunks that end at white space
+        end = min(len(raw), at + _CHUNK)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            found = np.flatnonzero(_SPACE[raw[end : end + _CHUNK]])
+            end = end + int(found[0]) if len(found) else min(len(raw), end + _CHUNK)
+        borders = ends[np.searchsorted(ends, at) : np.searchsorted(ends, end, "right")] - at
+        h, p = _word_hashes(raw[at:end], borders)
+        hashes.append(h)
+        places.append(p + at)
+        at = end
+    each, first = np.concatenate(hashes), np.searchsorted(np.concatenate(places), ends)
+    long = _windows(each, words) if len(each) >= words else each[:0]
+    for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False):
+        if hi - lo >= words:
+            yield _distinct(long[lo : hi - words + 1])
+        else:
+            yield _windows(each[lo:hi], hi - lo) if hi > lo else each[:0]
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return next(sets(pa.array([text], pa.string()), words))
 
 
 def _key(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _need(n: int, percent: int) -> int:
+    """Tokens that a set of n must share with any partner."""
+    return -(-percent * n // 100)
+
+
+def _wide(n: int, percent: int) -> int:
+    return n - _need(n, percent) + 1 + n // SHARE
+
+
+def _least(n: int) -> int:
+    """How many tokens of a wide prefix must be shared."""
+    return max(1, n // SHARE)
+
+
+def _by_shard(tokens: np.ndarray, shards: int) -> tuple[list[int], list[np.ndarray]]:
+    """The shards that have some of the tokens, and the tokens' places for each."""
+    shard = (tokens % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    present, starts = np.unique(shard[order], return_index=True)
+    return present.tolist(), np.split(order, starts[1:]) if len(present) else []
+
+
+def _batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
+    """A batch with nulls in the columns that aren't given."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+_SIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "key", "lot", "at", "local", "shard")] + [("tokens", pa.binary()), ("owners", pa.binary())])
+
+
+class _Lot:
+    """A task's documents until their wide prefixes hold LOT tokens."""
+
+    def __init__(self, number: int):
+        self.number, self.rows, self.at, self.prefixes, self.size = number, [], {}, [], 0
+
+    def add(self, doc_id: int | None, tokens: np.ndarray, percent: int) -> None:
+        key = _key(tokens)
+        if key not in self.at:
+            self.at[key] = len(self.at)
+            self.prefixes.append(tokens[: _wide(len(tokens), percent)] if len(tokens) else tokens)
+            self.size += len(self.prefixes[-1])
+        self.rows.append((doc_id, len(tokens), key, self.at[key]))
+
+    def hand_in(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The documents with how many of their tokens are another's here, and the distinct tokens by shard: the owner's
+        place, or -1 where the lot knows already that the token has several."""
+        if not self.rows:
+            return
+        tokens = np.concatenate(self.prefixes)
+        owner = np.repeat(np.arange(len(self.prefixes), dtype=np.int32), [len(p) for p in self.prefixes])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        several = ~new
+        several[:-1] |= ~new[1:]
+        local = np.bincount(owner[several], minlength=len(self.prefixes))
+        doc_id, n, key, at = (list(x) for x in zip(*self.rows, strict=True))
+        yield _batch(_SIGNED, doc_id=doc_id, n=n, key=key, lot=[self.number] * len(at), at=at, local=[int(local[i]) for i in at])
+        tokens, owner = tokens[new], np.where(several[new], -1, owner[new]).astype(np.int32)
+        shard, places = _by_shard(tokens, shards)
+        yield _batch(_SIGNED, lot=[self.number] * len(shard), shard=shard, tokens=[tokens[p].tobytes() for p in places], owners=[owner[p].tobytes() for p in places])
+
 
+def _shards(df: DataFrame) -> int:
+    return SHARDS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """A row for each document (doc_id, n, key), and rows (chunk, counts) of each task's part of the sketch."""
+
+def _concat(table: pa.Table, column: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Packed arrays as one, and the length of each."""
+    parts = [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each document (doc_id, n, key, lot, at, local), and rows (lot, shard, tokens, owners) of the lots."""
+    shards = _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, since = np.zeros(1 << SKETCH_BITS, np.uint16), 0
+        lot = _Lot(TaskContext.get().partitionId() << 24)
         for batch in batches:
-            n, keys = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, words)
-                n.append(len(tokens))
-                keys.append(_key(tokens))
-                np.add.at(sketch, tokens >> np.uint64(64 - SKETCH_BITS), 1)
-            since += len(n)
-            if since > 20_000:  # well before a counter could run over
-                np.minimum(sketch, 40_000, out=sketch)
-                since = 0
-            none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none, pa.nulls(len(n), pa.binary())], names)
-        parts = np.minimum(sketch, 255, out=sketch).reshape(CHUNKS, -1)
-        some = [i for i in range(CHUNKS) if parts[i].any()]
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].astype(np.uint8).tobytes(), 1) for i in some], pa.binary())], names)
-
-    names = ["doc_id", "n", "key", "chunk", "counts"]
-    return arrow_map(docs, run, "doc_id long, n long, key long, chunk int, counts binary")
-
-
-def rarity(parts: DataFrame) -> np.ndarray:
-    """The whole sketch as doublings of the count (15 at most), two to a byte; 0 where at most one document has a token."""
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), sets(batch.column("text"), words), strict=True):
+                lot.add(doc_id, tokens, percent)
+                if lot.size >= LOT:
+                    yield from lot.hand_in(shards)
+                    lot = _Lot(lot.number + 1)
+        yield from lot.hand_in(shards)
+
+    return arrow_map(docs, run, "doc_id long, n long, key long, lot long, at long, local long, shard long, tokens binary, owners binary")
+
+
+def met(signed: DataFrame) -> DataFrame:
+    """lot, at, hits: how many prefix tokens of a lot's set occur in other lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int64)
-        packed = []
-        for i in total:
-            doublings = np.minimum(15, np.ceil(np.log2(np.maximum(1, total[i])))).astype(np.uint8)
-            packed.append((doublings[::2] | doublings[1::2] << np.uint8(4)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "classes"])
+        for _, table in runs(batches, "shard"):
+            (tokens, sizes), (owner, _) = _concat(table, "tokens", "<u8"), _concat(table, "owners", "<i4")
+            lots, lot = np.unique(table.column("lot").to_numpy(), return_inverse=True)
+            order = np.argsort(tokens, kind="stable")
+            same = tokens[order[1:]] == tokens[order[:-1]]
+            hit = np.zeros(len(tokens), bool)
+            hit[order[1:][same]] = hit[order[:-1][same]] = True
+            hit &= owner >= 0
+            code, n = np.unique(np.repeat(lot, sizes)[hit] << 32 | owner[hit], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lots[code >> 32]), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["lot", "at", "hits"])
+
+    lots = signed.where("shard is not null").select("shard", "lot", "tokens", "owners")
+    return arrow_map(lots.repartition("shard").sortWithinPartitions("shard"), run, "lot long, at long, hits long")
 
-    out = np.zeros((CHUNKS, _CHUNK // 2), np.uint8)
-    for row in arrow_map(parts.select("chunk", "counts").repartition("chunk"), run, "chunk int, classes binary", rows=16).collect():
-        out[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
-    return out.reshape(-1)
 
+def with_partners(signed: DataFrame) -> DataFrame:
+    """Keys of the sets that the first order leaves."""
+    hits = met(signed).groupBy("lot", "at").agg(F.sum("hits").alias("hits"))
+    rows = signed.where("key is not null and n > 0").select("lot", "at", "key", "n", "local").distinct()
+    enough = f"local + coalesce(hits, 0) >= greatest(1, n div {SHARE})"
+    return rows.join(hits, ["lot", "at"], "left").where(enough).select("key").distinct()
 
-def _doublings(packed: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    place = tokens >> np.uint64(64 - SKETCH_BITS)
-    return packed[place >> np.uint64(1)] >> ((place & np.uint64(1)) * np.uint64(4)).astype(np.uint8) & np.uint8(15)
 
+_ASKED = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "lot", "shard")] + [("tokens", pa.binary()), ("counts", pa.binary())])
 
-def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key, n, and the tokens of the prefix under the first order with their places, without those nobody else has."""
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+
+def whole_sets(docs: DataFrame, owners: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows (doc_id, key, n, lot, tokens) of the owners' sets, and rows (lot, shard, tokens, counts) of their lots."""
+    shards = _shards(docs)
+
+    def hand_in(number: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        shard, places = _by_shard(tokens, shards)
+        counts = counts.astype(np.uint32)
+        return _batch(_ASKED, lot=[number] * len(shard), shard=shard, tokens=[tokens[p].tobytes() for p in places], counts=[counts[p].tobytes() for p in places])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = sent.value
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            keys, sizes, all_tokens, all_places = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, words)
-                if len(tokens):
-                    each = _doublings(rare, tokens)
-                    first = np.argsort(each, kind="stable")[: _prefix(len(tokens), percent)]
-                    places = np.flatnonzero(each[first])
-                    keys.append(_key(tokens))
-                    sizes.append(len(tokens))
-                    all_tokens.append(tokens[first[places]].view(np.int64))
-                    all_places.append(places.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(all_tokens, pa.list_(pa.int64())), pa.array(all_places, pa.list_(pa.int32()))], ["key", "n", "tokens", "places"])
-
-    return arrow_map(docs, run, "key long, n int, tokens array<long>, places array<int>")
-
-
-def _can_link(n: str, i: str, m: str, j: str, percent: int) -> str:
-    """Of two sets with a shared token at places i and j, whether sizes and what can follow allow a link."""
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * least({n} - {i}, {m} - {j}) >= {percent} * (cast({n} as long) + {m})"
-
-
-def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of set keys those that link. owners: key, doc_id of a document with that set."""
-    pairs = pairs.select("a", "b")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(owners, "key"), "needed")
-    texts = with_keys(docs, needed.select("doc_id").distinct(), "doc_id").join(needed, "doc_id").select("key", "text")
-    texts = materialize(texts, "texts")
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "y"}), "b").select("a", "b", "x", "y")
+            rows = []
+            for doc_id, key, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), sets(batch.column("text"), words), strict=True):
+                if _key(tokens) == key:  # else another text under a repeated doc_id
+                    rows.append((doc_id, key, len(tokens), number, tokens.tobytes()))
+                    held.append(tokens)
+                    size += len(tokens)
+                if size >= LOT // 4:
+                    yield hand_in(number, held)
+                    number, held, size = number + 1, [], 0
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield _batch(_ASKED, **dict(zip(("doc_id", "key", "n", "lot", "tokens"), map(list, columns), strict=True)))
+        if held:
+            yield hand_in(number, held)
+
+    texts = with_keys(docs, owners.select("doc_id").distinct(), "doc_id").join(owners.select("doc_id", "key"), "doc_id")
+    return arrow_map(texts.select("doc_id", "key", "text").distinct(), run, "doc_id long, key long, n long, lot long, shard long, tokens binary, counts binary")
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """lot, tokens, counts: the tokens of a lot that several sets have, and how many of all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-        def of(key: int, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
-            if key not in kept:
-                if len(kept) > 200:
-                    kept.clear()
-                tokens = shingles(text, words)
-                p = min(len(tokens), _prefix(len(tokens), percent))
-                further = [np.sort(_mix(tokens ^ np.uint64(seed)))[:p] for seed in _ORDERS]
-                if _key(tokens) != key:  # another text under a repeated doc_id
-                    tokens, further = tokens[:0], [f[:0] for f in further]
-                kept[key] = tokens, further
-            return kept[key]
+        for _, table in runs(batches, "shard"):
+            (tokens, sizes), (n, _) = _concat(table, "tokens", "<u8"), _concat(table, "counts", "<u4")
+            _, at = np.unique(tokens, return_inverse=True)
+            total = np.minimum(np.bincount(at, n), 2**32 - 1).astype(np.uint32)[at]
+            out: list[tuple] = []
+            for lot, hi, size in zip(table.column("lot").to_pylist(), np.cumsum(sizes), sizes, strict=True):
+                part = slice(hi - size, hi)
+                several = total[part] > 1
+                if several.any():
+                    out.append((lot, tokens[part][several].tobytes(), total[part][several].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lot", "tokens", "counts"])
+
+    lots = asked.where("shard is not null").select("shard", "lot", "tokens", "counts")
+    return arrow_map(lots.repartition("shard").sortWithinPartitions("shard"), run, "lot long, tokens binary, counts binary")
+
+
+def _marks(tokens: np.ndarray, percent: int) -> bytes:
+    """The wide prefix under the first order and the prefix under the second, as 32-bit hashes."""
+    n = len(tokens)
+    second = np.sort(_mix(tokens ^ _SECOND))[: n - _need(n, percent) + 1]
+    return np.concatenate([tokens[: _wide(n, percent)], second]).astype(np.uint32).tobytes()
+
+
+def rare_prefixes(asked: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id (doc_id, key, n), tokens (of the prefix by rarity, those that another set has), marks: sets with such tokens."""
+    answers = counted(asked).selectExpr("lot", "cast(null as long) doc_id", "cast(null as long) key", "cast(null as long) n", "tokens", "counts")
+    own = asked.where("key is not null").selectExpr("lot", "doc_id", "key", "n", "tokens", "cast(null as binary) counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, "lot"):
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "key", "n", "tokens", "counts")), strict=True))
+            known = [(np.frombuffer(t, "<u8"), np.frombuffer(c, "<u4")) for *_, t, c in rows if c is not None]
+            if not known:
+                continue
+            shared, counts = (np.concatenate(x) for x in zip(*known, strict=True))
+            order = np.argsort(shared)
+            shared, counts = shared[order], counts[order]
+            out: list[tuple] = []
+            for doc_id, key, n, packed, c in rows:
+                if c is not None:
+                    continue
+                tokens = np.frombuffer(packed, "<u8")
+                at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+                held = np.where(shared[at] == tokens, counts[at], 1)
+                alone = int((held == 1).sum())  # these come first in the prefix
+                more = n - _need(n, percent) + 1 - alone
+                if more > 0:
+                    several = np.flatnonzero(held > 1)
+                    first = several[np.lexsort((tokens[several], held[several]))[:more]]
+                    out.append((doc_id, key, n, tokens[first].view(np.int64), _marks(tokens, percent)))
+            if out:
+                doc_id, key, n, tokens, marks = (list(x) for x in zip(*out, strict=True))
+                ids = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, key, n)], ["doc_id", "key", "n"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "tokens", "marks"])
+
+    by_lot = own.union(answers.select(own.columns)).repartition("lot").sortWithinPartitions("lot")
+    return arrow_map(by_lot, run, "id struct<doc_id:long,key:long,n:long>, tokens array<long>, marks binary")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted arrays of distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def _prefixes_meet(a: dict, x: bytes, b: dict, y: bytes, percent: int) -> bool:
+    """Whether the prefixes of two sets, under the first order and the second, share what linked sets' must."""
+    n, m = a["n"], b["n"]
+    s, t = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    i, j = _wide(n, percent), _wide(m, percent)
+    first = len(np.intersect1d(s[:i], t[:j]))
+    return first >= max(_least(n), _least(m)) and len(np.intersect1d(s[i:], t[j:])) > 0
+
+
+def _linked(a: dict, x: bytes, b: dict, y: bytes, percent: int) -> bool:
+    n, m = a["n"], b["n"]
+    common = _common(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+    return 100 * common >= percent * (n + m - common)
+
+
+def compare(pairs: DataFrame, bodies: DataFrame, test: Callable[[dict, bytes, dict, bytes, int], bool], percent: int) -> DataFrame:
+    """Of pairs (a, b) those that pass a test of their bodies (id, body). Each b is sent to its pair; an a once for MEET
+    of its pairs, so that neither a set with thousands of partners nor these are gathered in one task."""
+    many = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {MEET}) as int)").alias("of")).where("of > 1")
+    dealt = pairs.join(many, "a", "left").selectExpr("a", "b", "cast(pmod(xxhash64(b), coalesce(of, 1)) as int) part")
+    members = dealt.join(bodies.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "body")
+    centres = dealt.select("a", "part").distinct().join(bodies.withColumnRenamed("id", "a"), "a")
+    both = members.union(centres.select("a", "part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (a, _), table in runs(batches, "a", "part"):
+            bs, bodies_of = table.column("b").to_pylist(), table.column("body").to_pylist()
+            own = [body for b, body in zip(bs, bodies_of, strict=True) if b is None]
+            good = [b is not None and test(a, own[0], b, body, percent) for b, body in zip(bs, bodies_of, strict=True)] if own else [False] * len(bs)
+            yield from table.select(["a", "b"]).filter(pa.array(good, pa.bool_())).combine_chunks().to_batches()
+
+    return arrow_map(both.repartition("a", "part").sortWithinPartitions("a", "part"), run, pairs.select("a", "b").schema)
+
+
+def verify(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of candidate pairs (a, b) those that link: the prefixes of the other orders first, whole sets for what these leave."""
+    pairs = materialize(pairs, "pairs")
+    near = materialize(compare(pairs, prefixes.select("id", F.col("marks").alias("body")), _prefixes_meet, percent), "near")
+    links = materialize(compare(near, whole.select("id", F.col("tokens").alias("body")), _linked, percent), "links")
+    discard(pairs, near)
+    return links
 
-        for batch in batches:
-            found = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in "abxy"), strict=True):
-                (s, s_further), (t, t_further) = of(a, x), of(b, y)
-                if all(len(np.intersect1d(f, g, True)) for f, g in zip(s_further, t_further, strict=True)):
-                    common = len(np.intersect1d(s, t, True))
-                    found.append(100 * common >= percent * (len(s) + len(t) - common) and common > 0)
-                else:
-                    found.append(False)
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return arrow_map(both, run, "a long, b long").distinct()
+def _sizes(a: str, b: str, percent: int) -> str:
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
 
 
 def _count_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int) -> dict[int, int]:
     """How many documents each set links with, of two blocks (key, copies, tokens), or of one if right is None."""
     left = sorted(left, key=lambda x: len(x[2]))
     other = left if right is None else sorted(right, key=lambda x: len(x[2]))
-    sets = left if right is None else left + other
-    ids = np.unique(np.concatenate([x[2] for x in sets]), return_inverse=True)[1].reshape(-1)
-    ends = np.cumsum([0] + [len(x[2]) for x in sets])
+    all_sets = left if right is None else left + other
+    ids = np.unique(np.concatenate([x[2] for x in all_sets]), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum([0] + [len(x[2]) for x in all_sets])
     first = 0 if right is None else len(left)
     starts, sizes = ends[first:], np.diff(ends[first:])
-    copies, links = np.array([x[1] for x in other], np.int64), np.zeros(len(sets), np.int64)
+    copies, links = np.array([x[1] for x in other], np.int64), np.zeros(len(all_sets), np.int64)
     mark = np.zeros(len(ids), np.int32)
     for i, (_, own, tokens) in enumerate(left):
         n = len(tokens)
@@ -223,81 +438,77 @@ def _count_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int,
             found = 100 * common.astype(np.int64) >= percent * (n + sizes[lo:hi] - common)
             links[i] += copies[lo:hi][found].sum()
             links[first + lo : first + hi][found] += own
-    return {x[0]: int(c) for x, c in zip(sets, links, strict=True) if c}
+    return {x[0]: int(c) for x, c in zip(all_sets, links, strict=True) if c}
 
 
-def degrees(groups: DataFrame, owners: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key and n_links, how many documents have another set that links with it. groups: key, component; owners: key, a
-    doc_id and the number of copies."""
-    blocks = groups.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("of"))
-    members = groups.join(blocks, "component").join(owners, "key").withColumn("block", F.expr("cast(pmod(xxhash64(key), of) as int)"))
-    members = materialize(members.select("doc_id", "key", "copies", "component", "of", "block"), "members")
-    texts = with_keys(docs, members.select("doc_id").distinct(), "doc_id").join(members, "doc_id")
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            real = [_key(t) == key for t, key in zip(tokens, batch.column("key").to_pylist(), strict=True)]  # or another text under a repeated doc_id
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([t.tobytes() for t in tokens], pa.binary())], [*names, "tokens"]).filter(pa.array(real, pa.bool_()))
-
-    names = ["key", "copies", "component", "of", "block"]
-    sets = materialize(arrow_map(texts.select(*names, "text"), tokenize, "key long, copies long, component long, of int, block int, tokens binary"), "sets")
-    met = sets.withColumn("with", F.explode(F.expr("sequence(0, of - 1)"))).selectExpr("component", "least(block, `with`) lo", "greatest(block, `with`) hi", "block", "key", "copies", "tokens")
-    columns = met.columns
+def degrees(groups: DataFrame, copies: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key and n_links, how many documents have another set that links with it. groups: id, component; copies: key, how
+    many documents have it; whole: id, tokens."""
+    large = groups.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("of")).where("of > 1")
+    members = groups.join(large, "component", "left").selectExpr("id", "id.key key", "component", "coalesce(of, 1) of", "cast(pmod(xxhash64(id.key), coalesce(of, 1)) as int) block")
+    full = members.join(copies, "key").join(whole, "id").withColumn("with", F.explode(F.expr("sequence(0, of - 1)")))
+    met_blocks = full.selectExpr("component", "least(block, `with`) lo", "greatest(block, `with`) hi", "block", "key", "copies", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted() -> pa.RecordBatch:
-            parts = [[(key, *x) for key, x in of.items()] for of in held.values()]
-            links = _count_links(parts[0], parts[1] if len(parts) > 1 else None, percent) if len(parts) > 1 or at[1] == at[2] else {}
-            return pa.RecordBatch.from_arrays([pa.array(links, pa.int64()), pa.array(links.values(), pa.int64())], ["key", "n_links"])
-
-        at, held = None, {}
-        for batch in batches:
-            for *now, block, key, copies, tokens in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if now != at:
-                    if held:
-                        yield counted()
-                    at, held = now, {}
-                held.setdefault(block, {})[key] = copies, np.frombuffer(tokens, np.uint64)
-        if held:
-            yield counted()
-
-    met_sorted = met.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return arrow_map(met_sorted, run, "key long, n_links long").groupBy("key").agg(F.sum("n_links").alias("n_links"))
+        for (_, lo, hi), table in runs(batches, "component", "lo", "hi"):
+            held: dict[int, list] = {}
+            for block, key, n, tokens in zip(*(table.column(c).to_pylist() for c in ("block", "key", "copies", "tokens")), strict=True):
+                held.setdefault(block, []).append((key, n, np.frombuffer(tokens, "<u8")))
+            if lo == hi or len(held) > 1:
+                parts = list(held.values())
+                links = _count_links(parts[0], parts[1] if lo < hi else None, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(links, pa.int64()), pa.array(links.values(), pa.int64())], ["key", "n_links"])
+
+    dealt = met_blocks.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return arrow_map(dealt, run, "key long, n_links long").groupBy("key").agg(F.sum("n_links").alias("n_links"))
+
+
+def linked_sets(docs: DataFrame, asked: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All comparisons that components need: (id, component) of sets with a link, and whole sets (id, tokens)."""
+    whole = asked.where("key is not null").select(F.struct("doc_id", "key", "n").alias("id"), "tokens")
+    prefixes = materialize(rare_prefixes(asked, percent), "prefixes")
+    posted = prefixes.select(F.explode("tokens").alias("token"), "id")
+    # map-side: a bucket's centre and size need no sight of the bucket
+    centres = posted.groupBy("token").agg(F.count("*").alias("of"), F.min("id").alias("c")).where("of > 1").select("token", "c")
+    posted = materialize(posted.join(centres, "token").select("token", "id", "c"), "posted")
+    stars = posted.where(f"id <> c and {_sizes('id', 'c', percent)}").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    links = verify(stars, prefixes, whole, percent)
+    groups = components(links)
+
+    label = groups.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    placed = posted.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = placed.join(label.withColumnsRenamed({"id": "c", "label": "main"}), "c", "left").withColumn("main", F.coalesce("main", "c"))
+    placed = materialize(placed, "placed")
+    others = placed.where("label <> main").selectExpr("token", "id o_id", "label o_label")
+    # sets of the centre's group meet each of the others, and these each other once
+    crossed = others.join(placed, "token").where(f"label <> o_label and id <> c and (label = main or o_id < id) and {_sizes('id', 'o_id', percent)}")
+    more = verify(crossed.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), prefixes, whole, percent)
+    if more.limit(1).count():
+        discard(groups)
+        groups = components(links.union(more))
+    discard(prefixes, posted, placed, links, more)
+    return groups.withColumnRenamed("node", "id"), whole
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row, and n_links: with how many other documents it links, copies too."""
     docs = doc_texts(documents, id_col, text_col)
-    first = materialize(signatures(docs, words), "signatures")
-    rows = first.where("chunk is null").select("doc_id", "n", "key")
+    signed = materialize(signatures(docs, words, percent), "signed")
+    rows = materialize(signed.where("key is not null").select("doc_id", "n", "key"), "rows")
     owners = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"))
     owners = materialize(owners, "owners")
-    sets = prefixes(docs, rarity(first.where("chunk is not null")), words, percent).groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"))
-    posted = sets.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "key", "n", F.col("t.places").alias("place"))
-    bucket = Window.partitionBy("token")
-    posted = posted.withColumns({"of": F.count("*").over(bucket), "c": F.min(F.struct("place", "key", "n")).over(bucket)}).where("of > 1").select("token", "key", "n", "place", F.col("c.key").alias("c_key"), F.col("c.n").alias("c_n"), F.col("c.place").alias("c_place"))
-    posted = materialize(posted, "posted")
-
-    stars = posted.where(f"key <> c_key and {_can_link('n', 'place', 'c_n', 'c_place', percent)}").selectExpr("least(key, c_key) a", "greatest(key, c_key) b").distinct()
-    linked = materialize(verify(stars, docs, owners.drop("copies"), words, percent), "links")
-    label = components(linked).withColumnsRenamed({"node": "key", "component": "label"})
-
-    grouped = posted.select("token", "key", "n", "place").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = grouped.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket), "main": F.min(F.struct("place", "key", "label")).over(bucket)["label"]}).where("lo <> hi").select("token", "key", "n", "place", "label", (F.col("label") == F.col("main")).alias("is_main"))
-    mixed = materialize(mixed, "mixed")
-    other = mixed.where("not is_main").drop("is_main")
-    other = other.withColumnsRenamed({c: f"o_{c}" for c in other.columns if c != "token"})
-    crossed = other.join(mixed, "token").where(f"label <> o_label and (is_main or o_key < key) and {_can_link('o_n', 'o_place', 'n', 'place', percent)}").selectExpr("least(key, o_key) a", "greatest(key, o_key) b").distinct()
-    links = materialize(linked.union(verify(crossed, docs, owners.drop("copies"), words, percent)).distinct(), "links")
-
-    groups = components(links).withColumnRenamed("node", "key")
-    degree = degrees(groups, owners, docs, words, percent)
-    classes = owners.join(groups, "key", "left").join(degree, "key", "left").select("key", "component", (F.col("copies") + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    classes = materialize(classes, "classes")
-    placed = rows.where("n > 0").join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = placed.withColumn("n_links", F.coalesce("n_links", F.lit(0)) - F.col("doc_id").isNotNull().cast("long"))
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    full = placed.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.union(empty)
+    left = materialize(owners.join(with_partners(signed), "key").select("doc_id", "key"), "left")
+    discard(signed)
+    asked = materialize(whole_sets(docs, left, words), "sets")
+    groups, whole = linked_sets(docs, asked, percent)
+    degree = materialize(degrees(groups, owners.select("key", "copies"), whole, percent), "degrees")
+    linked = groups.select("id.key", F.col("component.doc_id").alias("component_id"))
+    classes = owners.join(linked, "key", "left").join(degree, "key", "left")
+    none = F.lit(0).cast("long")
+    classes = materialize(classes.select("key", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("copies") + F.coalesce("n_links", none)).alias("n_links")), "classes")
+    discard(owners, left, asked, groups, degree)
+    known: Column = F.col("doc_id").isNotNull()
+    found = rows.where("n > 0").join(classes, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(known, F.col("component_id")).alias("component_id"), (F.coalesce("n_links", none) - known.cast("long")).alias("n_links")
+    )
+    return found.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links")))
