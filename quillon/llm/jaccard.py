@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, components, discard, doc_texts, materialize, runs, with_keys
 
-WORDS, PERCENT, SHARE = 5, 75, 20
-#: Tokens of a lot, shards for each shuffle partition, members that meet a centre at once, sets of a block.
-LOT, SHARDS, MEET, BLOCK = 1_000_000, 4, 256, 1024
+WORDS, PERCENT, SHARE = 5, 75, 10
+#: Tokens and sets of a lot, shards for each shuffle partition, members that meet a centre at once, sets of a block.
+LOT, LOT_SETS, SHARDS, MEET, BLOCK = 1_000_000, 1 << 15, 4, 256, 1024
 _CHUNK = 1 << 20
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],
@@ -169,25 +169,25 @@ def _batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-_SIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "key", "lot", "at", "local", "shard")] + [("tokens", pa.binary()), ("owners", pa.binary())])
+_SIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "key", "lot", "at", "local", "shard")] + [("entries", pa.binary())])
 
 
 class _Lot:
-    """A task's documents until their wide prefixes hold LOT tokens."""
+    """A task's documents until their wide prefixes hold LOT tokens, or they are LOT_SETS different ones."""
 
     def __init__(self, number: int):
         self.number, self.rows, self.at, self.prefixes, self.size = number, [], {}, [], 0
 
-    def add(self, doc_id: int | None, tokens: np.ndarray, percent: int) -> None:
+    def add(self, row: tuple[int | None, int], tokens: np.ndarray, percent: int) -> None:
         key = _key(tokens)
         if key not in self.at:
             self.at[key] = len(self.at)
             self.prefixes.append(tokens[: _wide(len(tokens), percent)] if len(tokens) else tokens)
             self.size += len(self.prefixes[-1])
-        self.rows.append((doc_id, len(tokens), key, self.at[key]))
+        self.rows.append((*row, len(tokens), key, self.at[key]))
 
     def hand_in(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """The documents with how many of their tokens are another's here, and the distinct tokens by shard: the owner's
+        """The documents with how many of their tokens are another's here, and the distinct tokens by shard with the owner's
         place, or -1 where the lot knows already that the token has several."""
         if not self.rows:
             return
@@ -200,11 +200,14 @@ class _Lot:
         several = ~new
         several[:-1] |= ~new[1:]
         local = np.bincount(owner[several], minlength=len(self.prefixes))
-        doc_id, n, key, at = (list(x) for x in zip(*self.rows, strict=True))
-        yield _batch(_SIGNED, doc_id=doc_id, n=n, key=key, lot=[self.number] * len(at), at=at, local=[int(local[i]) for i in at])
-        tokens, owner = tokens[new], np.where(several[new], -1, owner[new]).astype(np.int32)
+        doc_id, text_hash, n, key, at = (list(x) for x in zip(*self.rows, strict=True))
+        yield _batch(_SIGNED, doc_id=doc_id, text_hash=text_hash, n=n, key=key, lot=[self.number] * len(at), at=at, local=[int(local[i]) for i in at])
+        tokens, owner = tokens[new], np.where(several[new], -1, owner[new]).astype(np.int16)
         shard, places = _by_shard(tokens, shards)
-        yield _batch(_SIGNED, lot=[self.number] * len(shard), shard=shard, tokens=[tokens[p].tobytes() for p in places], owners=[owner[p].tobytes() for p in places])
+        # 48 bits within a shard: a rare false meeting only keeps a set for the next order
+        low, high = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16)
+        packed = [low[p].tobytes() + high[p].tobytes() + owner[p].tobytes() for p in places]
+        yield _batch(_SIGNED, lot=[self.number] * len(shard), shard=shard, entries=packed)
 
 
 def _shards(df: DataFrame) -> int:
@@ -218,20 +221,20 @@ def _concat(table: pa.Table, column: str, dtype: str) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each document (doc_id, n, key, lot, at, local), and rows (lot, shard, tokens, owners) of the lots."""
+    """A row for each document (doc_id, text_hash, n, key, lot, at, local), and rows (lot, shard, entries) of the lots."""
     shards = _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = _Lot(TaskContext.get().partitionId() << 24)
         for batch in batches:
-            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), sets(batch.column("text"), words), strict=True):
-                lot.add(doc_id, tokens, percent)
-                if lot.size >= LOT:
+            for *row, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), sets(batch.column("text"), words), strict=True):
+                lot.add(row, tokens, percent)
+                if lot.size >= LOT or len(lot.at) >= LOT_SETS:
                     yield from lot.hand_in(shards)
                     lot = _Lot(lot.number + 1)
         yield from lot.hand_in(shards)
 
-    return arrow_map(docs, run, "doc_id long, n long, key long, lot long, at long, local long, shard long, tokens binary, owners binary")
+    return arrow_map(docs, run, "doc_id long, text_hash long, n long, key long, lot long, at long, local long, shard long, entries binary")
 
 
 def met(signed: DataFrame) -> DataFrame:
@@ -239,26 +242,39 @@ def met(signed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches, "shard"):
-            (tokens, sizes), (owner, _) = _concat(table, "tokens", "<u8"), _concat(table, "owners", "<i4")
+            entries = table.column("entries").to_pylist()
+            sizes = np.array([len(e) // 8 for e in entries])
+            each = [(np.frombuffer(e, "<u4", n), np.frombuffer(e, "<u2", n, 4 * n), np.frombuffer(e, "<i2", n, 6 * n)) for e, n in zip(entries, sizes.tolist(), strict=True)]
+            low, high, owner = (np.concatenate(x) for x in zip(*each, strict=True))
+            tokens, owner = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), owner.astype(np.int64)
             lots, lot = np.unique(table.column("lot").to_numpy(), return_inverse=True)
             order = np.argsort(tokens, kind="stable")
             same = tokens[order[1:]] == tokens[order[:-1]]
             hit = np.zeros(len(tokens), bool)
             hit[order[1:][same]] = hit[order[:-1][same]] = True
             hit &= owner >= 0
-            code, n = np.unique(np.repeat(lot, sizes)[hit] << 32 | owner[hit], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lots[code >> 32]), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["lot", "at", "hits"])
+            lot, owner = np.repeat(lot, sizes)[hit], owner[hit].astype(np.uint16)
+            order = np.argsort(lot, kind="stable")
+            present, starts = np.unique(lot[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(owner[order], starts[1:])] if len(present) else []
+            yield pa.RecordBatch.from_arrays([pa.array(lots[present]), pa.array(packed, pa.binary())], ["lot", "owners"])
 
-    lots = signed.where("shard is not null").select("shard", "lot", "tokens", "owners")
-    return arrow_map(lots.repartition("shard").sortWithinPartitions("shard"), run, "lot long, at long, hits long")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lot,), table in runs(batches, "lot"):
+            hits = np.bincount(_concat(table, "owners", "<u2")[0])
+            at = np.flatnonzero(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lot)), pa.array(at), pa.array(hits[at])], ["lot", "at", "hits"])
+
+    lots = signed.where("shard is not null").select("shard", "lot", "entries")
+    answers = arrow_map(lots.repartition("shard").sortWithinPartitions("shard"), run, "lot long, owners binary")
+    return arrow_map(answers.repartition("lot").sortWithinPartitions("lot"), add_up, "lot long, at long, hits long")
 
 
 def with_partners(signed: DataFrame) -> DataFrame:
     """Keys of the sets that the first order leaves."""
-    hits = met(signed).groupBy("lot", "at").agg(F.sum("hits").alias("hits"))
     rows = signed.where("key is not null and n > 0").select("lot", "at", "key", "n", "local").distinct()
     enough = f"local + coalesce(hits, 0) >= greatest(1, n div {SHARE})"
-    return rows.join(hits, ["lot", "at"], "left").where(enough).select("key").distinct()
+    return rows.join(met(signed), ["lot", "at"], "left").where(enough).select("key").distinct()
 
 
 _ASKED = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "lot", "shard")] + [("tokens", pa.binary()), ("counts", pa.binary())])
@@ -271,7 +287,7 @@ def whole_sets(docs: DataFrame, owners: DataFrame, words: int = WORDS) -> DataFr
     def hand_in(number: int, held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         shard, places = _by_shard(tokens, shards)
-        counts = counts.astype(np.uint32)
+        counts = np.minimum(counts, 65_535).astype(np.uint16)
         return _batch(_ASKED, lot=[number] * len(shard), shard=shard, tokens=[tokens[p].tobytes() for p in places], counts=[counts[p].tobytes() for p in places])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +313,13 @@ def whole_sets(docs: DataFrame, owners: DataFrame, words: int = WORDS) -> DataFr
 
 
 def counted(asked: DataFrame) -> DataFrame:
-    """lot, tokens, counts: the tokens of a lot that several sets have, and how many of all sets."""
+    """lot, tokens, counts: the tokens of a lot that several sets have, and how many of all sets (65,535 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches, "shard"):
-            (tokens, sizes), (n, _) = _concat(table, "tokens", "<u8"), _concat(table, "counts", "<u4")
+            (tokens, sizes), (n, _) = _concat(table, "tokens", "<u8"), _concat(table, "counts", "<u2")
             _, at = np.unique(tokens, return_inverse=True)
-            total = np.minimum(np.bincount(at, n), 2**32 - 1).astype(np.uint32)[at]
+            total = np.minimum(np.bincount(at, n), 65_535).astype(np.uint16)[at]
             out: list[tuple] = []
             for lot, hi, size in zip(table.column("lot").to_pylist(), np.cumsum(sizes), sizes, strict=True):
                 part = slice(hi - size, hi)
@@ -325,14 +341,16 @@ def _marks(tokens: np.ndarray, percent: int) -> bytes:
 
 
 def rare_prefixes(asked: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id (doc_id, key, n), tokens (of the prefix by rarity, those that another set has), marks: sets with such tokens."""
+    """id (doc_id, key, n), tokens (of the prefix by rarity, those that another set has), alone (how
+    many tokens come before these, as no other set has them), marks, central (how many sets a
+    token of it is in on the average, negative), whole (all tokens): sets with such tokens."""
     answers = counted(asked).selectExpr("lot", "cast(null as long) doc_id", "cast(null as long) key", "cast(null as long) n", "tokens", "counts")
     own = asked.where("key is not null").selectExpr("lot", "doc_id", "key", "n", "tokens", "cast(null as binary) counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches, "lot"):
             rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "key", "n", "tokens", "counts")), strict=True))
-            known = [(np.frombuffer(t, "<u8"), np.frombuffer(c, "<u4")) for *_, t, c in rows if c is not None]
+            known = [(np.frombuffer(t, "<u8"), np.frombuffer(c, "<u2")) for *_, t, c in rows if c is not None]
             if not known:
                 continue
             shared, counts = (np.concatenate(x) for x in zip(*known, strict=True))
@@ -350,14 +368,15 @@ def rare_prefixes(asked: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if more > 0:
                     several = np.flatnonzero(held > 1)
                     first = several[np.lexsort((tokens[several], held[several]))[:more]]
-                    out.append((doc_id, key, n, tokens[first].view(np.int64), _marks(tokens, percent)))
+                    out.append((doc_id, key, n, tokens[first].view(np.int64), alone, _marks(tokens, percent), -round(float(held.mean()), 3), packed))
             if out:
-                doc_id, key, n, tokens, marks = (list(x) for x in zip(*out, strict=True))
+                doc_id, key, n, tokens, alone, marks, central, whole = (list(x) for x in zip(*out, strict=True))
                 ids = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, key, n)], ["doc_id", "key", "n"])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "tokens", "marks"])
+                columns = [pa.array(tokens, pa.list_(pa.int64())), pa.array(alone, pa.int64()), pa.array(marks, pa.binary()), pa.array(central, pa.float64()), pa.array(whole, pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "tokens", "alone", "marks", "central", "whole"])
 
     by_lot = own.union(answers.select(own.columns)).repartition("lot").sortWithinPartitions("lot")
-    return arrow_map(by_lot, run, "id struct<doc_id:long,key:long,n:long>, tokens array<long>, marks binary")
+    return arrow_map(by_lot, run, "id struct<doc_id:long,key:long,n:long>, tokens array<long>, alone long, marks binary, central double, whole binary")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -411,8 +430,9 @@ def verify(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int
     return links
 
 
-def _sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+def _can_link(a: str, i: str, b: str, j: str, percent: int) -> str:
+    """Of two sets whose first shared token has places i and j, whether enough can follow."""
+    return f"{100 + percent} * least({a}.n - {i}, {b}.n - {j}) >= {percent} * ({a}.n + {b}.n)"
 
 
 def _count_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int) -> dict[int, int]:
@@ -463,15 +483,17 @@ def degrees(groups: DataFrame, copies: DataFrame, whole: DataFrame, percent: int
     return arrow_map(dealt, run, "key long, n_links long").groupBy("key").agg(F.sum("n_links").alias("n_links"))
 
 
-def linked_sets(docs: DataFrame, asked: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def linked_sets(asked: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All comparisons that components need: (id, component) of sets with a link, and whole sets (id, tokens)."""
-    whole = asked.where("key is not null").select(F.struct("doc_id", "key", "n").alias("id"), "tokens")
     prefixes = materialize(rare_prefixes(asked, percent), "prefixes")
-    posted = prefixes.select(F.explode("tokens").alias("token"), "id")
-    # map-side: a bucket's centre and size need no sight of the bucket
-    centres = posted.groupBy("token").agg(F.count("*").alias("of"), F.min("id").alias("c")).where("of > 1").select("token", "c")
-    posted = materialize(posted.join(centres, "token").select("token", "id", "c"), "posted")
-    stars = posted.where(f"id <> c and {_sizes('id', 'c', percent)}").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    whole = prefixes.select("id", F.col("whole").alias("tokens"))
+    posted = prefixes.select(F.posexplode("tokens").alias("place", "token"), "id", "central", "alone").withColumn("place", F.col("place") + F.col("alone"))
+    # map-side: a bucket's centre and size need no sight of the bucket. The centre is the set whose tokens most sets have:
+    # of a text and its altered copies the text itself, with which they all link, though not with each other
+    centres = posted.groupBy("token").agg(F.count("*").alias("of"), F.min(F.struct("central", "id", "place")).alias("c")).where("of > 1")
+    posted = posted.select("token", "id", "place").join(centres.selectExpr("token", "c.id c", "c.place c_place"), "token")
+    posted = materialize(posted, "posted")
+    stars = posted.where(f"id <> c and {_can_link('id', 'place', 'c', 'c_place', percent)}").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     links = verify(stars, prefixes, whole, percent)
     groups = components(links)
 
@@ -479,36 +501,47 @@ def linked_sets(docs: DataFrame, asked: DataFrame, percent: int = PERCENT) -> tu
     placed = posted.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = placed.join(label.withColumnsRenamed({"id": "c", "label": "main"}), "c", "left").withColumn("main", F.coalesce("main", "c"))
     placed = materialize(placed, "placed")
-    others = placed.where("label <> main").selectExpr("token", "id o_id", "label o_label")
+    others = placed.where("label <> main").selectExpr("token", "id o_id", "label o_label", "place o_place")
     # sets of the centre's group meet each of the others, and these each other once
-    crossed = others.join(placed, "token").where(f"label <> o_label and id <> c and (label = main or o_id < id) and {_sizes('id', 'o_id', percent)}")
+    crossed = others.join(placed, "token").where(f"label <> o_label and id <> c and (label = main or o_id < id) and {_can_link('id', 'place', 'o_id', 'o_place', percent)}")
     more = verify(crossed.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), prefixes, whole, percent)
     if more.limit(1).count():
         discard(groups)
         groups = components(links.union(more))
-    discard(prefixes, posted, placed, links, more)
+    discard(posted, placed, links, more)
     return groups.withColumnRenamed("node", "id"), whole
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row, and n_links: with how many other documents it links, copies too."""
-    docs = doc_texts(documents, id_col, text_col)
+    """doc_id, n_shingles, component_id for every row, and n_links: with how many other documents it links, copies too;
+    also text_hash (xxhash64 of the text), and kept: whether the row is its group's first. That is, of the rows with the
+    smallest doc_id and, of these, with the set that carries the component, those with the smallest text_hash; repeated
+    rows agree in all of this. Rows that are in no group are kept."""
+    docs = doc_texts(documents, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(signatures(docs, words, percent), "signed")
-    rows = materialize(signed.where("key is not null").select("doc_id", "n", "key"), "rows")
-    owners = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"))
-    owners = materialize(owners, "owners")
+    rows = materialize(signed.where("key is not null").select("doc_id", "text_hash", "n", "key"), "rows")
+    owners = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.countDistinct("doc_id").alias("copies"))
+    owners = materialize(owners.select("key", "first.doc_id", F.col("first.text_hash").alias("first_hash"), "copies"), "owners")
     left = materialize(owners.join(with_partners(signed), "key").select("doc_id", "key"), "left")
     discard(signed)
     asked = materialize(whole_sets(docs, left, words), "sets")
-    groups, whole = linked_sets(docs, asked, percent)
+    groups, whole = linked_sets(asked, percent)
+    discard(asked)
     degree = materialize(degrees(groups, owners.select("key", "copies"), whole, percent), "degrees")
-    linked = groups.select("id.key", F.col("component.doc_id").alias("component_id"))
+    linked = groups.selectExpr("id.key", "component.doc_id component_id", "component.key = id.key is_first")
     classes = owners.join(linked, "key", "left").join(degree, "key", "left")
     none = F.lit(0).cast("long")
-    classes = materialize(classes.select("key", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("copies") + F.coalesce("n_links", none)).alias("n_links")), "classes")
-    discard(owners, left, asked, groups, degree)
+    classes = classes.select(
+        "key", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("copies") + F.coalesce("n_links", none)).alias("n_links"),
+        F.when(F.coalesce("is_first", F.lit(True)), F.struct("doc_id", F.col("first_hash").alias("text_hash"))).alias("first"),
+    )
+    classes = materialize(classes, "classes")
+    discard(owners, left, groups, degree, whole)
     known: Column = F.col("doc_id").isNotNull()
+    first = ~known | F.coalesce(F.struct("doc_id", "text_hash") == F.col("first"), F.lit(False))
     found = rows.where("n > 0").join(classes, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(known, F.col("component_id")).alias("component_id"), (F.coalesce("n_links", none) - known.cast("long")).alias("n_links")
-    )
-    return found.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links")))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(known, F.col("component_id")).alias("component_id"),
+        (F.coalesce("n_links", none) - known.cast("long")).alias("n_links"), "text_hash", first.alias("kept"),
+    )
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links"), "text_hash", F.lit(True).alias("kept"))
+    return found.union(empty)
