@@ -1,18 +1,22 @@
 """Text probability by all segmentations into subwords.
 
-The pieces are those of an existing vocabulary, with a byte each for what it lacks. A word's probability is the sum over
-all ways to write it as pieces, by a forward recursion in log space; a text is its words and one end. A piece weighs by
-its vocabulary score first (the published scores fall with the rank, so a piece at rank r weighs 1/(r+SHIFT)); ROUNDS of
-expectation maximisation over the words of all training documents then fit the weights: a backward recursion tells how
-often each piece is expected. One further edge spans a whole word: it has the word's own share of training tokens and
-together as much weight as words that occur more than once have (Good-Turing); the pieces share the rest. All outcomes of
-one step, the end among them, sum to at most 1, so scores are log10 probabilities.
+The pieces are those of an existing vocabulary, all of them, with a byte each for what it lacks. A word's probability is
+the sum over all ways to write it as pieces, by a forward recursion in log space. A piece weighs by its vocabulary score:
+published scores that are merge ranks fall with the rank r, so such a piece weighs 1/(r + SHIFT); weights sum to 1. Each
+step of a text is a word or its end; the end has its share of the training tokens (add-one), words have the rest. As each
+word begins with a space and no piece has one inside, a step's outcomes sum to 1, and `score` is the log10 of the text's
+marginal probability.
 
-The counts of words are gathered from all documents. The KNOWN most frequent words with their scores are sent to the
-executors (that bounds what is sent); each document's rarer words meet the word table in a join.
+`fitted_score` is a second score whose weights are learnt from the corpus: ROUNDS of expectation maximisation over the
+words of all training documents (a backward recursion tells how often each piece is expected), and one further edge for a
+whole word, with the word's own share of training tokens; these edges have together as much weight as words that occur
+more than once have (Good-Turing), less a little for unknown words. Its outcomes sum to at most 1 as well.
+
+The counts of words are gathered from all documents. The KNOWN most frequent words of at most KNOWN_BYTES, with their
+scores, are sent to the executors (that bounds what is sent); each document's other words meet the word table in a join.
 
 `base` is the add-one unigram score of the words. A null text counts as empty and has the end alone. Repeated rows give
-repeated results; other columns are not read; without training text every known count is 0.
+repeated results; other columns are not read; without training text every known count is 0, and no score is infinite.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, materialize
+from quillon.llm.common import arrow_map, discard, materialize
 
-SHIFT, ROUNDS, KNOWN, FLUSH = 2.7, 1, 200_000, 200_000
+SHIFT, ROUNDS, KNOWN, KNOWN_BYTES, FLUSH = 2.7, 1, 100_000, 64, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -1e30
 
@@ -87,27 +91,28 @@ class Pieces:
             ends.append(tuple(map(np.concatenate, (rows, starts, found))))
         return text, size, ends
 
-    def forward(self, words: list[bytes], log: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    def forward(self, size: np.ndarray, ends: list, log: np.ndarray) -> np.ndarray:
         """Log probabilities of all prefixes; sums are kept in scale by each word's largest term so far."""
-        _, size, ends = self.edges(words)
-        alpha = np.full((len(words), int(size.max()) + 1), _NONE)
+        alpha = np.full((len(size), int(size.max()) + 1), _NONE)
         alpha[:, 0] = 0
         for end, (w, s, p) in enumerate(ends, 1):
             term = alpha[w, s] + log[p]
-            top = np.full(len(words), _NONE)
+            top = np.full(len(size), _NONE)
             np.maximum.at(top, w, term)
-            total = np.bincount(w, np.exp(term - top[w]), len(words))
+            total = np.bincount(w, np.exp(term - top[w]), len(size))
             some = total > 0
             alpha[some, end] = top[some] + np.log(total[some])
-        return alpha, size, ends
+        return alpha
 
-    def scores(self, words: list[bytes], log: np.ndarray) -> np.ndarray:
-        alpha, size, _ = self.forward(words, log)
-        return alpha[np.arange(len(words)), size]
+    def scores(self, words: list[bytes], *logs: np.ndarray) -> np.ndarray:
+        """A row for each set of weights: the words' log probabilities."""
+        _, size, ends = self.edges(words)
+        return np.stack([self.forward(size, ends, log)[np.arange(len(words)), size] for log in logs])
 
     def expected(self, words: list[bytes], counts: np.ndarray, log: np.ndarray) -> np.ndarray:
         """How often each piece is expected in so many of each word."""
-        alpha, size, ends = self.forward(words, log)
+        _, size, ends = self.edges(words)
+        alpha = self.forward(size, ends, log)
         beta = np.full(alpha.shape, _NONE)
         beta[np.arange(len(words)), size] = 0
         whole = alpha[np.arange(len(words)), size]
@@ -180,7 +185,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def score(documents: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row. train: a condition on doc_id."""
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, fitted_score of every row. train: a condition
+    on doc_id."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("train", train)
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -191,57 +197,68 @@ def score(documents: DataFrame, train: Column, vocabulary: str, id_col: str = "d
     n_all, v_all = row["n"] + ends, row["v"] + (ends > 0)
     pieces = Pieces(sent.value)
     end_share = (ends + 1) / (n_all + 2)
-    whole_share = (1 - row["once"] / row["n"] if row["n"] else 0.0) * (1 - end_share)
-    log = pieces.log
+    whole_share = (1 - (row["once"] + 1) / (row["n"] + 2) if row["n"] else 0.0) * (1 - end_share)
+    plain = log = pieces.log
     for _ in range(ROUNDS if row["n"] else 0):
         log = _expectation(counts, sent, log, pieces.log)
     base_log = math.log10(n_all + 1 * (v_all + 1))
-    sent_log = spark.sparkContext.broadcast(log)
+    sent_logs = spark.sparkContext.broadcast((plain, log))
     n_words, rest_share = max(1, row["n"]), 1 - end_share - whole_share
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _load(sent.value)
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False)
-            by_pieces = np.empty(len(words))
+            by_pieces = np.empty((2, len(words)))
             for at in _grouped(words):
-                by_pieces[at] = model.scores([words[i] for i in at], sent_log.value)
+                by_pieces[:, at] = model.scores([words[i] for i in at], *sent_logs.value)
             with np.errstate(divide="ignore"):
-                both = np.logaddexp(np.log(rest_share) + by_pieces, np.where(c > 0, np.log(whole_share * c / n_words), -np.inf))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.log10(c + 1.0) - base_log, pa.float64()), pa.array(both / math.log(10), pa.float64())], ["word", "c", "base", "lp"])
+                fitted = np.logaddexp(np.log(rest_share) + by_pieces[1], np.where(c > 0, np.log(whole_share * c / n_words), -np.inf))
+            scores = (np.log10(c + 1.0) - base_log, (math.log(1 - end_share) + by_pieces[0]) / math.log(10), fitted / math.log(10))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), *(pa.array(x, pa.float64()) for x in scores)], ["word", "c", "base", "lp", "fp"])
 
-    words = materialize(arrow_map(counts, weigh, "word binary, c long, base double, lp double", rows=10_000), "weights")
-    top = words.where("c > 1").orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    known = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["lp"]) for r in top})
+    words = materialize(arrow_map(counts, weigh, "word binary, c long, base double, lp double, fp double", rows=10_000), "weights")
+    top = words.where(f"c > 1 and octet_length(word) <= {KNOWN_BYTES}").orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    known = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["lp"], r["fp"]) for r in top})
+    del top
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, line = known.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows: list[list] = [[] for _ in range(10)]
+            rows: list[tuple] = []
             for doc_id, text, is_train in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train")), strict=True):
-                found, uid, base, lp, n = Counter((text or "").encode().lower().split()), part << 40 | line, 0.0, 0.0, 0
+                found, uid, base, lp, fp, n = Counter((text or "").encode().lower().split()), part << 40 | line, 0.0, 0.0, 0.0, 0
                 line += 1
                 for w, k in found.items():
                     if (x := table.get(w)) is not None:
                         base += k * x[0]
                         lp += k * x[1]
+                        fp += k * x[2]
                         n += k
                     else:
-                        for c, value in zip(rows, (uid, None, None, None, None, None, None, w, k), strict=False):
-                            c.append(value)
-                for c, value in zip(rows, (uid, doc_id, is_train, sum(found.values()) + 1, n, base, lp, None, None), strict=False):
-                    c.append(value)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], ["uid", "doc_id", "train", "n_tokens", "n", "base", "lp", "word", "k"])
-
-    parts = materialize(arrow_map(docs, add_up, "uid long, doc_id long, train boolean, n_tokens long, n long, base double, lp double, word binary, k long"), "parts")
-    rare = parts.where("word is not null").select("uid", "word", "k").join(words, "word").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n2"), F.sum(F.col("k") * words["base"]).alias("base2"), F.sum(F.col("k") * words["lp"]).alias("lp2"))
+                        rows.append((uid, None, None, None, None, None, None, None, w, k))
+                rows.append((uid, doc_id, is_train, sum(found.values()) + 1, n, base, lp, fp, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *(pa.float64(),) * 3, pa.binary(), pa.int64())
+    names = ["uid", "doc_id", "train", "n_tokens", "n", "base", "lp", "fp", "word", "k"]
+    parts = arrow_map(docs, add_up, "uid long, doc_id long, train boolean, n_tokens long, n long, base double, lp double, fp double, word binary, k long")
+    parts = materialize(parts, "parts")
+    times = lambda c: F.sum(F.col("k") * words[c])
+    rare = parts.where("word is not null").select("uid", "word", "k").join(words, "word").groupBy("uid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n2"), times("base").alias("base2"), times("lp").alias("lp2"), times("fp").alias("fp2")
+    )
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     full = parts.where("word is null").drop("word", "k").join(rare, "uid", "left")
-    return full.select(
+    end = F.lit(math.log10(end_share))
+    out = full.select(
         "doc_id", "train", "n_tokens", (F.col("n") + none("n2") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + none("base2") + F.lit(math.log10(ends + 1) - base_log)).alias("base_score"), (F.col("lp") + none("lp2") + F.lit(math.log10(end_share))).alias("score"),
+        (F.col("base") + none("base2") + F.lit(math.log10(ends + 1) - base_log)).alias("base_score"), (F.col("lp") + none("lp2") + end).alias("score"), (F.col("fp") + none("fp2") + end).alias("fitted_score"),
     )
+    discard(counts)
+    sent_logs.destroy()
+    known.destroy()
+    return out
 
 
 def _expectation(counts: DataFrame, sent, log: np.ndarray, prior: np.ndarray) -> np.ndarray:
