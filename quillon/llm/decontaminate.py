@@ -1,9 +1,11 @@
 """Benchmark decontamination: BM25 with block-max bounds over an inverted index of the test items.
 
-The index holds the items; each training document is cut into overlapping passages, and every passage is a query. A
-window is twice as long as the longest item and moves by half its length, so that an item that was copied whole lies
-whole in one passage. Weights are BM25 (k1, b) of a term in an item, divided by the item's own total: a passage that
-holds all of an item's terms scores 1, and THRESHOLD is the same for all items.
+The index holds the items; each training document is cut into overlapping passages, and every passage is a query. Items
+are grouped by length (to the next power of two, WINDOW words at least); a length's window is twice as long as that and
+moves by half its length, so that an item that was copied whole lies whole in one passage, and a long item makes no short
+one's passages longer. Weights are BM25 (k1, b) of a term in an item, by document frequencies and the mean length of all
+items, divided by the item's own total: a passage that holds all of an item's terms scores 1, and THRESHOLD is the same
+for all items. What an item matches doesn't depend on which items share its index.
 
 An item's terms are split into those that may be left out (together below THRESHOLD) and the essential rest. Items are
 indexed in blocks; a term's entry for a block is its largest essential weight there. Only passages with an essential term
@@ -16,8 +18,9 @@ Which terms are left out first (the most frequent of a sample of SAMPLE document
 
 Words are in lower case, parted by white space and ASCII punctuation. Items and texts that are null or have no word match
 nothing. Equal items are found separately; repeated documents give repeated results; other columns are not read. An empty
-table of items or documents gives an empty result. The items are indexed in groups of GROUP, each sent to the executors
-by itself, so that what is sent is bounded.
+table of items or documents gives an empty result. The items are read twice by the driver, in order, first for their
+frequencies, then to be indexed in groups of at most GROUP items and GROUP_BYTES of text (or one longer item), each sent
+to the executors by itself, so that what is sent is bounded.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,10 +39,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import arrow_map, doc_texts, hash_share
 
 K1, B, THRESHOLD, OVERLAP = 1.2, 0.75, 0.55, 0.5
-BLOCK, GROUP = 8, 20_000
+BLOCK, GROUP, GROUP_BYTES, WINDOW = 8, 20_000, 16 << 20, 64
 #: ASCII bytes that part words, and those that an item's terms left out may fall short of THRESHOLD by.
 _PARTS = bytes(c if chr(c).isalnum() or chr(c) == "_" or c > 127 else 32 for c in range(256))
-SLACK, SAMPLE = 0.1, 1000
+SLACK, SAMPLE, SAMPLE_BYTES = 0.1, 1000, 1 << 16
 _BORDER = re.compile(r"[.!?\n]+\s*")
 
 
@@ -62,20 +65,40 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return found[:cut], found[cut:]
 
 
+class Statistics:
+    """Of all items: how many, how often each word, and their mean length."""
+
+    def __init__(self, texts: Iterable[list[bytes]]):
+        self.df: Counter[bytes] = Counter()
+        self.n = self.words = 0
+        for t in texts:
+            self.n += 1
+            self.words += len(t)
+            self.df.update(set(t))
+
+    def weights(self, t: list[bytes]) -> dict[bytes, float]:
+        """An item's terms with BM25 weights that sum to 1."""
+        norm = K1 * (1 - B + B * len(t) * self.n / (self.words or 1))
+        raw = {w: math.log(1 + (self.n - self.df[w] + 0.5) / (self.df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in sorted(Counter(t).items())}
+        total = sum(raw.values())
+        return {w: x / total for w, x in raw.items()}
+
+
+def _length_class(t: list[bytes]) -> int:
+    return 1 << (max(WINDOW, len(t)) - 1).bit_length()
+
+
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str]], seen: Counter | None = None):
+    """Items of one length class. stats: of all items; seen: which words are frequent in documents."""
+
+    def __init__(self, items: list[tuple[int, str]], stats: Statistics | None = None, seen: Counter | None = None):
         self.ids = [i for i, _ in items]
         texts = [words(t) for _, t in items]
-        self.window = 2 * max([8, *map(len, texts)])
+        stats = stats or Statistics(texts)
+        self.window = 2 * max(map(_length_class, texts), default=WINDOW)
         self.parts = [tuple(map(triples, question_answer(t or ""))) for _, t in items]
-        mean = sum(map(len, texts)) / max(1, len(texts)) or 1.0
+        self.weights = [stats.weights(t) for t in texts]
         df = Counter(w for t in texts for w in set(t))
-        self.weights: list[dict[bytes, float]] = []
-        for t in texts:
-            norm = K1 * (1 - B + B * len(t) / mean)
-            raw = {w: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in sorted(Counter(t).items())}
-            total = sum(raw.values())
-            self.weights.append({w: x / total for w, x in raw.items()})
         seen = seen or df
         best: dict[bytes, dict[int, float]] = defaultdict(dict)
         for i, weights in enumerate(self.weights):
@@ -144,28 +167,52 @@ class BlockMaxIndex:
 def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: each confirmed match of a document and an item."""
     docs = doc_texts(documents, id_col, text_col)
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull()).toLocalIterator()]
-    items = sorted((i for i in items if words(i[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
-    total = docs.count()
-    sample = docs.where(hash_share(F.col("text"), min(1.0, SAMPLE / max(1, total)))).select("text").toLocalIterator() if items else ()
-    vocabulary = {w for i in items for w in words(i[1])}
-    frequent: Counter[bytes] = Counter()
-    for r in sample:
-        frequent.update(w for w in words(r[0]) if w in vocabulary)
+    stats = Statistics(t for r in items.select("text").toLocalIterator() if (t := words(r[0])))
+    if not stats.n:
+        return spark.createDataFrame([], schema)
+    frequent = _frequent(docs, stats)
 
     def one(group: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(BlockMaxIndex(group, frequent))
+        sent = spark.sparkContext.broadcast(BlockMaxIndex(group, stats, frequent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
                 rows = [(d, index.ids[i], *found) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, found in index.matches(text).items()]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names)
 
         return arrow_map(docs, run, schema)
 
-    groups = [items[k : k + GROUP] for k in range(0, len(items), GROUP)]
-    return reduce(DataFrame.union, map(one, groups)) if groups else spark.createDataFrame([], schema)
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    return reduce(DataFrame.union, map(one, _groups(items)))
+
+
+def _groups(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items in order, in bounded groups of one length class."""
+    held: dict[int, list[tuple[int, str]]] = {}
+    sizes: Counter[int] = Counter()
+    for r in items.orderBy("id", "text").toLocalIterator():
+        found = words(r["text"])
+        if found:
+            k = _length_class(found)
+            if len(held.get(k, ())) >= GROUP or sizes[k] + len(r["text"]) > GROUP_BYTES and k in held:
+                yield held.pop(k)
+                sizes[k] = 0
+            held.setdefault(k, []).append((r["id"], r["text"]))
+            sizes[k] += len(r["text"])
+    yield from held.values()
+
+
+def _frequent(docs: DataFrame, stats: Statistics) -> Counter[bytes]:
+    """How often the items' words are in about SAMPLE distinct texts."""
+    total = docs.count()
+    # copies of a chosen text count once
+    sample = docs.where(hash_share(F.col("text"), min(1.0, SAMPLE / max(1, total))) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text").distinct()
+    out: Counter[bytes] = Counter()
+    for r in sample.toLocalIterator():
+        out.update(w for w in words(r[0]) if w in stats.df)
+    return out
