@@ -3,11 +3,13 @@
 For each language the training bytes give a tree of contexts of 0 to 3 bytes. The probability of a byte follows the
 longest context that was seen with it, after an escape for each longer one (method C: a context seen n times with q
 different bytes gives count/(n+q), and q/(n+q) to the escape); below all contexts each of 256 bytes is as likely. With
-frozen statistics a byte's code length depends on its context alone, so the tree is unrolled into a table, and a text's
-code length in every language is a sum of table rows. The shortest code wins; the score is the languages' posterior.
+frozen statistics a byte's code length depends on its context alone: for each order a table has the lengths of all bytes
+seen after all contexts in any language, and another the escapes of these contexts. A byte not in the table pays the
+escape and is looked up in the next shorter order. The shortest code wins; the score is the languages' posterior.
 
-Training reads a bounded sample (max_docs whole texts and max_bytes a language, chosen by hash); contexts beyond
-MAX_CONTEXTS, the rarest, are pruned to their shorter ones. Bytes beyond the 127 most frequent are escaped to the end.
+Training reads a bounded sample: of distinct texts, chosen by hash, about max_docs whole ones a language and max_bytes
+(together at most MAX_TOTAL), none longer than a quarter of max_bytes; that bounds the tables that are sent. Everything in
+the sample counts; no context and no byte value is left out.
 
 A text that is null or has no letter is `und` with score 0. Without any training language every text is `und`. Texts of
 any length count whole; ties go to the language first in order; other columns are not read; empty tables give empty
@@ -27,111 +29,118 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import arrow_map, doc_texts, hash_share
 
-MAX_DOCS, MAX_BYTES, MAX_CONTEXTS = 400, 4_000_000, 1 << 15
-ORDER, OTHER, UNKNOWN = 3, 0, "und"
+MAX_DOCS, MAX_BYTES, MAX_TOTAL = 400, 4_000_000, 32_000_000
+ORDER, UNKNOWN = 3, "und"
 _START = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
-_SLICE = 1 << 19
+_SLICE, _SLOTS = 1 << 18, 21
 
 
 def sample_by_language(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> dict[str, list[bytes]]:
-    """Whole texts of about max_docs documents a language and about max_bytes, chosen by a hash of the text."""
+    """About max_docs distinct whole texts a language and about max_bytes, chosen by a hash of the text."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
     if not sizes:
         return {}
+    max_bytes = min(max_bytes, MAX_TOTAL // len(sizes))
     chosen = F.lit(False)
     for row in sizes:
         share = min(1.0, max_docs / row["n"], max_bytes / max(1, row["b"]))
         chosen = chosen | ((F.col("lang") == row["lang"]) & hash_share(F.col("text"), share))
     texts: dict[str, list[bytes]] = {row["lang"]: [] for row in sizes}
-    for row in known.where(chosen).select("lang", "text").collect():
+    # copies of a chosen text are one
+    for row in known.where(chosen & (F.octet_length("text") <= max(4096, max_bytes // 4))).select("lang", "text").distinct().toLocalIterator():
         texts[row["lang"]].append(row["text"].encode())
     return texts
 
 
+class _Table:
+    """Rows of a matrix by code: most are found in a slot of the code's hash, the others by search."""
+
+    def __init__(self, codes: np.ndarray, rows: np.ndarray):
+        self.codes, self.rows = codes, rows
+        self.bits = min(_SLOTS, max(4, 3 + int(len(codes)).bit_length()))
+        self.slot = np.zeros(1 << self.bits, np.int32)
+        self.slot[self._hash(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        return codes.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the codes, and whether they are there at all."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        at = self.slot[self._hash(codes)]
+        found = self.codes[at] == codes
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            place = np.minimum(np.searchsorted(self.codes, codes[rest]), len(self.codes) - 1).astype(np.int32)
+            at[rest], found[rest] = place, self.codes[place] == codes[rest]
+        return at, found
+
+
 class Ppm:
-    """Tables of code lengths for all languages."""
+    """Tables of code lengths for all languages. A code is the last bytes as a number, the one predicted lowest."""
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
         if not self.languages:
             return
-        seen = np.zeros(256, np.int64)
-        joined = [np.frombuffer(b"".join(_START + t for t in sorted(texts[x])) or _START, np.uint8) for x in self.languages]
-        for data in joined:
-            seen += np.bincount(data, minlength=256)
-        kept = sorted(np.argsort(-seen, kind="stable")[:127][seen[np.argsort(-seen, kind="stable")[:127]] > 0])
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[kept] = np.arange(1, len(kept) + 1)
-        self.size = size = len(kept) + 1
-        coded = [self.symbol[data] for data in joined]
-        counted = [self._grams(data) for data in coded]
-        thirds = self._frequent_contexts([c[3] for c in counted])
-        # states: pairs of bytes first, then the kept triples
-        self.state = np.repeat(np.arange(size * size, dtype=np.int32)[None, :], size, 0).reshape(-1)
-        self.state[thirds] = size * size + np.arange(len(thirds), dtype=np.int32)
-        self.table = np.empty(((size * size + len(thirds)) * size, len(self.languages)), np.float32)
-        for k, grams in enumerate(counted):
-            self.table[:, k] = self._lengths(grams, thirds)
-
-    def _grams(self, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For 1 to 4 symbols: codes and counts."""
-        out, code = [], np.zeros(max(0, len(data) - ORDER), np.int64)
+        joined = [np.frombuffer(b"".join(_START + t for t in sorted(texts[x])) or _START, np.uint8).astype(np.int64) for x in self.languages]
+        self.seen: list[_Table] = []
+        self.escapes: list[_Table] = []
         for k in range(ORDER + 1):
-            # the last symbol of each gram is the one predicted
-            code = code + data[ORDER - k : len(data) - k].astype(np.int64) * self.size**k
-            out.append(np.unique(code, return_counts=True))
+            counted = [np.unique(self._codes(data, k), return_counts=True) for data in joined]
+            codes = np.unique(np.concatenate([c for c, _ in counted]))
+            contexts = np.unique(codes >> 8)
+            lengths = self._lengths(codes & ((1 << 8 * k) - 1), k - 1)
+            escapes = np.zeros((len(contexts), len(self.languages)))
+            for i, (own, n) in enumerate(counted):
+                if len(own):
+                    at = np.searchsorted(contexts, own >> 8)
+                    total, different = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+                    some = total > 0
+                    escapes[some, i] = -np.log2(different[some] / (total + different)[some])
+                    lengths[:, i] += escapes[np.searchsorted(contexts, codes >> 8), i]
+                    lengths[np.searchsorted(codes, own), i] = -np.log2(n / (total + different)[at])
+            self.escapes.append(_Table(contexts.astype(np.uint32), escapes.astype(np.float32)))
+            self.seen.append(_Table(codes.astype(np.uint32), lengths.astype(np.float32)))
+
+    @staticmethod
+    def _codes(data: np.ndarray, k: int) -> np.ndarray:
+        """Of each byte after the start, with k bytes before it."""
+        code = np.zeros(max(0, len(data) - ORDER), np.int64)
+        for j in range(k + 1):
+            code |= data[ORDER - j : len(data) - j] << 8 * j
+        return code
+
+    def _lengths(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """Bits of each code's lowest byte in each language."""
+        if k < 0:
+            return np.full((len(codes), len(self.languages)), 8.0, np.float32)
+        at, found = self.seen[k].find(codes)
+        out = self.seen[k].rows[at] if len(self.seen[k].rows) else np.zeros((len(codes), len(self.languages)), np.float32)
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            out[rest] = self._lengths(codes[rest] & ((1 << 8 * k) - 1), k - 1)
+            at, found = self.escapes[k].find(codes[rest] >> 8)
+            out[rest[found]] += self.escapes[k].rows[at[found]]
         return out
 
-    def _frequent_contexts(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        contexts = np.concatenate([codes // self.size for codes, _ in grams])
-        counts = np.concatenate([n for _, n in grams])
-        found, at = np.unique(contexts, return_inverse=True)
-        total = np.bincount(at, counts, len(found))
-        return np.sort(found[np.argsort(-total, kind="stable")[:MAX_CONTEXTS]])
-
-    def _lengths(self, grams: list[tuple[np.ndarray, np.ndarray]], thirds: np.ndarray) -> np.ndarray:
-        size = self.size
-        shorter = np.full((1, size), np.log2(256.0))
-        out = []
-        for k, (codes, counts) in enumerate(grams):
-            contexts = size**k if k < ORDER else len(thirds)
-            context, symbol = codes // size, codes % size
-            if k < ORDER:
-                below = np.broadcast_to(shorter, (contexts // max(1, len(shorter)), *shorter.shape)).reshape(-1, size)[:contexts] if k else shorter
-            else:
-                at = np.searchsorted(thirds, context)
-                hit = (at < len(thirds)) & (thirds[np.minimum(at, len(thirds) - 1)] == context) if len(thirds) else np.zeros(len(at), bool)
-                context, symbol, counts = at[hit], symbol[hit], counts[hit]
-                below = shorter[thirds % (size * size)]
-            real = symbol != OTHER
-            n = np.bincount(context, counts, contexts)
-            q = np.bincount(context[real], minlength=contexts).astype(float)
-            q = np.where((n > 0) & (q == 0), 1.0, q)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(n > 0, -np.log2(np.where(n > 0, q / (n + q), 1.0)), 0.0)
-            table = below + escape[:, None]
-            c = context[real]
-            table[c, symbol[real]] = -np.log2(counts[real] / (n + q)[c])
-            shorter = table
-            if k >= ORDER - 1:
-                out.append(table.reshape(-1))
-        return np.concatenate(out).astype(np.float32)
-
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
-        size = self.size
         out = np.zeros((len(texts), len(self.languages)))
         if not texts:
             return out
-        data = self.symbol[np.frombuffer(b"".join(_START + t for t in texts), np.uint8)]
+        data = np.frombuffer(b"".join(_START + t for t in texts), np.uint8)
         ends = np.cumsum([len(t) + ORDER for t in texts])
         owner_starts = ends - np.array([len(t) for t in texts])
         for a in range(ORDER, len(data), _SLICE):
             b = min(len(data), a + _SLICE)
-            rows = self.state[(data[a - 3 : b - 3] * size + data[a - 2 : b - 2]) * size + data[a - 1 : b - 1]] * size + data[a:b]
-            bits = self.table[rows]
+            code = np.zeros(b - a, np.uint32)
+            for j in range(ORDER + 1):
+                code |= data[a - j : b - j].astype(np.uint32) << np.uint32(8 * j)
+            bits = self._lengths(code, ORDER)
             first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b - 1, "right")
             for i in range(first, last + 1):
                 lo, hi = max(a, owner_starts[i]), min(b, ends[i])
