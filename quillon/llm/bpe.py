@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import arrow_map, doc_texts
 
 #: Entries after which a worker forgets what it has remembered.
-PIECES_KEPT, PAIRS_KEPT = 300_000, 500_000
+PIECES_KEPT, PAIRS_KEPT = 100_000, 200_000
 NO_TOKEN = -1
 
 

@@ -8,7 +8,8 @@ are) does so by itself, the two others only with a fitting word in the CONTEXT c
 Places are code points, ends exclusive; matches of one kind don't overlap, and a match that fails its check is dropped
 without another try. A null text counts as empty; an empty text has no spans. Expressions are written so that time is
 linear in the text and no match recurses, however long the text is. Repeated rows give repeated results, empty tables
-empty ones, and other columns are passed through (a clashing name of an added column is an error of Spark's).
+empty ones, and other columns are passed through; a column with the name of the added one is replaced by it, after the
+text was read.
 """
 
 from __future__ import annotations
@@ -97,10 +98,14 @@ def _spans(kind: str, text: str) -> str:
     return f"case when {text} rlike r'{test}' then {found} else {_NONE} end"
 
 
+def _all_spans(text_col: str) -> str:
+    text = f"coalesce(cast(`{text_col}` as string), '')"
+    return f"array_sort(concat({', '.join(_spans(k, text) for k in KINDS)}))"
+
+
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds `pii`: array of (start, kind_no, end, kind, score, base), sorted by start and then kind."""
-    text = f"coalesce(cast(`{text_col}` as string), '')"
-    return df.withColumn("pii", F.expr(f"array_sort(concat({', '.join(_spans(k, text) for k in KINDS)}))"))
+    return df.withColumn("pii", F.expr(_all_spans(text_col)))
 
 
 def written(spans: Column) -> Column:
@@ -115,7 +120,9 @@ def count(spans: Column, kind: str) -> Column:
 def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:
     """Adds the text with each span replaced by its kind in brackets; of overlapping spans the first counts and the rest
     of a later one goes too. A null text stays null; a text without spans stays as it is."""
-    text = f"`{text_col}`"
+    text = f"cast(`{text_col}` as string)"
     step = f"named_struct('at', greatest(a.at, x.end), 'out', case when x.start >= a.at then concat(a.out, array(substring({text}, cast(a.at + 1 as int), cast(x.start - a.at as int)), concat('[', upper(x.kind), ']'))) else a.out end)"
-    whole = f"aggregate(pii, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substring({text}, cast(a.at + 1 as int))))"
-    return find(df, text_col).withColumn(out_col, F.expr(f"case when size(pii) = 0 then {text} else {whole} end"))
+    whole = f"aggregate(p, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substring({text}, cast(a.at + 1 as int))))"
+    # a bound variable, so that the spans are found once
+    redacted = f"element_at(transform(array({_all_spans(text_col)}), p -> case when size(p) = 0 then {text} else {whole} end), 1)"
+    return df.withColumn(out_col, F.expr(redacted))

@@ -8,7 +8,9 @@ there the published score is CUT, so that `score >= CUT` is the decision.
 Labels come from a bounded sample: about MAX_LABELS of each class, chosen by hash (no more are held by the driver); only
 features of these documents are collected. Features are shares and ratios over the whole text, and ramps of them between
 quantiles of the sample. Empty and null texts have the features of no text and get a score too. With labels of one class
-only, or none, every score is CUT. Repeated rows give repeated results; other columns are not read.
+only, or none, every score is CUT. A document with contradicting labels counts as bad; repeated rows count once in the
+fit and give repeated results; a score equal to CUT is predicted 1; other columns are not read; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -110,14 +112,16 @@ def _features(docs: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality", max_labels: int = MAX_LABELS) -> Ranker:
     """train: a condition on doc_id that says which labels may be used."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(train & F.col("label").isin(0, 1))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    known = known.where(train & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     chosen = F.lit(False)
     for label, n in counts.items():
         chosen = chosen | ((F.col("label") == label) & hash_share(F.col("doc_id"), min(1.0, max_labels / n)))
     # about 2 * max_labels rows whatever the input
-    sample = known.where(chosen).dropDuplicates(["doc_id"])
-    rows = _features(doc_texts(documents).join(F.broadcast(sample), "doc_id").select("label", "text")).collect()
+    sample = known.where(chosen).groupBy("doc_id").agg(F.min("label").alias("label"))
+    texts = doc_texts(documents).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").distinct()
+    rows = _features(texts.select("label", "text")).collect()
     part = [np.array([r["x"] for r in rows if r["label"] == k], float) for k in (1, 0)]
     return Ranker(*(x[np.lexsort(x.T)] if len(x) else x for x in part))
 
