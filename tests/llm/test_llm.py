@@ -161,6 +161,12 @@ def test_quality(spark, none):
     assert out.count() == df.count() and all(0 <= s <= 1 and p == (s >= 0.3) for s, p in got.values())
     assert sum(got[i][1] == (i < 150) for i in range(0, 290, 5)) >= 56
     assert quality.fit(df, labels.where("quality = 1"), F.lit(True)).known is False
+    unknown = by_id(quality.score(df, quality.fit(df, labels.where("false"), F.lit(True))), "score", "predicted")
+    assert set(unknown.values()) == {(0.3, 1)}  # a tie with the cut
+    twice = labels.unionByName(labels.selectExpr("doc_id", "1 - quality quality", "toxic"))
+    assert quality.fit(df, twice.repartition(5), F.lit(True)).known is False  # contradictions count as bad
+    long = spark.createDataFrame([(1, "word " * 300_000)], "doc_id long, text string")
+    assert quality.score(long, quality.fit(df, labels, F.lit(True))).count() == 1
     assert quality.score(none, quality.fit(none, labels, F.lit(True))).count() == 0
 
 
@@ -174,6 +180,17 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_item_alone(spark, monkeypatch):
+    items = [(i, prose(random.randint(20, 50))) for i in range(30)] + [(99, prose(900))]
+    rows = [(i, f"{prose(200)} {t} {prose(100)}") for i, t in items] + [(500, prose(400))]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    assert {(i, i) for i, _ in items} <= {r[:2] for r in want}
+    monkeypatch.setattr(decontaminate, "GROUP", 4)
+    got = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
+
+
 def test_decontamination_bounds_lose_nothing():
     items = [(i, prose(random.randint(12, 50))) for i in range(60)]
     index = decontaminate.BlockMaxIndex(items)
@@ -224,6 +241,10 @@ def test_html_drops_only_scripts_and_styles():
     for name in ("noscript", "template", "object"):
         assert blocks(f"<p>One.</p><{name}>Two.</{name}><p>Three.</p>") == ["One.", "Two.", "Three."]
     assert blocks("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == ["So x=1 holds."]
+    assert blocks('<p>Hello <a title="a<b" href=x>link</a> world.</p>') == ["Hello link world."]
+    assert blocks("<p>Hello <a title='a<b>c' href=x>link</a> world.</p>") == ["Hello link world."]
+    assert blocks('<p>One <a title="b>two</a> <b class="x">three</b>.</p>') == ["One two three."]
+    assert blocks("<p>A &am<b>p; b &amp;lt; c</b></p>") == ["A &amp; b &lt; c"]
     assert blocks("<title>T</title><p>One<script>no<p>no</script><style>no") == ["One"]
 
 
@@ -262,6 +283,18 @@ def test_language(spark, none):
     assert language.sample_by_language(none, F.lit(True)) == {}
 
 
+def test_language_with_many_byte_values():
+    train = {"x": ["".join(chr(c) for c in range(0x100, 0x800, 3)).encode(), "".join(chr(c) for c in range(0x3040, 0x30A0)).encode()], "y": [b"plain", b""]}
+    model = language.Ppm(train)
+    for t in ("なにか".encode(), "ÿĀ plain".encode(), bytes(range(1, 250)), b""):
+        assert np.allclose(model.lengths([t, t])[1], [code_length(train[k], t) for k in model.languages], atol=1e-2)
+
+
+def test_language_sample_is_of_distinct_texts(spark):
+    df = spark.createDataFrame([(i, "one text", "en") for i in range(500)] + [(900, "other", "de"), (901, "x" * 5000, "de")], "doc_id long, text string, lang string")
+    assert language.sample_by_language(df, F.lit(True), max_docs=1000, max_bytes=8000) == {"en": [b"one text"], "de": [b"other"]}
+
+
 def test_spans(spark, none):
     passage = "A long first sentence that says one thing at some length. Then a second one goes on and on about it. And a third ends it all at last."
     rows = [(3, f"Before it all. {passage} After it."), (1, f"{passage} Other words follow here."), (2, "Nothing in common. At all."), (4, None), (5, ""), (6, passage), (6, passage), (7, "Hi. Hi. Hi.")]
@@ -313,6 +346,44 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (700, 701, 702, 703, 705, 706))
 
 
+def linked_vectors(rows):
+    """By brute force: id -> (number of links, least id reachable), of rows whose ids may repeat."""
+    ok = [r[1] is not None and r[2] is not None and len(r[1]) > 0 and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    link = [[i != j and ok[i] and ok[j] and a[2] == b[2] and len(a[1]) == len(b[1]) and cos(a[1], b[1]) >= 0.98 for j, b in enumerate(rows)] for i, a in enumerate(rows)]
+    least = [r[0] for r in rows]
+    for _ in rows:
+        least = [min([least[i], *(least[j] for j in range(len(rows)) if link[i][j])]) for i in range(len(rows))]
+    return sorted((r[0], sum(link[i]), least[i]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_vectors_of_all_lengths(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    rows = []
+    for width in (1, 2, 3, 8):
+        centres = rng.normal(size=(3, width))
+        for _ in range(12):
+            rows.append((len(rows), [float(np.float32(x)) for x in centres[rng.integers(3)] + rng.normal(size=width) * 0.05], int(rng.integers(2))))
+    rows += [(100, [1.0, 0.0, 0.0], 7), (101, [49.0, 7.0, 7.0], 7), (102, [0.0, 0.0, 1.0], 7), (103, [-1.0, 0.0, 0.0], 7), (104, [-0.0, 1.0], 7), (105, [0.0, 1.0], 7)]
+    rows += [(0, rows[0][1], rows[0][2]), (0, rows[40][1], rows[40][2]), (106, None, 7), (107, [], 7), (108, [1.0, None], 7), (109, [0.0, 0.0, 0.0], 7)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, width string")
+    for widths, block in ((vectors.WIDTHS, vectors.BLOCK), (2, 5)):  # 2, 5: lengths without codebook, and split lists
+        monkeypatch.setattr(vectors, "WIDTHS", widths)
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        out = vectors.near_vectors(df).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == linked_vectors(rows)
+        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
+    assert vectors.near_vectors(df.where("false")).count() == 0
+
+
+def test_vectors_at_the_limit(spark):
+    # 49 / sqrt(49^2 + 7^2 + 7^2 + 1) = 49 / 50 = 0.98
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [49.0, 7.0, 7.0, 1.0], 1), (3, [49.0, 7.0, 7.0, 1.001], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_lattice(docs, none):
     path = P.path("piece_bpe_32k.model")
     m = lattice.Pieces(open(path, "rb").read())
@@ -322,7 +393,19 @@ def test_lattice(docs, none):
         for e in range(1, len(t) + 1):
             terms = [alpha[s] + weight[t[s:e]] for s in range(max(0, e - m.longest), e) if t[s:e] in weight]
             alpha.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
-        assert abs(m.scores([w, b"longer than it"], m.log)[0] - alpha[-1]) < 1e-9
+        assert abs(m.scores([w, b"longer than it"], m.log)[0][0] - alpha[-1]) < 1e-9
+
+    def segmentations(t):
+        if not t:
+            yield []
+        for k in range(1, len(t) + 1):
+            if t[:k] in weight:
+                for rest in segmentations(t[k:]):
+                    yield [t[:k], *rest]
+
+    def marginal(w):
+        return math.log10(sum(math.prod(math.exp(weight[x]) for x in s) for s in segmentations(b" " + w)))
+
     held = F.coalesce(F.col("doc_id"), F.lit(0)) % 4 == 2
     scored = lattice.score(docs, ~held, path)
     assert scored.count() == docs.count()
@@ -332,14 +415,24 @@ def test_lattice(docs, none):
             counts.update((t or "").encode().lower().split())
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
-    got = by_id(scored, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = by_id(scored, "n_tokens", "n_known", "train_tokens", "base_score", "score", "fitted_score")
+    end = (ends + 1) / (n + 2)
     for i, t in every:
         w = (t or "").encode().lower().split()
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        assert got[i][:3] == (len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n) and abs(got[i][3] - base) < 1e-6 and -1e7 < got[i][4] < 0
+        assert got[i][:3] == (len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n) and abs(got[i][3] - base) < 1e-6 and -1e7 < got[i][5] < 0
+        if sum(map(len, w)) < 200:
+            assert abs(got[i][4] - sum(marginal(x) + math.log10(1 - end) for x in w) - math.log10(end)) < 1e-9
+        assert math.isfinite(got[i][4]) and math.isfinite(got[i][5])
     assert lattice.score(none, F.lit(True), path).count() == 0
 
 
+def test_lattice_is_never_infinite(spark):
+    df = spark.createDataFrame(list(enumerate(["aa bb", "aa bb", "cc cc", "aa newword", None])), "doc_id long, text string")
+    got = by_id(lattice.score(df, F.col("doc_id") != 3, P.path("piece_bpe_32k.model")), "score", "fitted_score")
+    assert len(got) == 5 and all(-1000 < x < 0 for r in got.values() for x in r)
+
+
 def test_lattice_has_long_pieces():
     m = lattice.Pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
     assert " является".encode() in m.pieces and m.longest == max(map(len, m.pieces)) > 16
@@ -360,6 +453,34 @@ def test_pipeline_language(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline._by_language(spark, df, "").collect()) == [3, 4]
 
 
+def test_pipeline_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    text, other, item = prose(60), prose(70), "What do stones in the river hold? They hold the slow cold memory of spring floods and ice."
+    rows = [
+        (1, text, "en", 3), (1, text, "en", 2), (3, text.upper(), None, 1), (5, text, "en", 1), (5, other, "de", 1), (6, None, "en", 1), (7, "", "en", 1), (8, "12 !?", "en", 1),
+        (9, f"{prose(50)} {item} {prose(50)}", "en", 1), (9, prose(50), "en", 1), (10, prose(30) + " write to me@example.org now", "en", 1), (None, text, "en", 1), (11, "two words", "en", 1), (12, "two words", "en", 1),
+    ]
+    df = spark.createDataFrame([(*r, 0, "p", "r", "k", "s") for r in rows], "doc_id long, text string, lang string, source int, n_chars long, pii string, redacted string, kept string, lang_pred string")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps, docs = [], df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == df.columns
+        steps.append(docs.collect())
+    ids = [sorted((r["doc_id"] or 0, r["source"]) for r in x) for x in steps]
+    assert ids[0] == sorted((r[0] or 0, r[3]) for r in rows if r[0] not in (6, 7, 8))
+    assert ids[1] == [(0, 1), (1, 2), (5, 1), (9, 1), (9, 1), (10, 1), (11, 1)]
+    assert ids[2] == [(0, 1), (1, 2), (5, 1), (9, 1), (10, 1), (11, 1)]
+    assert all(r["lang"] for r in steps[0]) and next(r for r in steps[1] if r["doc_id"] == 5)["text"] == other
+    last = {r["doc_id"]: r for r in steps[3]}
+    assert last[10]["text"].endswith(" write to [EMAIL] now") and last[10]["n_chars"] == len(last[10]["text"]) and last[1]["pii"] == "p" and last[1]["kept"] == "k"
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sorted(r["decoded_sha256"] for r in done) == sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in steps[3])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
