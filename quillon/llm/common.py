@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: How much Spark sends to a Python worker at once while an operator writes an intermediate table.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it the session's jobs send Arrow batches of at most BATCH_BYTES; then its setting is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,8 +66,8 @@ ArrowStep = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def arrow_map(df: DataFrame, fn: ArrowStep, schema: str | T.StructType, rows: int = 256, size: int = 1 << 20) -> DataFrame:
     """mapInArrow whose function sees slices of at most `rows` rows and about `size` bytes (a longer row comes alone, or
-    with few others). Spark bounds what it sends at once by spark.sql.execution.arrow.maxBytesPerBatch; no setting of the
-    session is changed."""
+    with few others). What Spark sends at once is bounded by spark.sql.execution.arrow.maxBytesPerBatch, which this leaves
+    alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
