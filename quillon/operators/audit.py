@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.blocks import in_blocks
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose key has no parent."""
@@ -70,3 +72,15 @@ def case_scores(cases: DataFrame) -> DataFrame:
     hits = F.size(F.filter("forbidden", lambda s: F.contains(text, F.lower(s))))
     recall = F.when(F.size("required") == 0, 1.0).otherwise(found / F.size("required"))
     return cases.select("case_id", F.round(recall, 6).alias("recall"), hits.cast("long").alias("forbidden_hits"), ((recall == 1.0) & (hits == 0)).alias("passed"))
+
+
+def containing(docs: DataFrame, text: str, items: DataFrame, item: str, words: int = 4) -> DataFrame:
+    """Pairs of rows whose text contains the item as it is. Candidates share the item's run of `words` whole words from its
+    second on (the first may end another word), by equality; an item too short for that is compared with every text."""
+    run = lambda c, lo: F.array_join(F.slice(c, lo, words), " ")
+    asked = items.withColumn("_w", F.split(item, " "))
+    long = asked.where(F.size("_w") >= words + 2).withColumn("_k", F.xxhash64(run(F.col("_w"), 2))).drop("_w")
+    found = docs.withColumn("_w", F.split(text, " ")).withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.xxhash64(run(F.col("_w"), i)))))).drop("_w")
+    out = found.join(long, "_k").drop("_k").where(F.contains(text, F.col(item)))
+    short = asked.where(F.size("_w") < words + 2).drop("_w")
+    return out.unionByName(in_blocks(short, item, lambda block: docs.join(block, F.contains(text, F.col(item)))).select(*out.columns))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
@@ -23,24 +27,54 @@ def rank_by(df: DataFrame, key: str | list[str], score: str, tie: str, k: int |
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 5) -> DataFrame:
-    """query_id, id, score, rank. queries(query_id, q), corpus(id, v): unit vectors. The queries are the small, stated
-    side; the corpus stays where it is and each part keeps k rows a query before anything moves."""
-    one = lambda block: rank_by(corpus.join(block).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score")), "query_id", "score", "id", k)
-    return in_blocks(queries, "query_id", one)
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 5, at_once: int = 16 << 20) -> DataFrame:
+    """query_id, id, score, rank. queries(query_id, q), corpus(id, v): unit vectors of one length. The queries are the
+    small, stated side: they are sent in blocks of at most `at_once` bytes. The corpus stays where it is; of each batch of
+    it only what can be among a query's first k moves."""
+    kind = {c.name: c.dataType.simpleString() for c in (queries.schema["query_id"], corpus.schema["id"])}
+    arrow_type = to_arrow_type(queries.schema["query_id"].dataType)
+    rows = corpus.select("id", F.col("v").cast("array<double>").alias("v"))
+
+    def one(names: list, asked: list) -> DataFrame:
+        sent = queries.sparkSession.sparkContext.broadcast((names, np.array(asked, float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = pa.array(sent.value[0], arrow_type), sent.value[1]
+            for batch in batches:
+                n = batch.num_rows
+                if n:
+                    # not a library's matrix product, whose rounding may depend on a row's place
+                    score = np.einsum("ij,kj->ik", asked, batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+                    least = np.partition(score, n - k, 1)[:, n - k, None] if k and k < n else -np.inf
+                    q, e = np.nonzero(score >= least)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("id").take(pa.array(e)), pa.array(score[q, e])], ["query_id", "id", "score"])
+
+        return rows.mapInArrow(run, f"query_id {kind['query_id']}, id {kind['id']}, score double")
+
+    parts, names, asked = [], [], []
+    for row in queries.select("query_id", F.col("q").cast("array<double>")).toLocalIterator():
+        names.append(row[0])
+        asked.append(row[1])
+        if 8 * len(row[1]) * len(asked) >= at_once:
+            parts.append(one(names, asked))
+            names, asked = [], []
+    if names or not parts:
+        parts.append(one(names, asked) if names else queries.sparkSession.createDataFrame([], f"query_id {kind['query_id']}, id {kind['id']}, score double"))
+    return rank_by(reduce(DataFrame.unionAll, parts), "query_id", "score", "id", k)
 
 
 def resolve(queries: DataFrame, terms: DataFrame, redirects: DataFrame) -> DataFrame:
     """query, kind, targets: the first of current id, alternate, replaced_by, consider, obsolete without target, unknown.
     terms(id, obsolete), redirects(id, kind, target)."""
     at = lambda n, kind: (F.lit(n).alias("p"), F.lit(kind).alias("kind"))
+    nothing = F.lit(None).cast(terms.schema["id"].dataType).alias("target")
     current = queries.join(terms.where("not obsolete"), queries.query == terms.id).select("query", *at(0, "canonical"), F.col("id").alias("target"))
     found = [current]
     for n, (kind, name) in enumerate((("alt_id", "alternate"), ("replaced_by", "obsolete_replaced_by"), ("consider", "obsolete_consider")), 1):
         r = redirects.where(F.col("kind") == kind).select(F.col("id").alias("query"), "target")
         found.append(queries.join(r, "query").select("query", *at(n, name), "target"))
-    found.append(queries.join(terms.where("obsolete"), queries.query == terms.id).select("query", *at(4, "obsolete_unresolved"), F.lit(None).cast("long").alias("target")))
-    found.append(queries.select("query", *at(5, "unknown_identifier"), F.lit(None).cast("long").alias("target")))
+    found.append(queries.join(terms.where("obsolete"), queries.query == terms.id).select("query", *at(4, "obsolete_unresolved"), nothing))
+    found.append(queries.select("query", *at(5, "unknown_identifier"), nothing))
     every = reduce(DataFrame.unionByName, found)
     first = every.groupBy("query").agg(F.min(F.struct("p", "kind")).alias("m"))
     return every.join(first, "query").where("p = m.p").groupBy("query", "kind").agg(F.array_sort(F.collect_set("target")).alias("targets"))
@@ -48,12 +82,13 @@ def resolve(queries: DataFrame, terms: DataFrame, redirects: DataFrame) -> DataF
 
 def lexical_scores(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """query, id, score (R2). aliases(id, alias, is_name). Exact names 10000, synonyms 9000; else containment either way
-    100 and the shared tokens; and the words a query shares with the name. The queries are the small, stated side."""
-    q = queries.select("query", F.lower(F.trim("query")).alias("q")).withColumns({"qw": T.words("q"), "qt": T.tokens("q")})
+    100 and the query's words among the alias's tokens; and the words a query shares with the name. The queries are the
+    small, stated side; every alias is looked at. engine.lexical gives the same from an index."""
+    q = queries.select("query", F.lower(F.trim("query")).alias("q")).withColumn("qw", T.words("q"))
     a = aliases.select("id", "is_name", F.lower("alias").alias("a")).withColumns({"aw": T.words("a"), "at": T.tokens("a")})
     exact = F.col("a") == F.col("q")
     near = (F.length("q") > 0) & (F.contains("a", F.col("q")) | F.contains("q", F.col("a")))
-    by_alias = F.when(exact & F.col("is_name"), 10000).when(exact, 9000).when(near, 100 + F.size(F.array_intersect("qt", "at")))
+    by_alias = F.when(exact & F.col("is_name"), 10000).when(exact, 9000).when(near, 100 + F.size(F.array_intersect("qw", "at")))
     shared = F.when(F.col("is_name"), F.size(F.array_intersect("qw", "aw")))
     score = F.greatest(by_alias, F.when(shared > 0, shared))
     one = lambda block: a.join(block).select("query", "id", score.alias("score")).where("score is not null")

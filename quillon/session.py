@@ -39,9 +39,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only where the session is local and names none."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="quillon-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
+
+
 def cut(df):
     """The same rows without their lineage: checkpointed in the folder that the session shares."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import quoted
@@ -25,20 +25,46 @@ def fields(parts: DataFrame) -> DataFrame:
     return lines.select("n", "kind", "line", F.trim(pair[0]).alias("key"), F.trim(pair[1]).alias("value"))
 
 
+def header(parts: DataFrame) -> DataFrame:
+    """format_version, data_version, license of the text before the first stanza (S4); null where a line is missing."""
+    top = parts.where("kind = ''").select(F.col("body").alias("h"))
+    value = lambda key: F.nullif(F.regexp_extract("h", rf"(?m)^{key}:\s*(\S+)", 1), F.lit(""))
+    licence = F.nullif(F.regexp_extract("h", r"(?m)^property_value:\s*(?:terms:license|http://purl\.org/dc/(?:terms|elements/1\.1)/(?:license|rights))\s+\"?([^\s\"]+)", 1), F.lit(""))
+    return top.select(value("format-version").alias("format_version"), value("data-version").alias("data_version"), licence.alias("license"))
+
+
+def problems(parts: DataFrame, found: DataFrame, expected_terms: int | None = None) -> DataFrame:
+    """problem, n of a file (S3, X32): header lines that are missing, repeated or missing ids, terms without a name,
+    synonyms without a quoted text or with an unknown scope, and a number of terms other than expected."""
+    h, t, s = header(parts), terms(found), synonyms(found)
+    one = lambda name, n: F.struct(F.lit(name).alias("problem"), n.cast("long").alias("n"))
+    top = h.agg(F.array(one("no data version", F.count_if(F.col("data_version").isNull())), one("no license", F.count_if(F.col("license").isNull()))).alias("a"))
+    body = t.agg(F.array(one("no id", F.count_if(F.col("id").isNull())), one("no name", F.count_if(F.col("name").isNull())), one("repeated id", F.count("id") - F.count_distinct("id")), one("number of terms", F.abs(F.count("*") - F.lit(expected_terms)) if expected_terms is not None else F.lit(0))).alias("a"))
+    syn = s.agg(F.array(one("unquoted synonym", F.count_if(F.col("value").isNull())), one("unknown scope", F.count_if(F.col("scope").isNull()))).alias("a"))
+    return top.union(body).union(syn).select(F.explode("a").alias("e")).select("e.*")
+
+
 def terms(found: DataFrame) -> DataFrame:
-    """id, name, namespace, definition, obsolete of the Term stanzas."""
+    """id, name, namespace, definition, its xrefs (F4), obsolete of the Term stanzas."""
     one = lambda key: F.first(F.when(F.col("key") == key, F.col("value")), True)
     t = found.where("kind = 'Term'").groupBy("n").agg(one("id").alias("id"), one("name").alias("name"), one("namespace").alias("namespace"), one("def").alias("def"), one("is_obsolete").alias("o"))
-    return t.select("id", "name", "namespace", quoted(F.col("def"))[0].alias("definition"), F.coalesce(F.col("o") == "true", F.lit(False)).alias("obsolete"))
+    return t.select("id", "name", "namespace", quoted(F.col("def"))[0].alias("definition"), _xrefs(quoted(F.col("def"))[1]).alias("definition_xrefs"), F.coalesce(F.col("o") == "true", F.lit(False)).alias("obsolete"))
+
+
+def _xrefs(rest: Column) -> Column:
+    """What stands in a tail's brackets."""
+    return F.filter(F.split(F.regexp_extract(rest, r"\[([^\]]*)\]", 1), r",\s*"), lambda x: x != "")
 
 
 def synonyms(found: DataFrame) -> DataFrame:
-    """id, line, value, scope, xrefs of each synonym; a scope outside SCOPES is null."""
+    """id, line, value, scope, type, xrefs, raw of each synonym (F3); a scope outside SCOPES is null, which problems()
+    counts."""
     ids = found.where("kind = 'Term' and key = 'id'").select("n", F.col("value").alias("id"))
     value, rest = quoted(F.col("value"))
     scope = F.regexp_extract(rest, r"^([A-Z]+)", 1)
-    xrefs = F.filter(F.split(F.regexp_extract(rest, r"\[([^\]]*)\]", 1), r",\s*"), lambda x: x != "")
-    return found.where("kind = 'Term' and key = 'synonym'").join(ids, "n").select("id", "line", value.alias("value"), F.when(scope.isin(*SCOPES), scope).alias("scope"), xrefs.alias("xrefs"))
+    kind = F.nullif(F.regexp_extract(rest, r"^[A-Z]+\s+([^\s\[]+)", 1), F.lit(""))
+    rows = found.where("kind = 'Term' and key = 'synonym'").join(ids, "n")
+    return rows.select("id", "line", value.alias("value"), F.when(scope.isin(*SCOPES), scope).alias("scope"), kind.alias("type"), _xrefs(rest).alias("xrefs"), F.col("value").alias("raw"))
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -61,6 +87,49 @@ def read_obo(spark: SparkSession, path: str) -> DataFrame:
     return fields(stanzas(spark.read.text(path, wholetext=True)))
 
 
+def from_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stanzas and fields of whole OBO texts."""
+    parts = stanzas(texts)
+    return parts, fields(parts)
+
+
+def fold_paths(root: str, fold: int) -> dict[str, str]:
+    """Places of a fold's tables."""
+    if fold not in (1, 2, 3):
+        raise ValueError("folds are 1, 2 and 3")
+    return {name: f"{root}/fold{fold}/{name}" for name in ("images", "masks", "types")}
+
+
+def annotations(lines: DataFrame, vocabulary: list[str], excluded: list[str] = ()) -> DataFrame:
+    """path, label of lines `path label` (S11); excluded labels are left out, a label outside the vocabulary is an error."""
+    p = F.split(F.trim("value"), r"\s+(?=\S+$)")
+    rows = lines.where("trim(value) <> ''").select(p[0].alias("path"), F.get(p, F.lit(1)).alias("label"))
+    rows = rows.where(F.col("label").isNull() | ~F.col("label").isin(list(excluded)))
+    if rows.where(F.col("label").isNull() | ~F.col("label").isin(list(vocabulary))).limit(1).count():
+        raise ValueError("a label is not in the vocabulary")
+    return rows
+
+
+def sidecars(lines: DataFrame) -> DataFrame:
+    """name, sha256 of lines `digest  name` (F23); others are null."""
+    ok = F.col("value").rlike(r"^[0-9a-f]{64}\s+\S")
+    return lines.where("trim(value) <> ''").select(F.when(ok, F.regexp_extract("value", r"^\S+\s+(.*\S)\s*$", 1)).alias("name"), F.when(ok, F.regexp_extract("value", r"^(\S+)", 1)).alias("sha256"))
+
+
+#: First bytes of the image formats that are taken in.
+MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "tiff": "49492A00", "tiff_be": "4D4D002A", "bmp": "424D"}
+
+
+def image_stills(files: DataFrame, registry: DataFrame | None = None, most: int = 64 << 20) -> DataFrame:
+    """id, kind, path, bytes of new images (S15): recognised by their first bytes, not empty and of at most `most` bytes;
+    the id is what their digest begins with. Equal files come in once, and not again if the registry (id) has them.
+    files (path, length, content)."""
+    kind = F.coalesce(*(F.when(F.startswith(F.hex(F.substring("content", 1, 8)), F.lit(m)), F.lit(k.partition("_")[0])) for k, m in MAGIC.items()))
+    rows = files.where(F.col("length").between(1, most)).select(F.substring(F.sha2("content", 256), 1, 12).alias("id"), kind.alias("kind"), "path", F.col("length").alias("bytes"))
+    rows = rows.where("kind is not null").groupBy("id").agg(F.min(F.struct("path", "kind", "bytes")).alias("f")).select("id", "f.kind", "f.path", "f.bytes")
+    return rows if registry is None else rows.join(registry.select("id"), "id", "left_anti")
+
+
 def file_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -72,7 +141,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     number = lambda i: F.expr(f"try_cast(get(p, {i}) as double)")
     read = spark.read.text(path).where("trim(value) <> ''").select(parts.alias("p"))
     read = read.select(F.size("p").alias("n"), *(number(i).alias(c) for i, c in enumerate(("cls", "cx", "cy", "w", "h"))))
-    return read.select("cls", "cx", "cy", "w", "h", ((F.col("n") != 5) | F.col("cls").isNull() | F.col("h").isNull()).alias("malformed"))
+    return read.select("cls", "cx", "cy", "w", "h", ((F.col("n") != 5) | F.expr("cls is null or cx is null or cy is null or w is null or h is null")).alias("malformed"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -25,7 +25,18 @@ def windows(stream: DataFrame, time: str, width: str, late: str, keys: list[str]
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).count()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """Runs until all that is there now is processed, into an in-memory table of the session."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Runs until all that is there now is processed. Each batch's changed rows go to a folder of its own, which a batch
+    that runs again replaces; the driver holds none of them."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
+    """What drain() has written: the last batch's row of each key."""
+    rows = spark.read.parquet(path)
+    fields = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("_r")).select(key, "_r.*")
