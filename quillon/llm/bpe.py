@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import arrow_map, doc_texts
 
-#: Entries after which a worker forgets what it has remembered.
-PIECES_KEPT, PAIRS_KEPT = 100_000, 200_000
+#: Entries after which a worker forgets what it hasn't used since as many were new before: of pieces of at most PIECE_CHARS
+#: characters, and of pairs of tokens. About 60 MB and 40 MB at most.
+PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 150_000, 32, 200_000
 NO_TOKEN = -1
 
 
@@ -47,14 +48,15 @@ class Bpe:
         self.merged: dict[int, int] = {}
         self.left, self.right = list(range(size)), list(range(size))
         self._pairs: dict[int, bool] = {}
+        self._old_pairs: dict[int, bool] = {}
         self._learn_splits()
-        self._pairs.clear()
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._old_pieces: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def from_file(cls, raw: bytes, pattern: str) -> Bpe:
@@ -95,8 +97,10 @@ class Bpe:
         key = first << 32 | second
         if (known := self._pairs.get(key)) is None:
             if len(self._pairs) >= PAIRS_KEPT:
-                self._pairs.clear()
-            known = self._pairs[key] = self._stand_together(first, second)
+                self._old_pairs, self._pairs = self._pairs, {}
+            if (known := self._old_pairs.get(key)) is None:
+                known = self._stand_together(first, second)
+            self._pairs[key] = known
         return known
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -130,14 +134,17 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        pieces, extend = self._pieces, out.extend
+        pieces, old, extend = self._pieces, self._old_pieces, out.extend
         for piece in self.pattern.findall(text):
             ids = pieces.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) <= 64:
+                ids = old.get(piece)
+                if ids is None:
+                    ids = self.encode_piece(piece.encode())
+                if len(piece) <= PIECE_CHARS:
                     if len(pieces) >= PIECES_KEPT:
-                        pieces.clear()
+                        self._old_pieces = old = pieces
+                        self._pieces = pieces = {}
                     pieces[piece] = ids
             extend(ids)
         return out
