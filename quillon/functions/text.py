@@ -45,3 +45,14 @@ def quoted(c: Column) -> tuple[Column, Column]:
 
 def mentions(col: str, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(0))))
+
+
+def host(col: str) -> Column:
+    """The host of a URL in lower case, a bracketed address without its brackets; '' where there is none."""
+    c = F.regexp_extract(F.lower(F.col(col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.regexp_replace(c, r"[\[\]]", "")
+
+
+def is_loopback(col: str) -> Column:
+    """Whether a URL leads to this machine."""
+    return host(col).isin("localhost", "127.0.0.1", "::1")

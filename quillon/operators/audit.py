@@ -84,3 +84,8 @@ def containing(docs: DataFrame, text: str, items: DataFrame, item: str, words: i
     out = found.join(long, "_k").drop("_k").where(F.contains(text, F.col(item)))
     short = asked.where(F.size("_w") < words + 2).drop("_w")
     return out.unionByName(in_blocks(short, item, lambda block: docs.join(block, F.contains(text, F.col(item)))).select(*out.columns))
+
+
+def relation_counts(edges: DataFrame) -> DataFrame:
+    """relation, n, parents (G1)."""
+    return edges.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("parent").alias("parents"))

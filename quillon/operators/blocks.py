@@ -1,12 +1,15 @@
-"""A small stated side against a large one, in blocks whose broadcast size is bounded."""
+"""A small stated side against a large one, in blocks whose broadcast size is bounded; running sums over ranges."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.session import cut
 
 #: Rows of the small side that are sent to the executors at once.
 AT_ONCE = 20_000
@@ -19,3 +22,18 @@ def in_blocks(small: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]
     blocks = max(1, -(-n // at_once))
     parts = [small if blocks == 1 else small.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
     return reduce(DataFrame.unionByName, [work(F.broadcast(part)) for part in parts])
+
+
+def running_sums(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds for each value its sum over all rows before, in order. Rows are dealt to ranges, and each range starts with what
+    the ones before hold, so that no task sees all rows. The ranges come from a sample and are cut off, as they must not
+    change between the two passes. Rows that are equal in order are before each other in any order."""
+    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    before = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    part = cut(part.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0)) for n, v in values.items()} | {f"_v_{n}": v for n, v in values.items()}))
+    totals = part.groupBy("_p").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values))
+    # a row for each range
+    at = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_p", *(F.coalesce(F.sum(f"_s_{n}").over(at), F.lit(0)).alias(f"_s_{n}") for n in values))
+    full = part.join(F.broadcast(starts), "_p")
+    return full.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in values}).drop("_p", *(f"_{k}_{n}" for k in "vs" for n in values))

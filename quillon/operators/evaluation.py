@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillon.operators.blocks import running_sums
 from quillon.operators.matching import ratio
-from quillon.session import cut
 
 METRICS = ("recall_at_5", "mrr", "exact_id_accuracy")
 
@@ -196,10 +195,6 @@ def contiguous_batches(df: DataFrame, batch: str, index: str) -> DataFrame:
 
 
 def renumbered(df: DataFrame, order: Sequence[str], prefix: str = "E") -> DataFrame:
-    """A global label from 1 in order (W2). Rows are ordered by range, and each range starts where the ones before end, so
-    that no task numbers all of them."""
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    part = cut(part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return part.join(F.broadcast(before), "_p").withColumn("label", F.concat(F.lit(prefix), (F.col("_r") + F.col("_b")).cast("string"))).drop("_p", "_r", "_b")
+    """A global label from 1 in order (W2), without a task that numbers all rows."""
+    numbered = running_sums(df, [F.col(c) for c in order], {"_before": F.lit(1)})
+    return numbered.withColumn("label", F.concat(F.lit(prefix), (F.col("_before") + 1).cast("string"))).drop("_before")

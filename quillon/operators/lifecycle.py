@@ -89,3 +89,29 @@ def interleave(pools: list[DataFrame], id_col: str, limit: int) -> DataFrame:
         out = top if out is None else out.unionByName(top)
     ordered = out.orderBy("turn", "pool").limit(limit)
     return ordered.select("pool", "id", F.row_number().over(Window.orderBy("turn", "pool")).alias("position"))
+
+
+def category_rollup(scenarios: DataFrame, checks: DataFrame, key: str, category: str) -> DataFrame:
+    """category, scenarios, score (G18): a scenario scores its share of passed checks, one without any (a crash) 0.
+    scenarios (key, category), checks (key, ok)."""
+    per = checks.groupBy(key).agg(F.count("*").alias("checks"), F.count_if("ok").alias("passed"))
+    every = scenarios.select(key, category).join(per, key, "left")
+    return every.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("scenarios"), F.round(F.sum(F.coalesce(F.col("passed") / F.col("checks"), F.lit(0.0))), 4).alias("score"))
+
+
+def joined_text(df: DataFrame, key: str, value: str, order: str, separator: str = "; ") -> DataFrame:
+    """key, joined, n: a key's values in order as one text."""
+    return df.groupBy(key).agg(F.expr(f"listagg({value}, '{separator}') within group (order by {order}, {value})").alias("joined"), F.count("*").alias("n"))
+
+
+def reusable_jobs(wanted: DataFrame, state: DataFrame, same: list[str], active: list[str]) -> DataFrame:
+    """Each wanted job with the first active job that does the same, or null where a new one must start."""
+    running = state.where(F.col("status").isin(active)).groupBy(*same).agg(F.min("job").alias("job"))
+    return wanted.join(running, same, "left")
+
+
+def winner_or_status(aggregates: DataFrame, veto: str, order: list[str], key: str) -> DataFrame:
+    """key, status: the winner as `selected`, or one row `no_candidate`."""
+    one = aggregates.sparkSession.range(1).select(F.lit(1).alias("_j"))
+    best = select_winner(aggregates, veto, order, key).select(key, F.lit(1).alias("_j"))
+    return one.join(best, "_j", "left").select(key, F.when(F.col(key).isNull(), "no_candidate").otherwise("selected").alias("status"))

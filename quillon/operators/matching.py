@@ -160,3 +160,28 @@ def ap50(hits: DataFrame, truths: DataFrame, classes: int = 3) -> DataFrame:
     # at most one row for each true positive and point
     points = best.join(F.broadcast(grid), F.col("recall") >= F.col("at")).groupBy("cls", "at").agg(F.max("p").alias("p")).groupBy("cls").agg((F.sum("p") / 101).alias("ap"))
     return spark.range(classes).select(F.col("id").cast("int").alias("cls")).join(points, "cls", "left").select("cls", F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("ap"))
+
+
+def iou_bins(matched: DataFrame, bins: list[tuple[float, float]]) -> DataFrame:
+    """lo, hi, n, right_type of matches with an IoU in (lo, hi] (J14): the few bins are sent to the matches."""
+    few = matched.sparkSession.createDataFrame(bins, "lo double, hi double")
+    at = matched.join(F.broadcast(few), (F.col("iou") > F.col("lo")) & (F.col("iou") <= F.col("hi")))
+    return at.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.count_if(instance_type(F.col("pred")) == instance_type(F.col("truth"))).alias("right_type"))
+
+
+def training_rows(matched: DataFrame, features: DataFrame) -> DataFrame:
+    """patch, pred, truth, iou, cls and the features of each matched proposal."""
+    return matched.select("patch", "pred", "truth", "iou", instance_type(F.col("truth")).alias("cls")).join(features, ["patch", "pred"])
+
+
+def typed_truths(px: DataFrame, features: DataFrame) -> DataFrame:
+    """Features of the truth instances that have a type and an evaluable pixel."""
+    typed = areas(px, "truth").where(instance_type(F.col("truth")).between(CLASSES[0], CLASSES[-1])).select("patch", "truth")
+    return features.join(typed, ["patch", "truth"], "left_semi")
+
+
+def report(px: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Everything that is said of one set of predictions (X8): class scores, kinds of false positives, confusion."""
+    matched = match(px, threshold)
+    kinds = false_positive_kinds(px, matched).groupBy("category").agg(F.count("*").alias("n"))
+    return {"classes": class_scores(outcomes(px, matched)).select("class", "tp", "fp", "fn", *metric_columns()), "false_positives": kinds, "confusion": confusion(matched)}

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.blocks import running_sums
 from quillon.operators.matching import metric_columns, ratio
 
 
 def auroc(df: DataFrame, score: str = "s", truth: str = "y") -> DataFrame:
-    """Rank-sum AUROC with mid-ranks for ties (G21). Counts per distinct score are summed before anything is ordered, so
-    the one ordered pass holds distinct scores only."""
+    """Rank-sum AUROC with mid-ranks for ties (G21). Counts per distinct score are summed before anything is ordered, and
+    the order is by ranges with carried sums."""
     by = df.groupBy(score).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    by = running_sums(by, [F.col(score)], {"below": F.col("n")}).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     t = by.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.round(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auroc"))
 
@@ -22,8 +22,7 @@ def auroc(df: DataFrame, score: str = "s", truth: str = "y") -> DataFrame:
 def average_precision(df: DataFrame, score: str = "s", truth: str = "y") -> DataFrame:
     """Step-wise: the sum of recall gains times precision over falling distinct scores."""
     by = df.groupBy(score).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    up = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumns({"tp": F.sum("p").over(up), "k": F.sum("n").over(up)})
+    by = running_sums(by, [F.desc(score)], {"tp": F.col("p"), "k": F.col("n")}).withColumns({"tp": F.col("tp") + F.col("p"), "k": F.col("k") + F.col("n")})
     t = by.agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("a"), F.sum("p").alias("p"))
     return t.select(F.round(ratio(F.col("a"), F.col("p")), 6).alias("average_precision"))
 
@@ -67,3 +66,9 @@ def gates(values: DataFrame, floors: dict[str, float]) -> DataFrame:
     """metric, value, floor, passed (O9) of one row of metrics."""
     each = F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("floor")) for k, v in sorted(floors.items())))
     return values.select(F.explode(each).alias("g")).select("g.*").withColumn("passed", F.coalesce(F.col("value") >= F.col("floor"), F.lit(False)))
+
+
+def percentile_features(df: DataFrame, value: str, by: str) -> DataFrame:
+    """p10, p50, p90 and the interquartile range, linearly interpolated."""
+    p = lambda q: F.percentile(value, F.lit(q))
+    return df.groupBy(by).agg(F.round(p(0.1), 6).alias("p10"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.9), 6).alias("p90"), F.round(p(0.75) - p(0.25), 6).alias("iqr"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.blocks import running_sums
+
 MENTION = r"(?i)GO:[0-9]+"
 
 
@@ -194,4 +196,5 @@ def blinded(runs: DataFrame, seed: str) -> DataFrame:
 def confirm_unreviewed(findings: DataFrame, log: DataFrame, start: int) -> DataFrame:
     """Records that confirm each finding without any review (T6), numbered on from `start`; append them to the log."""
     new = findings.join(log.select("finding_id").distinct(), "finding_id", "left_anti").select("finding_id").distinct()
-    return new.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("finding_id")) + start).cast("long").alias("seq"), "finding_id", F.lit("confirm").alias("action"))
+    numbered = running_sums(new, [F.col("finding_id")], {"before": F.lit(1)})
+    return numbered.select((F.col("before") + 1 + start).cast("long").alias("seq"), "finding_id", F.lit("confirm").alias("action"))

@@ -5,8 +5,9 @@ Pixel tables are as in `matching` (patch, pred, truth, ignored), mask tables (pa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -270,3 +271,28 @@ def membership_ledger(features: DataFrame, labels: DataFrame, keys: Sequence[str
     reason = F.when(F.col("label") > 0, "matched").when(F.col("label") == 0, "unmatched").when(F.col("label") < 0, "not_evaluable").otherwise("unlabelled")
     digest = F.sha2(F.to_json(F.struct(*sorted(c for c in features.columns if c not in keys))), 256)
     return features.select(*keys, digest.alias("digest")).join(labels.select(*keys, "label"), list(keys), "left").select(*keys, reason.alias("reason"), "digest")
+
+
+def shape_features(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """area, extent (share of its bounding box), log_aspect, equivalent diameter and second moments of each instance
+    (F15): what sums of pixels give; outlines and hulls need image kernels."""
+    t = px.groupBy(*keys).agg(F.count("*").alias("area"), *(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max), ("var", F.var_pop))))
+    h, w = (F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in ("y", "x"))
+    return t.select(
+        *keys, "area", F.round(F.col("area") / (h * w), 6).alias("extent"), F.round(F.log(h / w), 6).alias("log_aspect"),
+        F.round(F.sqrt(4 * F.col("area") / F.pi()), 6).alias("diameter"), F.round("var_y", 5).alias("var_y"), F.round("var_x", 5).alias("var_x"),
+    )
+
+
+def predicted(df: DataFrame, predict: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Rows through a predictor that the caller brings (E8): it gets batches of the rows and gives rows of the schema."""
+    return df.mapInPandas(predict, schema)
+
+
+def score_cache(features: DataFrame, column: str, classifier: dict, filter_: dict, threshold: float, keys: Sequence[str] = ("patch", "pred")) -> DataFrame:
+    """Keys, scores, cls and validity of what the filter keeps (X16): two linear models on the same features. A model is
+    mean, scale, weights, intercept."""
+    x = F.col(column)
+    valid = probability(linear_scores(x, filter_["mean"], filter_["scale"], filter_["weights"], filter_["intercept"])[0])
+    rows = features.select(*keys, linear_scores(x, classifier["mean"], classifier["scale"], classifier["weights"], classifier["intercept"]).alias("scores"), valid.alias("validity"))
+    return rows.where(reaches(F.col("validity"), threshold)).select(*keys, "scores", (first_largest(F.col("scores")) + 1).alias("cls"), "validity")

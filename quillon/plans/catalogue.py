@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
-from quillon.operators import audit, engine, lifecycle, matching, metrics, retrieval, sampling
+from quillon.operators import audit, engine, lifecycle, matching, metrics, policies, retrieval, sampling
 from quillon.session import shared_dir
 from quillon.sources import ontology
 from quillon.streaming import logs
@@ -247,7 +247,7 @@ def graph_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with e as ({EDGES}) select relation, count(*) as n, count(distinct parent) as parents from e group by all")
 def ontology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("parent").alias("parents"))
+    return audit.relation_counts(hierarchy(spark, sf_dir))
 
 
 # ---- matching -------------------------------------------------------------------------------------------------------
@@ -300,8 +300,7 @@ def stratified_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PX + ", b as (select unnest([0.5, 0.6, 0.7, 0.8])::double as lo, unnest([0.6, 0.7, 0.8, 1.0])::double as hi) select lo, hi, count(*) as n, count(*) filter (where pred % 5 = truth % 5) as right_type from m join b on iou > lo and iou <= hi group by all")
 def iou_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = spark.createDataFrame([(0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0)], "lo double, hi double")
-    return matching.match(pixels(spark, sf_dir)).join(F.broadcast(bins), (F.col("iou") > F.col("lo")) & (F.col("iou") <= F.col("hi"))).groupBy("lo", "hi").agg(F.count("*").alias("n"), F.count_if(F.col("pred") % 5 == F.col("truth") % 5).alias("right_type"))
+    return matching.iou_bins(matching.match(pixels(spark, sf_dir)), [(0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0)])
 
 
 @query()
@@ -354,20 +353,19 @@ def pooled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_returnflag, round(avg(c), 6) as mean, round(stddev_pop(c), 6) as std, round(min(c), 6) as low, round(max(c), 6) as high from (select l_returnflag, 1 / (1 + exp(-(l_discount * 10 - l_tax * 20))) as c from lineitem) group by all")
 def confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "1 / (1 + exp(-(l_discount * 10 - l_tax * 20))) c")
-    return c.groupBy("l_returnflag").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("std"), F.round(F.min("c"), 6).alias("low"), F.round(F.max("c"), 6).alias("high"))
+    z = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_discount * 10 - l_tax * 20 z")
+    return policies.confidence_features(z, ["l_returnflag"], "z")
 
 
 @query("with c as (select l_orderkey % 50 as patch, l_suppkey % 7 + 1 as id, l_linenumber % 5 + 1 as class, count(*) as n from lineitem group by all) select patch, id, arg_max(class, (n, -class))::int as class from c group by all")
 def majority_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("patch"), (F.col("l_suppkey") % 7 + 1).alias("id"), (F.col("l_linenumber") % 5 + 1).cast("int").alias("class")).agg(F.count("*").alias("n"))
-    return n.groupBy("patch", "id").agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("class"))
+    px = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 50 patch", "l_suppkey % 7 + 1 id", "cast(l_linenumber % 5 + 1 as int) class")
+    return policies.majority_class(px, ["patch", "id"], "class")
 
 
 @query("select lang, round(quantile_cont(n_chars, 0.1), 6) as p10, round(quantile_cont(n_chars, 0.5), 6) as p50, round(quantile_cont(n_chars, 0.9), 6) as p90, round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) as iqr from documents group by all")
 def percentile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q: F.percentile("n_chars", F.lit(q))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(p(0.1), 6).alias("p10"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.9), 6).alias("p90"), F.round(p(0.75) - p(0.25), 6).alias("iqr"))
+    return metrics.percentile_features(table(spark, sf_dir, "documents"), "n_chars", "lang")
 
 
 @query("select event_type, quantile_disc(value, 0.95) as p_nearest from events group by all")
@@ -479,13 +477,13 @@ def mention_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id, string_agg(role, '; ' order by turn, role) as roles, count(*) as n from conversations group by all")
 def synonym_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.expr("listagg(role, '; ') within group (order by turn, role)").alias("roles"), F.count("*").alias("n"))
+    return lifecycle.joined_text(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn").withColumnRenamed("joined", "roles")
 
 
 @query("select h as host, count(*) as n, h in ('localhost', '127.0.0.1') as loopback from (select regexp_extract(url, '^https?://([^/?#:]+)', 1) as h from pages) group by all")
 def loopback_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("host"))
-    return host.groupBy("host").agg(F.count("*").alias("n")).withColumn("loopback", F.col("host").isin("localhost", "127.0.0.1"))
+    urls = table(spark, sf_dir, "pages").select(T.host("url").alias("host"), T.is_loopback("url").alias("loopback"))
+    return urls.groupBy("host", "loopback").agg(F.count("*").alias("n"))
 
 
 # ---- audits, splits -------------------------------------------------------------------------------------------------
@@ -537,9 +535,8 @@ def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with t as (select o_orderpriority as category, o_orderkey, count(l_orderkey) as checks, count(*) filter (where l_returnflag = 'N') as ok from orders left join lineitem on l_orderkey = o_orderkey group by all) select category, count(*) as scenarios, round(sum(case when checks > 0 then ok / checks::double else 0 end), 4) as score from t group by all")
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("checks"), F.count_if(F.col("l_returnflag") == "N").alias("ok"))
-    every = orders.select("o_orderkey", "o_orderpriority").join(per, "o_orderkey", "left")
-    return every.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("scenarios"), F.round(F.sum(F.coalesce(F.col("ok") / F.col("checks"), F.lit(0.0))), 4).alias("score"))
+    checks = lines.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "N").alias("ok"))
+    return lifecycle.category_rollup(orders, checks, "o_orderkey", "o_orderpriority")
 
 
 @query("select count(distinct (patch, truth)) filter (where truth > 0) as instances, count(*) filter (where truth > 0) as pixels, count(distinct patch) filter (where truth > 0) as patches, count(*) filter (where ignored) as void from (" + PX.partition("px as (")[2].partition(" from lineitem)")[0] + " from lineitem)")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import engine, evaluation, matching, metrics, packets, policies, retrieval
-from quillon.plans.catalogue import EDGES, PX, found, hierarchy, pixels, query, scores, table
+from quillon.operators import engine, evaluation, lifecycle, matching, metrics, packets, policies, retrieval
+from quillon.plans.catalogue import EDGES, PX, found, hierarchy, log, pixels, query, scores, table
 from quillon.sources import sinks
 
 # ---- the engine's corpus: parts with the vector of the same number; every 20th is a query -----------------------------
@@ -524,3 +524,34 @@ def detection_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensitive_threshold_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No threshold reaches a recall of more than 1: no row."""
     return evaluation.sensitive_threshold(metrics.sweep(scores(spark, sf_dir), metrics.threshold_grid(spark)), 1.01)
+
+
+@query(f"with {MASK}, t as (select patch, raw_id, count(*) as area, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, var_pop(y) as vy, var_pop(x) as vx from mk group by all) select patch, raw_id, area, round(area / (h * w)::double, 6) as extent, round(ln(h / w::double), 6) as log_aspect, round(sqrt(4 * area / pi()), 6) as diameter, round(vy, 5) as var_y, round(vx, 5) as var_x from t")
+def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.shape_features(masks(spark, sf_dir)[0], ["patch", "raw_id"])
+
+
+@query(PX + ", f as (select patch, pred, count(*) as pixels from px where pred > 0 group by all) select patch, pred, truth, round(iou, 6) as iou, truth % 5 + 1 as cls, pixels from m join f using (patch, pred)")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    features = px.where("pred > 0").groupBy("patch", "pred").agg(F.count("*").alias("pixels"))
+    return matching.training_rows(matching.match(px), features).withColumn("iou", F.round("iou", 6))
+
+
+@query(PX + ", f as (select patch, truth, count(*) as pixels from px where truth > 0 group by all) select f.* from f semi join ta using (patch, truth)")
+def typed_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return matching.typed_truths(px, px.where("truth > 0").groupBy("patch", "truth").agg(F.count("*").alias("pixels")))
+
+
+@query("with s as (select user_id as job, arg_max(event_type, (ts, event_id)) as status from events group by all), r as (select job % 5 as k, min(job) as job from s where status in ('view', 'click') group by all) select k, job from (select distinct user_id % 5 as k from events) left join r using (k)")
+def reusable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = lifecycle.latest_state(log(spark, sf_dir).withColumnsRenamed({"user_id": "job", "action": "status"}), "job", ["ts", "event_id"], ["status"]).withColumn("k", F.col("job") % 5)
+    wanted = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k")).distinct()
+    return lifecycle.reusable_jobs(wanted, state, ["k"], ["view", "click"])
+
+
+@query("select null::varchar as run, 'no_candidate' as status")
+def no_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), "value").groupBy("run").agg(F.avg("value").alias("v"))
+    return lifecycle.winner_or_status(runs.withColumn("vetoed", F.lit(True)), "vetoed", ["v"], "run")

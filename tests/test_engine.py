@@ -281,3 +281,24 @@ def test_streams(spark, tmp_path):
     timed = logs.read(spark, f"{tmp_path}/in", df.schema).withColumn("ts", F.timestamp_seconds("seq"))
     logs.drain(logs.windows(timed, "ts", "4 seconds", "1 minute", ["user_id"]), f"{tmp_path}/win", f"{tmp_path}/ck3")
     assert spark.read.parquet(f"{tmp_path}/win").agg(F.max("count")).first()[0] >= 2
+
+
+def test_injected_predictor_and_cache(spark):
+    df = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, [-5.0, 0.0])], "patch int, pred int, x array<double>")
+
+    def double(batches):
+        for b in batches:
+            yield b.assign(y=[sum(v) * 2 for v in b["x"]])[["pred", "y"]]
+
+    assert rows(policies.predicted(df, double, "pred int, y double")) == [(1, 6.0), (2, -10.0)]
+    model = {"mean": (0.0, 0.0), "scale": (1.0, 1.0), "weights": ((1.0, 0.0), (0.0, 1.0)), "intercept": (0.0, 0.0)}
+    keep = {"mean": (0.0, 0.0), "scale": (1.0, 1.0), "weights": ((1.0, 0.0),), "intercept": (0.0,)}
+    assert rows(policies.score_cache(df, "x", model, keep, 0.35), "pred", "cls") == [(1, 2)]
+
+
+def test_hosts(spark):
+    from quillon.functions import text as T
+
+    urls = ["http://localhost:80/x", "https://[::1]:8/", "http://127.0.0.1", "http://u@example.org/127.0.0.1", "ftp://LOCALHOST", "nothing", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    assert [r[0] for r in df.orderBy("i").select(T.is_loopback("u")).collect()] == [True, True, True, False, True, False, None]
