@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import arrow_map, doc_texts
 
 #: Entries after which a worker forgets what it hasn't used since as many were new before: of pieces of at most PIECE_CHARS
-#: characters, and of pairs of tokens. About 60 MB and 40 MB at most.
-PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 150_000, 32, 200_000
+#: characters, and of pairs of tokens. About 30 MB and 20 MB at most.
+PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 75_000, 32, 100_000
 NO_TOKEN = -1
 
 

@@ -449,7 +449,7 @@ def test_pipeline_language(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline._by_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()) == [1, 3, 4]
     # the verdict is the operator's
     real = language.identify
-    monkeypatch.setattr(language, "identify", lambda *a, **k: real(*a, **k).withColumn("lang_pred", F.when(F.col("text") == "the lamp", language.UNKNOWN).otherwise(F.col("lang_pred"))))
+    monkeypatch.setattr(language, "identify", lambda *a, **k: real(*a, **k).withColumn("lang_pred", F.when(F.col(k["text_col"]) == "the lamp", language.UNKNOWN).otherwise(F.col("lang_pred"))))
     assert sorted(r["doc_id"] for r in corpus_pipeline._by_language(spark, df, "").collect()) == [3, 4]
 
 
