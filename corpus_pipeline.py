@@ -76,7 +76,8 @@ def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return materialize(digests, "tokens")
 
 
 STAGES = [("language", _by_language), ("near_duplicates", _near_duplicates), ("decontamination", _decontamination), ("pii", _pii), ("tokens", _tokens)]
