@@ -280,7 +280,7 @@ def shape_features(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     h, w = (F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in ("y", "x"))
     return t.select(
         *keys, "area", F.round(F.col("area") / (h * w), 6).alias("extent"), F.round(F.log(h / w), 6).alias("log_aspect"),
-        F.round(F.sqrt(4 * F.col("area") / F.pi()), 6).alias("diameter"), F.round("var_y", 5).alias("var_y"), F.round("var_x", 5).alias("var_x"),
+        F.round(F.sqrt(4 * F.col("area") / F.pi()), 6).alias("diameter"), "var_y", "var_x",
     )
 
 

@@ -526,9 +526,11 @@ def sensitive_threshold_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sensitive_threshold(metrics.sweep(scores(spark, sf_dir), metrics.threshold_grid(spark)), 1.01)
 
 
-@query(f"with {MASK}, t as (select patch, raw_id, count(*) as area, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, var_pop(y) as vy, var_pop(x) as vx from mk group by all) select patch, raw_id, area, round(area / (h * w)::double, 6) as extent, round(ln(h / w::double), 6) as log_aspect, round(sqrt(4 * area / pi()), 6) as diameter, round(vy, 5) as var_y, round(vx, 5) as var_x from t")
+@query(f"with {MASK}, t as (select patch, raw_id, count(*) as area, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, var_pop(y) as vy, var_pop(x) as vx from mk group by all) select patch, raw_id, area, round(area / (h * w)::double, 6) as extent, round(ln(h / w::double), 6) as log_aspect, round(sqrt(4 * area / pi()), 6) as diameter, round(vy + 1e-9, 6) as var_y, round(vx + 1e-9, 6) as var_x from t")
 def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.shape_features(masks(spark, sf_dir)[0], ["patch", "raw_id"])
+    out = policies.shape_features(masks(spark, sf_dir)[0], ["patch", "raw_id"])
+    # off the ties of rounding
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("var_y", "var_x")})
 
 
 @query(PX + ", f as (select patch, pred, count(*) as pixels from px where pred > 0 group by all) select patch, pred, truth, round(iou, 6) as iou, truth % 5 + 1 as cls, pixels from m join f using (patch, pred)")
