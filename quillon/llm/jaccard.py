@@ -517,6 +517,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     also text_hash (xxhash64 of the text), and kept: whether the row is its group's first. That is, of the rows with the
     smallest doc_id and, of these, with the set that carries the component, those with the smallest text_hash; repeated
     rows agree in all of this. Rows that are in no group are kept."""
+    if not 200 <= percent * SHARE <= 100 * SHARE:
+        raise ValueError("the wide prefixes need a similarity of two SHARE-ths at least")
     docs = doc_texts(documents, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(signatures(docs, words, percent), "signed")
     rows = materialize(signed.where("key is not null").select("doc_id", "text_hash", "n", "key"), "rows")

@@ -92,6 +92,16 @@ def test_jaccard(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [20, 50, 75, 100])
+def test_jaccard_prefixes_share_enough(percent):
+    for n in range(1, 300):
+        for m in range(max(1, jaccard._need(n, percent)), n + 1):
+            common = -(-percent * (n + m) // (100 + percent))
+            if common <= m:  # the fewest that the two wide prefixes can share
+                least = min(common - (k - jaccard._wide(k, percent)) for k in (n, m))
+                assert least >= max(jaccard._least(n), jaccard._least(m)) and jaccard._wide(n, percent) <= n
+
+
 def test_jaccard_counts_all_links(spark, monkeypatch):
     words = prose(80).split()
     near = [" ".join([*words[:i], "edit", *words[i + 1 :]]) for i in range(0, 80, 2)]
