@@ -169,11 +169,11 @@ def test_sinks_never_overwrite(spark, tmp_path):
 
 
 def test_stream_resumes(spark, tmp_path):
-    src, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    src, mark, out = str(tmp_path / "in"), str(tmp_path / "mark"), str(tmp_path / "out")
     schema = "k string, seq int, v int"
     spark.createDataFrame([("a", 1, 1), ("a", 2, 5)], schema).write.parquet(src)
-    run = lambda: logs.drain(logs.latest(logs.read(spark, src, schema), "k", ["seq"], ["v"]), "resumed", mark)
+    run = lambda: logs.drain(logs.latest(logs.read(spark, src, schema), "k", ["seq"], ["v"]), out, mark)
     run()
     spark.createDataFrame([("a", 3, 9)], schema).write.mode("append").parquet(src)
     run()
-    assert [tuple(r) for r in spark.table("resumed").collect()] == [("a", 9, 3)]
+    assert [tuple(r) for r in logs.current(spark, out, "k").collect()] == [("a", 9, 3)]
