@@ -43,12 +43,13 @@ def match_greedy(px: DataFrame, threshold: float) -> DataFrame:
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         used_p, used_t, kept = set(), set(), []
-        for i, r in pdf.sort_values(["iou", "pred", "truth"], ascending=False).iterrows():
-            if r["pred"] not in used_p and r["truth"] not in used_t:
-                used_p.add(r["pred"])
-                used_t.add(r["truth"])
-                kept.append(i)
-        return pdf.loc[kept]
+        pdf = pdf.sort_values(["iou", "pred", "truth"], ascending=False)
+        for p, t in zip(pdf["pred"].tolist(), pdf["truth"].tolist(), strict=True):
+            kept.append(p not in used_p and t not in used_t)
+            if kept[-1]:
+                used_p.add(p)
+                used_t.add(t)
+        return pdf[kept]
 
     pairs = overlaps(px).where(F.col("iou") > threshold).selectExpr("cast(patch as long) patch", "cast(pred as long) pred", "cast(truth as long) truth", "iou")
     return pairs.groupBy("patch").applyInPandas(settle, "patch long, pred long, truth long, iou double")

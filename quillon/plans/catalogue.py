@@ -303,18 +303,37 @@ def iou_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.iou_bins(matching.match(pixels(spark, sf_dir)), [(0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0)])
 
 
-@query()
+PICK = "list_filter(o.c, lambda x: x.t is not null and not list_contains(g.used, x.t))[1]"
+BOXES = f"""with recursive base as (select l_orderkey, l_linenumber, min(l_partkey) as p, min(l_suppkey) as s, min(l_discount) as d, min(l_quantity) as q from lineitem group by all),
+ b as (select l_orderkey // 20 as image, (l_linenumber % 3)::int as cls, l_orderkey * 10 + l_linenumber as i, (p % 90)::double as x, (s % 90)::double as y, 10 + q % 20 as w, d, q from base),
+ gt as (select image, cls, i as truth_id, x as x1, y as y1, x + w as x2, y + w as y2 from b), det as (select image, cls, i as det_id, 1 - d - q / 1000 as conf, x + 60 * d as x1, y as y1, x + w + 60 * d as x2, y + w as y2 from b where d < 0.09),
+ pairs as (select det.image, det.cls, det_id, conf, truth_id, greatest(0, least(det.x2, gt.x2) - greatest(det.x1, gt.x1)) * greatest(0, least(det.y2, gt.y2) - greatest(det.y1, gt.y1)) as inter, (det.x2 - det.x1) * (det.y2 - det.y1) as a, (gt.x2 - gt.x1) * (gt.y2 - gt.y1) as b from det left join gt using (image, cls)),
+ o as (select image, cls, det_id, conf, list({{'iou': coalesce(inter / greatest(a + b - inter, 1e-9), 0), 't': truth_id}} order by coalesce(inter / greatest(a + b - inter, 1e-9), 0) desc, truth_id desc) as c from pairs group by all),
+ k as (select *, row_number() over (partition by image, cls order by conf desc, det_id) as k from o),
+ g as (select image, cls, 0::bigint as k, []::bigint[] as used, null::bigint as det_id, null::double as conf, false as hit from (select distinct image, cls from o)
+  union all select o.image, o.cls, o.k, case when coalesce({PICK}.iou, 0) >= 0.5 then list_append(g.used, {PICK}.t) else g.used end, o.det_id, o.conf, coalesce({PICK}.iou, 0) >= 0.5 from g join k o on o.image = g.image and o.cls = g.cls and o.k = g.k + 1),
+ h as (select image, cls, det_id, conf, hit from g where k > 0)
+"""
+
+
+@query(BOXES + "select * from h")
 def box_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.box_matches(*boxes(spark, sf_dir))
 
 
-@query()
+@query(BOXES + ", n as (select cls, count(*) as n from gt group by all), w as (select cls, sum(hit::int) over v as tp, row_number() over v as k from h window v as (partition by cls order by conf desc, image, det_id rows unbounded preceding)), e as (select cls, tp / n::double as recall, max(tp / k::double) as p from w join n using (cls) group by cls, tp, n), t as (select cls, i, max(p) as p from e join range(101) r(i) on recall >= i / 100.0::double group by all) select c::int as cls, round(coalesce((select sum(p) / 101 from t where t.cls = c), 0), 6) as ap from range(3) d(c)")
 def box_ap50(spark: SparkSession, sf_dir: str) -> DataFrame:
     det, gt = boxes(spark, sf_dir)
     return matching.ap50(matching.box_matches(det, gt), gt)
 
 
-@query()
+GREEDY = PX.replace("with px", "with recursive px", 1) + """, c as (select patch, pred, truth, iou, row_number() over (partition by patch order by iou desc, pred desc, truth desc) as k from ov where iou > 0.3),
+ g as (select patch, 0::bigint as k, []::bigint[] as ps, []::bigint[] as ts, null::bigint as pred, null::bigint as truth, null::double as iou, false as ok from (select distinct patch from c)
+  union all select c.patch, c.k, case when not list_contains(ps, c.pred) and not list_contains(ts, c.truth) then list_append(ps, c.pred) else ps end, case when not list_contains(ps, c.pred) and not list_contains(ts, c.truth) then list_append(ts, c.truth) else ts end, c.pred, c.truth, c.iou, not list_contains(ps, c.pred) and not list_contains(ts, c.truth) from g join c on c.patch = g.patch and c.k = g.k + 1)
+"""
+
+
+@query(GREEDY + "select patch, pred, truth, round(iou, 6) as iou from g where ok")
 def greedy_below_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_greedy(pixels(spark, sf_dir), 0.3).withColumn("iou", F.round("iou", 6))
 
