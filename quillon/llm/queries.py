@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, html, jaccard, language, lattice, pii, quality, spans, vectors
+from quillon.llm import bpe, decontaminate, html, jaccard, language, lattice, periods, pii, quality, spans, toxicity, variants, vectors
 from quillon.llm.common import crc_mod, doc_texts
 
 
@@ -71,8 +71,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "fitted_score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_documents(spark, sf_dir), slips=199)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(_documents(spark, sf_dir), plant=True).drop("n_words")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = _documents(spark, sf_dir)
+    judge = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return toxicity.score(docs, judge).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_pii, op4_quality, op5_decontamination, op6_html_extraction, op7_language_id, op8_repeated_spans, op9_embedding_near_dedup, op10_lm_scoring)
+    f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_pii, op4_quality, op5_decontamination, op6_html_extraction, op7_language_id, op8_repeated_spans, op9_embedding_near_dedup, op10_lm_scoring, op11_spelling_variants, op12_periodic_runs, op13_toxicity)
 }
 #: Queries whose results DuckDB can compute over whole tables in fair time; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
