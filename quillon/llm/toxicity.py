@@ -8,11 +8,12 @@ ln((1 + N) / (1 + df)) + 1 with the document frequencies of all documents; vecto
 
 Examples lie in blocks of BLOCK, neighbours by their heaviest term; a term has for each block its largest weight, and its
 postings in order of the blocks. A search takes the blocks by falling upper bound (query weights times block maxima) and
-ends where the next bound is below the NEAREST-th best cosine; so what it finds is exact. All examples as near as the
+ends where the next bound is below the k-th best cosine; so what it finds is exact. All examples as near as the
 last one vote as well, so that ties are not cut.
 
-A neighbour at angle a votes with its class's weight (labelled rows of the class for each example of it) over a + SOFT.
-The share of toxic votes becomes a probability by isotonic regression over the examples, each scored by the others. The
+A neighbour at angle a votes with its class's weight (labelled rows of the class for each example of it) over a power of
+a + SOFT. The share of toxic votes becomes a probability by isotonic regression over the examples, each scored by the
+others; the number of neighbours and the power are those of NEAREST and POWERS that do best there (by squared error). The
 neighbours are the evidence. `predicted` is 1 from CUT.
 
 Labels come from a bounded sample: about MAX_LABELS of each class, by hash; of examples that share their least hash of
@@ -27,7 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, discard, doc_texts, hash_share, materialize
 
-MAX_LABELS, MAX_TERMS, MIN_RATIO, MIN_EXAMPLES = 4000, 4000, 16.0, 4
-PREFIXES, NEAREST, BLOCK, SOFT, CUT, EVIDENCE = range(4, 9), 15, 32, 0.02, 0.7, 5
+MAX_LABELS, MAX_TERMS, MIN_RATIO, MIN_EXAMPLES = 4000, 4000, 12.0, 3
+PREFIXES, NEAREST, POWERS, BLOCK, SOFT, CUT, EVIDENCE = range(4, 9), (3, 5, 9, 15), (1, 2, 3), 32, 0.02, 0.7, 5
 _WORD = re.compile(r"\w+")
 #: In tables of counts the term of all documents; no word has a space.
 _ALL = " "
@@ -161,6 +162,14 @@ class BlockMaxIndex:
         return number[near], score[near], looked
 
 
+def _first(number: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest, and all as near as the last of them."""
+    if len(score) <= k:
+        return number, score
+    near = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9
+    return number[near], score[near]
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps that fit y best, as points (mean x of a step, its height) to interpolate between."""
     at, which = np.unique(x, return_inverse=True)
@@ -178,9 +187,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class Judge:
     """Examples, their index and the calibration of their votes."""
 
-    def __init__(self, vocabulary: Vocabulary, examples: Iterable[tuple[int, int, Vector]], class_rows: Mapping[int, int], nearest: int = NEAREST):
+    def __init__(self, vocabulary: Vocabulary, examples: Iterable[tuple[int, int, Vector]], class_rows: Mapping[int, int], nearest: Sequence[int] = NEAREST):
         rows = sorted(examples, key=lambda r: r[0])
-        self.vocabulary, self.nearest = vocabulary, nearest
+        self.vocabulary, self.nearest, self.power = vocabulary, max(nearest), 1
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.int64)
         total = sum(class_rows.values())
@@ -191,14 +200,20 @@ class Judge:
         n = np.bincount(self.labels, minlength=2)
         self.class_weight = np.array([class_rows.get(c, 0) / n[c] for c in (0, 1)])
         self.index = BlockMaxIndex(self.ids.tolist(), [r[2] for r in rows], len(vocabulary.weight))
-        alone: Vector = ((len(vocabulary.number),), (1.0,))
-        self.of_rest = self.index.search(alone, nearest)  # what every text without a vocabulary term is nearest to
-        self.alone = alone
-        votes = np.array([self._vote(r[2], i) for i, r in enumerate(rows)])
-        self.steps = isotonic(votes, self.labels.astype(float), self.class_weight[self.labels])
-
-    def _vote(self, query: Vector, leave_out: int = -1) -> float:
-        return self._share(*self._near(query, leave_out))
+        self.alone: Vector = ((len(vocabulary.number),), (1.0,))
+        self.of_rest = self.index.search(self.alone, self.nearest)  # what every text without a vocabulary term is nearest to
+        weight, truth = self.class_weight[self.labels], self.labels.astype(float)
+        near = [self._near(r[2], i) for i, r in enumerate(rows)]
+        best = np.inf
+        for k in nearest:
+            cut = [_first(number, score, k) for number, score in near]
+            for power in POWERS:
+                votes = np.array([self._share(number, score, power) for number, score in cut])
+                steps = isotonic(votes, truth, weight)
+                error = float((weight * (np.interp(votes, *steps) - truth) ** 2).sum())
+                if error < best - 1e-9:
+                    best, self.nearest, self.power, self.steps = error, k, power, steps
+        self.of_rest = (*_first(*self.of_rest[:2], self.nearest), self.of_rest[2])
 
     def _near(self, query: Vector, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         number, score, _ = self.of_rest if query == self.alone else self.index.search(query, self.nearest, leave_out)
@@ -206,11 +221,11 @@ class Judge:
             number, score = number[number != leave_out], score[number != leave_out]
         return number, score
 
-    def _share(self, number: np.ndarray, score: np.ndarray) -> float:
+    def _share(self, number: np.ndarray, score: np.ndarray, power: int) -> float:
         if not len(number):
             return self.share
         label = self.labels[number]
-        votes = self.class_weight[label] / (np.arccos(np.clip(score, -1, 1)) + SOFT)
+        votes = self.class_weight[label] / (np.arccos(np.clip(score, -1, 1)) + SOFT) ** power
         return float(votes[label == 1].sum() / votes.sum())
 
     def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -222,7 +237,7 @@ class Judge:
             return self.rest
         number, score = self._near(query)
         best = np.lexsort((number, -np.round(score, 9)))[:EVIDENCE]
-        out = float(np.interp(self._share(number, score), *self.steps)), [(int(self.ids[number[i]]), int(self.labels[number[i]]), float(score[i])) for i in best]
+        out = float(np.interp(self._share(number, score, self.power), *self.steps)), [(int(self.ids[number[i]]), int(self.labels[number[i]]), float(score[i])) for i in best]
         if query == self.alone:
             self.rest = out
         return out
