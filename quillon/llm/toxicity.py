@@ -16,8 +16,8 @@ a + SOFT. The share of toxic votes becomes a probability by isotonic regression
 others; the number of neighbours and the power are those of NEAREST and POWERS that do best there (by squared error). The
 neighbours are the evidence. `predicted` is 1 from CUT.
 
-Labels come from a bounded sample: about MAX_LABELS of each class, by hash; of examples that share their least hash of
-word triples (copies, mostly) one stays. With labels of one class only, or none, every score is that class's share (0
+Labels come from a bounded sample: about MAX_LABELS of each class, by hash; of examples that share their two least
+hashes of word triples (copies, mostly) one stays. With labels of one class only, or none, every score is that class's share (0
 without labels). A document with contradicting labels counts as toxic. Null and empty texts have the vector without any
 vocabulary term and get a score; repeated rows give repeated results; texts are read whole; other columns are not read;
 an empty table gives an empty one.
@@ -60,9 +60,10 @@ def terms(word: str) -> Iterator[str]:
 
 
 def sketch(text: str | None) -> int:
-    """The least checksum of three words in a row."""
+    """Of the checksums of three words in a row the two least ones, as one number: copies share it, near ones mostly."""
     words = [w.encode() for w in _WORD.findall((text or "").lower())]
-    return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+    least = sorted({zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})[:2]
+    return zlib.crc32(repr(least).encode())
 
 
 class Vocabulary:
@@ -121,46 +122,66 @@ class BlockMaxIndex:
         for t, p in posted.items():
             places, weights = np.array([x[0] for x in p], np.int32), np.array([x[1] for x in p])
             there, starts = np.unique(places // block, return_index=True)
-            self.postings[t] = (places, weights, there, np.append(starts, len(p)), np.maximum.reduceat(weights, starts))
+            self.postings[t] = (places // block, places % block, weights, there, np.append(starts, len(p)), np.maximum.reduceat(weights, starts))
 
     def search(self, query: Vector, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Of the k nearest, and all as near as the last of them: numbers and cosines; and how many blocks were looked at.
-        Only examples that share a term with the query are near it."""
+        Only examples that share a term with the query are near it. The blocks with the highest bounds come first, as many
+        as before at each turn; those beyond the last turn are never looked at."""
         lists = [(w, self.postings[t]) for t, w in zip(*query, strict=True) if t in self.postings]
         bound = np.zeros(self.blocks)
-        for w, (_, _, there, _, top) in lists:
+        for w, (*_, there, _, top) in lists:
             bound[there] += w * top
         turn = np.argsort(-bound, kind="stable")
-        # for each list and block the postings' borders, looked up once
-        at = [(w, places, weights, dict(zip(there.tolist(), range(len(there)), strict=True)) if len(there) < self.blocks else None, starts) for w, (places, weights, there, starts, _) in lists]
-        places, scores, least, looked = [], [], 0.0, 0
+        turn = turn[: np.count_nonzero(bound > 0)]
+        found, scores, least, looked, at_once = [], [], 0.0, 0, 8
         held = np.empty(0)
-        for b in turn.tolist():
-            if bound[b] <= 0 or (len(held) >= k and bound[b] < least - 1e-9):
+        while looked < len(turn):
+            chosen = turn[looked : looked + at_once]
+            if len(held) >= k:
+                chosen = chosen[bound[chosen] >= least - 1e-9]
+            if not len(chosen):
                 break
-            looked += 1
-            sums = np.zeros(self.block)
-            for w, p, x, where, starts in at:
-                j = b if where is None else where.get(b)
-                if j is not None:
-                    lo, hi = starts[j], starts[j + 1]
-                    sums[p[lo:hi] - b * self.block] += w * x[lo:hi]
-            got = np.flatnonzero(sums > 0)
-            number = self.order[got + b * self.block]
+            looked += len(chosen)
+            got, score = self._sums(lists, chosen)
+            number = self.order[got]
             if leave_out >= 0:
-                got, number = got[number != leave_out], number[number != leave_out]
-            places.append(number)
-            scores.append(sums[got])
-            held = np.concatenate([held, sums[got]])
+                got, score, number = got[number != leave_out], score[number != leave_out], number[number != leave_out]
+            found.append(number)
+            scores.append(score)
+            held = np.concatenate([held, score])
             if len(held) >= k:
                 held = np.partition(held, len(held) - k)[len(held) - k :]
                 least = held[0]
-        if not places:
+            if len(chosen) < at_once:
+                break
+            at_once = 2 * looked
+        if not found:
             return np.empty(0, np.int64), np.empty(0), looked
-        number, score = np.concatenate(places), np.minimum(np.concatenate(scores), 1.0)
+        number, score = np.concatenate(found), np.minimum(np.concatenate(scores), 1.0)
         near = score >= (least if len(held) >= k else 0.0) - 1e-9
         return number[near], score[near], looked
 
+    def _sums(self, lists: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in these blocks with a term of the query, and their cosines."""
+        row = np.full(self.blocks, -1)
+        row[chosen] = np.arange(len(chosen))
+        sums = np.zeros((len(chosen), self.block))
+        flat = sums.reshape(-1)
+        for w, (block, at, weights, there, starts, _) in lists:
+            if 16 * len(chosen) < len(there):  # few of the list's blocks: their stretches
+                j = np.searchsorted(there, chosen)
+                for b, i in zip(chosen.tolist(), j.tolist(), strict=True):
+                    if i < len(there) and there[i] == b:
+                        lo, hi = starts[i], starts[i + 1]
+                        sums[row[b], at[lo:hi]] += w * weights[lo:hi]
+            else:
+                r = row[block]
+                mine = np.flatnonzero(r >= 0)
+                flat[r[mine] * self.block + at[mine]] += w * weights[mine]
+        got = np.flatnonzero(flat > 0)
+        return chosen[got // self.block] * self.block + got % self.block, flat[got]
+
 
 def _first(number: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest, and all as near as the last of them."""
@@ -282,7 +303,7 @@ def _telling(examples: DataFrame, max_terms: int, min_ratio: float) -> list[str]
     if not n0 or not n1:
         return []
     counts = arrow_map(examples.select("text", "label"), spread, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
-    part = lambda seen, of: f"coalesce({seen} * ln({seen} / ({of})), 0)"
+    part = lambda seen, of: f"if({seen} > 0, {seen} * ln({seen} / ({of})), 0)"
     there, not_there = f"n / {n0 + n1}", f"(1 - n / {n0 + n1})"
     ratio = " + ".join([part("a", f"{n1} * {there}"), part("(n - a)", f"{n0} * {there}"), part(f"({n1} - a)", f"{n1} * {not_there}"), part(f"({n0} - n + a)", f"{n0} * {not_there}")])
     best = counts.where(f"n >= {MIN_EXAMPLES}").select("term", F.expr(f"round(2 * ({ratio}), 6)").alias("ratio")).where(f"ratio >= {min_ratio}")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import periods, queries, toxicity, variants
+from quillon.llm import html, periods, queries, toxicity, variants
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, word string, key string, n int, label int, term string, own boolean"
@@ -267,3 +268,11 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(empty, nothing).count() == 0 and {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
     one = toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True))
     assert {r["score"] for r in toxicity.score(docs, one).collect()} == {1.0}
+
+
+# ---- pages whose tags never match -------------------------------------------------------------------------------------
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "</i>" * 200_000, "<div>" * 200_000 + "</section>" * 200_000, "<li>x" * 200_000, "<p><b>" * 100_000 + "y</p>" * 100_000])
+def test_degenerate_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.Page(page)
+    assert time.perf_counter() - began < 20
