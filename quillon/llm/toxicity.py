@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by distance.
 
 Terms are words in lower case and the beginnings of words (PREFIXES letters), so that inflected and compounded words have
-something in common. The vocabulary is the terms that are most surely in more of the toxic examples than of the others (by
-the likelihood ratio, at least MIN_RATIO), MAX_TERMS at most; all other words of a text count as one further term, so that a
+something in common. The vocabulary is the terms that are most surely (by the likelihood ratio, at least MIN_RATIO) in
+MIN_LIFT times as large a share of the toxic examples as of the others, MAX_TERMS at most; all other words of a text count as one further term, so that a
 vector tells how large a part of a text the vocabulary's terms are. A weight is the term's share of the words, times
 ln((1 + N) / (1 + df)) + 1 with the document frequencies of all documents; vectors have length 1.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, discard, doc_texts, hash_share, materialize
 
-MAX_LABELS, MAX_TERMS, MIN_RATIO, MIN_EXAMPLES = 4000, 4000, 12.0, 3
+MAX_LABELS, MAX_TERMS, MIN_RATIO, MIN_LIFT, MIN_EXAMPLES = 4000, 4000, 12.0, 3, 3
 PREFIXES, NEAREST, POWERS, BLOCK, SOFT, CUT, EVIDENCE = range(4, 9), (3, 5, 9, 15), (1, 2, 3), 32, 0.02, 0.7, 5
 _WORD = re.compile(r"\w+")
 #: In tables of counts the term of all documents; no word has a space.
@@ -306,7 +306,7 @@ def _telling(examples: DataFrame, max_terms: int, min_ratio: float) -> list[str]
     part = lambda seen, of: f"if({seen} > 0, {seen} * ln({seen} / ({of})), 0)"
     there, not_there = f"n / {n0 + n1}", f"(1 - n / {n0 + n1})"
     ratio = " + ".join([part("a", f"{n1} * {there}"), part("(n - a)", f"{n0} * {there}"), part(f"({n1} - a)", f"{n1} * {not_there}"), part(f"({n0} - n + a)", f"{n0} * {not_there}")])
-    best = counts.where(f"n >= {MIN_EXAMPLES} and a * {n0} > (n - a) * {n1}").select("term", F.expr(f"round(2 * ({ratio}), 6)").alias("ratio")).where(f"ratio >= {min_ratio}")
+    best = counts.where(f"n >= {MIN_EXAMPLES} and a * {n0} > {MIN_LIFT} * (n - a) * {n1}").select("term", F.expr(f"round(2 * ({ratio}), 6)").alias("ratio")).where(f"ratio >= {min_ratio}")
     return [r[0] for r in best.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
 
 
