@@ -224,23 +224,27 @@ class Judge:
         self.alone: Vector = ((len(vocabulary.number),), (1.0,))
         self.of_rest = self.index.search(self.alone, self.nearest)  # what every text without a vocabulary term is nearest to
         weight, truth = self.class_weight[self.labels], self.labels.astype(float)
-        near = [self._near(r[2], i) for i, r in enumerate(rows)]
+        options = [(k, power) for k in nearest for power in POWERS]
+        votes = np.array([self._votes(r[2], i, options) for i, r in enumerate(rows)])
         best = np.inf
-        for k in nearest:
-            cut = [_first(number, score, k) for number, score in near]
-            for power in POWERS:
-                votes = np.array([self._share(number, score, power) for number, score in cut])
-                steps = isotonic(votes, truth, weight)
-                error = float((weight * (np.interp(votes, *steps) - truth) ** 2).sum())
-                if error < best - 1e-9:
-                    best, self.nearest, self.power, self.steps = error, k, power, steps
+        for column, (k, power) in enumerate(options):
+            steps = isotonic(votes[:, column], truth, weight)
+            error = float((weight * (np.interp(votes[:, column], *steps) - truth) ** 2).sum())
+            if error < best - 1e-9:
+                best, self.nearest, self.power, self.steps = error, k, power, steps
         self.of_rest = (*_first(*self.of_rest[:2], self.nearest), self.of_rest[2])
 
-    def _near(self, query: Vector, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        number, score, _ = self.of_rest if query == self.alone else self.index.search(query, self.nearest, leave_out)
-        if query == self.alone and leave_out >= 0:
-            number, score = number[number != leave_out], score[number != leave_out]
-        return number, score
+    def _votes(self, query: Vector, own: int, options: list[tuple[int, int]]) -> list[float]:
+        """The votes on an example by the others, for each number of neighbours and power."""
+        number, score, _ = self.of_rest if query == self.alone else self.index.search(query, self.nearest, own)
+        if query == self.alone and len(number) > self.nearest:
+            # all that are like it are as near: what is left of their votes without its own, whatever the options
+            each = np.bincount(self.labels[number], minlength=2) - np.eye(2, dtype=int)[self.labels[own]]
+            return [float(each[1] * self.class_weight[1] / (each @ self.class_weight))] * len(options)
+        if query == self.alone:
+            number, score, _ = self.index.search(query, self.nearest, own)
+        found = {k: _first(number, score, k) for k in {k for k, _ in options}}
+        return [self._share(*found[k], power) for k, power in options]
 
     def _share(self, number: np.ndarray, score: np.ndarray, power: int) -> float:
         if not len(number):
@@ -256,7 +260,7 @@ class Judge:
         query = self.vocabulary.vector(counted(text))
         if query == self.alone and hasattr(self, "rest"):
             return self.rest
-        number, score = self._near(query)
+        number, score, _ = self.of_rest if query == self.alone else self.index.search(query, self.nearest)
         best = np.lexsort((number, -np.round(score, 9)))[:EVIDENCE]
         out = float(np.interp(self._share(number, score, self.power), *self.steps)), [(int(self.ids[number[i]]), int(self.labels[number[i]]), float(score[i])) for i in best]
         if query == self.alone:
