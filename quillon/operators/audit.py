@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +79,18 @@ def case_scores(cases: DataFrame) -> DataFrame:
 
 def containing(docs: DataFrame, text: str, items: DataFrame, item: str, words: int = 4) -> DataFrame:
     """Pairs of rows whose text contains the item as it is. Candidates share the item's run of `words` whole words from its
-    second on (the first may end another word), by equality; an item too short for that is compared with every text."""
+    second on (the first may end another word), by equality; an item too short for that is compared with every text.
+
+    What is taken apart are the texts' runs, each with its text's hash; whole texts meet only the items they may hold.
+    """
     run = lambda c, lo: F.array_join(F.slice(c, lo, words), " ")
     asked = items.withColumn("_w", F.split(item, " "))
     long = asked.where(F.size("_w") >= words + 2).withColumn("_k", F.xxhash64(run(F.col("_w"), 2))).drop("_w")
-    found = docs.withColumn("_w", F.split(text, " ")).withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.xxhash64(run(F.col("_w"), i)))))).drop("_w")
-    out = found.join(long, "_k").drop("_k").where(F.contains(text, F.col(item)))
+    hashed = docs.withColumn("_h", F.xxhash64(text))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.xxhash64(run(F.col("_w"), i)))
+    keys = hashed.select("_h", F.split(text, " ").alias("_w")).select("_h", F.explode(F.array_distinct(runs)).alias("_k"))
+    met = keys.join(long, "_k").drop("_k").distinct()
+    out = hashed.join(met, "_h").drop("_h").where(F.contains(text, F.col(item)))
     short = asked.where(F.size("_w") < words + 2).drop("_w")
     return out.unionByName(in_blocks(short, item, lambda block: docs.join(block, F.contains(text, F.col(item)))).select(*out.columns))
 
@@ -89,3 +98,87 @@ def containing(docs: DataFrame, text: str, items: DataFrame, item: str, words: i
 def relation_counts(edges: DataFrame) -> DataFrame:
     """relation, n, parents (G1)."""
     return edges.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("parent").alias("parents"))
+
+
+def constant_columns(df: DataFrame, vector: str) -> DataFrame:
+    """position of the numbers that are the same in all vectors (A5)."""
+    each = df.select(F.posexplode(vector).alias("position", "x"))
+    return each.groupBy("position").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo = hi").select("position")
+
+
+def embedding_problems(df: DataFrame, vector: str, width: int, source: DataFrame, index: str, label: str, classes: int | None = None) -> DataFrame:
+    """problem, n of a set of embeddings (A5): vectors as in embedding_quality, constant columns, rows whose label isn't the
+    source's, rows that only one of both has, and how far the source's classes are from the stated number."""
+    quality = embedding_quality(df, vector, width)
+    each = F.array(*(F.struct(F.lit(c.replace("_", " ")).alias("problem"), F.col(c).cast("long").alias("n")) for c in ("wrong_width", "not_finite", "zero", "repeated")))
+    parts = [quality.select(F.explode(each).alias("e")).select("e.*")]
+    parts.append(constant_columns(df, vector).agg(F.lit("constant column").alias("problem"), F.count("*").alias("n")))
+    both = df.select(index, F.col(label).alias("_a"), F.lit(1).alias("_x")).join(source.select(index, F.col(label).alias("_b"), F.lit(1).alias("_y")), index, "full")
+    one = F.col("_x").isNull() | F.col("_y").isNull()
+    parts.append(both.agg(F.lit("label").alias("problem"), F.count_if(~one & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("n")))
+    parts.append(both.agg(F.lit("not in both").alias("problem"), F.count_if(one).alias("n")))
+    if classes is not None:
+        parts.append(source.agg(F.lit("classes").alias("problem"), F.abs(F.count_distinct(label) - classes).alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ---- trees of digests -------------------------------------------------------------------------------------------------
+#: Bits of a row's place in a tree, by level: each node has 16 children.
+LEVELS = (4, 8, 12, 16)
+
+
+def placed(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows with their place (the highest bits of a hash of the key) and their own digest."""
+    place = F.shiftrightunsigned(F.xxhash64(*key), 64 - LEVELS[-1]).cast("int")
+    return df.withColumns({"_place": place, "_digest": F.xxhash64(*sorted(df.columns))})
+
+
+def digest_tree(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """level, node, n, digest: of the rows below each node how many and the sum of their digests, so that a level follows
+    from the one below it and a tree of a part can be added to that of another (A11). It has at most 70,000 rows."""
+    leaves = placed(df, key).groupBy(F.col("_place").alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("_digest").cast("decimal(38,0)")).alias("digest"))
+    up = F.explode(F.array(*(F.struct(F.lit(bits).alias("level"), F.shiftright("node", LEVELS[-1] - bits).alias("at")) for bits in LEVELS)))
+    return leaves.select(up.alias("u"), "n", "digest").groupBy("u.level", F.col("u.at").alias("node")).agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+
+
+def merged_trees(trees: Sequence[DataFrame]) -> DataFrame:
+    """The tree of all rows, from those of parts that share none: no row is read again."""
+    return reduce(DataFrame.unionByName, trees).groupBy("level", "node").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """node of the lowest level where two trees differ. Only children of nodes that differ are compared."""
+    at = lambda t, bits, name: t.where(F.col("level") == bits).select("node", F.struct("n", "digest").alias(name))
+    open_ = None
+    for bits in LEVELS:
+        left, right = at(a, bits, "x"), at(b, bits, "y")
+        if open_ is not None:
+            below = open_.withColumnRenamed("node", "_up")
+            left, right = (t.join(F.broadcast(below), F.shiftright("node", 4) == F.col("_up"), "left_semi") for t in (left, right))
+        open_ = left.join(right, "node", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
+    return open_
+
+
+def row_differences(actual: DataFrame, expected: DataFrame, key: Sequence[str], expected_tree: DataFrame | None = None) -> DataFrame:
+    """key, problem: missing, unexpected or changed rows (X22, X25), of those leaves alone whose digests differ. With the
+    tree that was kept of the expected rows, these are read only where the tree says so."""
+    nodes = differing(digest_tree(actual, key), expected_tree if expected_tree is not None else digest_tree(expected, key))
+    leaf = nodes.withColumnRenamed("node", "_place")
+    a, e = (placed(df, key).join(F.broadcast(leaf), "_place", "left_semi") for df in (actual, expected))
+    # repeated rows of a key are one: their number and the sum of their digests
+    one = lambda df, name: df.groupBy(*key).agg(F.struct(F.count("*"), F.sum(F.col("_digest").cast("decimal(38,0)"))).alias(name))
+    both = one(a, "_x").join(one(e, "_y"), list(key), "full")
+    problem = F.when(F.col("_x").isNull(), "missing").when(F.col("_y").isNull(), "unexpected").when(~F.col("_x").eqNullSafe(F.col("_y")), "changed")
+    return both.select(*key, problem.alias("problem")).where("problem is not null")
+
+
+def preflight(checks: Mapping[str, DataFrame]) -> DataFrame:
+    """check, problem, n, passed (X18): one row for each check, from tables of problems (problem, n) or of rows that break a
+    rule (counted); a check without a problem has one row that says so."""
+    parts = []
+    for name, df in checks.items():
+        counted = df.select(F.col("problem").cast("string").alias("problem"), F.col("n").cast("long").alias("n")).where("n > 0") if "n" in df.columns and "problem" in df.columns else df.groupBy((F.col("problem") if "problem" in df.columns else F.lit("row")).alias("problem")).agg(F.count("*").alias("n"))
+        parts.append(counted.withColumn("check", F.lit(name)))
+    found = reduce(DataFrame.unionByName, parts)
+    every = found.sparkSession.createDataFrame([(name,) for name in checks], "check string")
+    return every.join(found, "check", "left").select("check", "problem", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("n").isNull().alias("passed"))

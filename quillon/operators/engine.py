@@ -8,16 +8,16 @@ query meets all aliases. Queries are a table (query_id, query), with a column q
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
-from quillon.operators import retrieval
-from quillon.operators.blocks import in_blocks
-from quillon.sources.sinks import publish
+from quillon.operators import fusion, retrieval
+from quillon.operators.blocks import in_blocks, numbered
+from quillon.session import cut
 
 MODES = ("symbolic", "vector", "hybrid")
 
@@ -26,20 +26,29 @@ MODES = ("symbolic", "vector", "hybrid")
 class Index:
     """terms (id, name, definition, obsolete); redirects (id, kind, target); aliases (alias_id, id, alias, is_name,
     tokens) of current terms in lower case; grams (gram, alias_id) of 1 to 3 characters; gram_counts (gram, n); names
-    (token, id); vectors (id, v) of current terms."""
+    (token, id); order (id, pos), the place of each current id among them; vectors (id, v) of current terms.
+    index_store keeps one on disk."""
 
     terms: DataFrame
     redirects: DataFrame
     aliases: DataFrame
     grams: DataFrame
-    gram_counts: DataFrame
+    gram_counts: DataFrame | None
     names: DataFrame
+    order: DataFrame | None = None
     vectors: DataFrame | None = None
 
     @property
     def current(self) -> DataFrame:
         return self.terms.where("not obsolete").select("id")
 
+    def counted(self) -> Index:
+        return replace(self, gram_counts=self.grams.groupBy("gram").agg(F.count("*").alias("n")))
+
+    def ordered(self) -> Index:
+        """With the places of the current ids; numbering them is a pass of its own, so it waits until they are asked for."""
+        return self if self.order is not None else replace(self, order=numbered(self.current, [], [F.col("id")], "pos"))
+
 
 def current_aliases(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Names and synonyms of the current terms (J1). synonyms (id, value)."""
@@ -54,18 +63,7 @@ def build(terms: DataFrame, synonyms: DataFrame, redirects: DataFrame, vectors:
     names = aliases.where("is_name").select(F.explode(T.words("alias")).alias("token"), "id")
     present = redirects.join(terms.select(F.col("id").alias("target")), "target", "left_semi").select("id", "kind", "target")
     live = None if vectors is None else vectors.join(terms.where("not obsolete").select("id"), "id", "left_semi")
-    return Index(terms, present, aliases, grams, grams.groupBy("gram").agg(F.count("*").alias("n")), names, live)
-
-
-def save(index: Index, path: str) -> None:
-    for f in fields(index):
-        df = getattr(index, f.name)
-        if df is not None:
-            publish(df, f"{path}/{f.name}")
-
-
-def load(spark: SparkSession, path: str, vectors: bool = True) -> Index:
-    return Index(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Index) if vectors or f.name != "vectors"})
+    return Index(terms, present, aliases, grams, None, names, None, live).counted()
 
 
 def lexical(queries: DataFrame, index: Index) -> DataFrame:
@@ -116,21 +114,26 @@ def symbolic(queries: DataFrame, index: Index, k: int | None = 5) -> DataFrame:
     return completed(_targets(ids, index).unionByName(ranked.select("query_id", "id", "rank")), index, queries, k)
 
 
+def _unit(queries: DataFrame) -> DataFrame:
+    norm = F.greatest(F.sqrt(retrieval.dot(F.col("q"), F.col("q"))), F.lit(1e-12))
+    return queries.withColumn("_n", norm).select("query_id", F.transform("q", lambda x: x / F.col("_n")).alias("q"))
+
+
 def by_vector(queries: DataFrame, index: Index, k: int | None = 5) -> DataFrame:
     """query_id, id, rank (R5): the query's vector is brought to unit length, the index's are as they are."""
     ids, rest = _split(queries)
-    norm = F.greatest(F.sqrt(retrieval.dot(F.col("q"), F.col("q"))), F.lit(1e-12))
-    asked = rest.withColumn("_n", norm).select("query_id", F.transform("q", lambda x: x / F.col("_n")).alias("q"))
-    near = retrieval.cosine_topk(asked, index.vectors, k).select("query_id", "id", "rank")
+    near = retrieval.cosine_topk(_unit(rest), index.vectors, k).select("query_id", "id", "rank")
     return completed(_targets(ids, index), index, ids, k).unionByName(near)
 
 
 def hybrid(queries: DataFrame, index: Index, k: int | None = 5) -> DataFrame:
-    """query_id, id, rank (R6): both full rankings fused."""
+    """query_id, id, rank (R6): both rankings fused; with k, each is read only as deep as k needs (see fusion)."""
     ids, rest = _split(queries)
-    fused = retrieval.reciprocal_rank_fusion([symbolic(rest, index, None), by_vector(rest, index, None)]).select("query_id", "id", "rank")
-    fused = fused if k is None else fused.where(F.col("rank") <= k)
-    return completed(_targets(ids, index), index, ids, k).unionByName(fused)
+    if k is None:
+        found = retrieval.reciprocal_rank_fusion([symbolic(rest, index, None), by_vector(rest, index, None)]).select("query_id", "id", "rank")
+    else:
+        found = fusion.fused(cut(_unit(rest)), lexical(rest, index), index.ordered().order, index.vectors, k)
+    return completed(_targets(ids, index), index, ids, k).unionByName(found)
 
 
 def retrieve(queries: DataFrame, index: Index, mode: str = "hybrid", k: int | None = 5) -> DataFrame:

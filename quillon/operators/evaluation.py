@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.blocks import running_sums
 from quillon.operators.matching import ratio
+from quillon.operators.retrieval import walk
 
 METRICS = ("recall_at_5", "mrr", "exact_id_accuracy")
 
@@ -98,6 +100,64 @@ def case_violations(cases: DataFrame, current: DataFrame, aliases: DataFrame, ra
     return t.select("case_id", F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(r)) for r, bad in rules.items())))).alias("rule"))
 
 
+#: Kinds of benchmark cases that ask for an identifier, and the kind of redirect that each follows (null: the case says).
+IDENTIFIER_CASES = {"canonical_id": "", "alternate_id": "alt_id", "obsolete_id": None}
+
+
+def benchmark_targets(cases: DataFrame, terms: DataFrame, redirects: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:
+    """case_id, id: what the tables say the gold of each case is, by its type.
+
+    cases (case_id, case_type, query, kind, scope, direction, depth); terms (id, obsolete); redirects (id, kind, target);
+    aliases (alias, id, scope), scope null for names; edges (parent, child, relation). A canonical case's target is the
+    current term of its query, an alternate one's and an obsolete one's what the redirects of that kind lead to; synonym
+    and ambiguous cases have the current terms with that synonym, rare ones those with that alias, traversals the nodes
+    that a walk of that depth reaches.
+    """
+    live = terms.where("not obsolete").select("id")
+    q = lambda *kinds: cases.where(F.col("case_type").isin(*kinds))
+    same = q("canonical_id").select("case_id", F.col("query").alias("id")).join(live, "id").select("case_id", "id")
+    asked = q("alternate_id", "obsolete_id").select("case_id", F.col("query").alias("q"), F.when(F.col("case_type") == "alternate_id", "alt_id").otherwise(F.col("kind")).alias("k"))
+    led = asked.join(redirects, (F.col("q") == F.col("id")) & (F.col("k") == F.col("kind"))).select("case_id", F.col("target").alias("id"))
+    named = aliases.select(F.lower("alias").alias("alias"), "id", "scope").join(live, "id")
+    said = q("synonym", "ambiguous", "rare").select("case_id", "case_type", F.lower("query").alias("alias")).join(named, "alias")
+    said = said.where("case_type = 'rare' or scope is not null").select("case_id", "id").distinct()
+    walks = [same, led.distinct(), said]
+    for direction in ("ancestors", "descendants"):
+        mine = q("traversal").where(F.col("direction") == direction).select("case_id", F.col("query").alias("start"), F.col("depth").alias("most"))
+        deepest = mine.agg(F.max("most")).first()[0] or 0
+        if deepest > 0:
+            walks.append(mine.join(walk(edges, mine.select("start").distinct(), direction, deepest), "start").where("depth <= most").select("case_id", F.col("node").alias("id")))
+    return reduce(DataFrame.unionByName, walks)
+
+
+def benchmark_problems(cases: DataFrame, terms: DataFrame, redirects: DataFrame, aliases: DataFrame, edges: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """case_id, rule of benchmark cases that don't fit the tables (R17). cases as in benchmark_targets, with gold_ids,
+    alias_max (rare) and eligible_metrics; a null case_type, query or depth breaks a rule, and so does a repeated id."""
+    gold = cases.select("case_id", F.explode("gold_ids").alias("id")).distinct()
+    want = benchmark_targets(cases, terms, redirects, aliases, edges)
+    uneven = gold.withColumn("_g", F.lit(1)).join(want.withColumn("_w", F.lit(1)), ["case_id", "id"], "full").where("_g is null or _w is null").select("case_id").distinct().withColumn("uneven", F.lit(True))
+    live = terms.where("not obsolete").select("id")
+    gone = gold.join(live, "id", "left_anti").select("case_id").distinct().withColumn("gone", F.lit(True))
+    counts = aliases.groupBy("id").agg(F.count("*").alias("n"))
+    most = gold.join(counts, "id").groupBy("case_id").agg(F.max("n").alias("most"))
+    scopes = cases.where("case_type in ('synonym', 'ambiguous')").select("case_id", F.lower("query").alias("alias")).join(aliases.where("scope is not null").join(live, "id").select(F.lower("alias").alias("alias"), F.col("scope").alias("s")), "alias").groupBy("case_id").agg(F.collect_set("s").alias("scopes"))
+    times = cases.groupBy("case_id").agg(F.count("*").alias("times"))
+    rows = cases
+    for more in (uneven, gone, most, scopes, times):
+        rows = rows.join(more, "case_id", "left")
+    kind = F.col("case_type")
+    known = (*IDENTIFIER_CASES, "synonym", "ambiguous", "rare", "traversal")
+    is_id = F.col("query").rlike("^GO:[0-9]{7}$")
+    rules = {
+        "repeated id": F.col("times") > 1, "type": kind.isNull() | ~kind.isin(*known), "no query": F.coalesce(F.trim("query"), F.lit("")) == "",
+        "no gold": ~kind.eqNullSafe(F.lit("traversal")) & (F.coalesce(F.size("gold_ids"), F.lit(0)) <= 0), "metric": F.size(F.array_except("eligible_metrics", F.array(*map(F.lit, metrics)))) > 0,
+        "identifier": kind.isin(*IDENTIFIER_CASES, "traversal") & ~is_id, "target not current": (kind != "traversal") & F.col("gone"), "gold": F.col("uneven"),
+        "ambiguous has several targets": (kind == "ambiguous") & (F.size(F.array_distinct("gold_ids")) < 2), "scope": kind.isin("synonym", "ambiguous") & ~F.col("scopes").eqNullSafe(F.array("scope")),
+        "rare has few aliases": (kind == "rare") & (F.coalesce("most", F.lit(0)) > F.coalesce("alias_max", F.lit(-1))), "traversal": (kind == "traversal") & ((F.coalesce("depth", F.lit(0)) <= 0) | ~F.coalesce(F.col("direction").isin("ancestors", "descendants"), F.lit(False))),
+    }
+    return rows.select("case_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(r)) for r, bad in rules.items())))).alias("rule")).distinct()
+
+
 def classification(df: DataFrame, truth: str, guess: str, classes: Sequence[int]) -> DataFrame:
     """cls, precision, recall, f1, support for each of a fixed domain of classes."""
     n = df.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,11 +70,15 @@ def admit_jobs(log: DataFrame, key: str, seq: list[str], status: str, terminal:
     return state.where(~F.col("status").isin(terminal)).unionByName(done).select(key, "status")
 
 
-def run_aggregate(runs: DataFrame, repeats: int) -> DataFrame:
-    """run, valid_rate, repeatability (G16): a case repeats if all its repeats ran and its ok outputs are one.
-    runs(run, case_id, status, output)."""
-    case = runs.groupBy("run", "case_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_distinct(F.when(F.col("status") == "ok", F.col("output"))).alias("outputs"))
-    return case.groupBy("run").agg(F.round(F.sum("ok") / F.sum("n"), 6).alias("valid_rate"), F.round(F.avg(((F.col("n") >= repeats) & (F.col("outputs") == 1)).cast("int")), 6).alias("repeatability"))
+def run_aggregate(runs: DataFrame, repeats: int, recalls: Sequence[str] = (), forbidden: str | None = None) -> DataFrame:
+    """run, valid_rate, repeatability (G16): a case repeats if all its repeats ran and its ok outputs are one; further the
+    mean of each recall over ok rows (0 without any) and the sum of forbidden hits. runs(run, case_id, status, output)."""
+    ok = F.col("status") == "ok"
+    extra = {f"_s_{c}": F.sum(F.when(ok, F.col(c))) for c in recalls} | ({"_f": F.sum(forbidden)} if forbidden else {})
+    case = runs.groupBy("run", "case_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_distinct(F.when(ok, F.col("output"))).alias("outputs"), *(e.alias(k) for k, e in extra.items()))
+    out = [F.round(F.sum("ok") / F.sum("n"), 6).alias("valid_rate"), F.round(F.avg(((F.col("n") >= repeats) & (F.col("outputs") == 1)).cast("int")), 6).alias("repeatability")]
+    out += [F.round(F.when(F.sum("ok") > 0, F.coalesce(F.sum(f"_s_{c}"), F.lit(0.0)) / F.sum("ok")).otherwise(0.0), 6).alias(c) for c in recalls]
+    return case.groupBy("run").agg(*out, *([F.coalesce(F.sum("_f"), F.lit(0)).cast("long").alias(forbidden)] if forbidden else []))
 
 
 def select_winner(aggregates: DataFrame, veto: str, order: list[str], key: str) -> DataFrame:

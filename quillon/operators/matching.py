@@ -1,16 +1,21 @@
 """Instance matching on pixel tables (patch, pred, truth, ignored); 0 is background.
 
 Overlaps come from one aggregation of pixels, never from comparing instances in pairs. Above an IoU of one half a match is
-one-to-one by itself; below, `match_greedy` settles the order per patch.
+one-to-one by itself; below, pairs are settled in rounds. Box matching and matching below one half are joins and maxima,
+without a group in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.blocks import scan
+from quillon.session import cut
+
 CLASSES = (1, 2, 3, 4, 5)
 
 
@@ -37,22 +42,27 @@ def match(px: DataFrame, threshold: float = 0.5) -> DataFrame:
     return overlaps(px).where(F.col("iou") > threshold).select("patch", "pred", "truth", "iou")
 
 
-def match_greedy(px: DataFrame, threshold: float) -> DataFrame:
-    """Matches by falling (iou, pred, truth), each instance once, at any threshold. A patch's pairs are one group; they
-    number at most its pixels."""
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_t, kept = set(), set(), []
-        pdf = pdf.sort_values(["iou", "pred", "truth"], ascending=False)
-        for p, t in zip(pdf["pred"].tolist(), pdf["truth"].tolist(), strict=True):
-            kept.append(p not in used_p and t not in used_t)
-            if kept[-1]:
-                used_p.add(p)
-                used_t.add(t)
-        return pdf[kept]
+def dominant_pairs(pairs: DataFrame, left: list[str], right: list[str], strength: Column) -> DataFrame:
+    """Of pairs each side's row in one pair at most, taken by falling strength (which must differ between pairs).
+
+    In rounds: a pair that is the strongest of both its sides is in the result whatever else is; it goes out of the game
+    with all others of its sides. Rounds are joins and maxima by key, so that a group of any size is spread; a round takes
+    all such pairs at once, so their number is that of the longest chain of ever stronger neighbours.
+    """
+    open_ = cut(pairs.withColumn("_s", strength))
+    taken: list[DataFrame] = []
+    while open_.take(1):
+        most_left, most_right = open_.groupBy(*left).agg(F.max("_s").alias("_l")), open_.groupBy(*right).agg(F.max("_s").alias("_r"))
+        won = cut(open_.join(most_left, left).join(most_right, right).where("_s = _l and _s = _r").select(*pairs.columns))
+        taken.append(won)
+        open_ = cut(open_.join(won.select(*left), left, "left_anti").join(won.select(*right), right, "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else open_.select(*pairs.columns)
+
 
+def match_greedy(px: DataFrame, threshold: float) -> DataFrame:
+    """Matches by falling (iou, pred, truth), each instance once, at any threshold."""
     pairs = overlaps(px).where(F.col("iou") > threshold).selectExpr("cast(patch as long) patch", "cast(pred as long) pred", "cast(truth as long) truth", "iou")
-    return pairs.groupBy("patch").applyInPandas(settle, "patch long, pred long, truth long, iou double")
+    return dominant_pairs(pairs, ["patch", "pred"], ["patch", "truth"], F.struct("iou", "pred", "truth"))
 
 
 def outcomes(px: DataFrame, matched: DataFrame) -> DataFrame:
@@ -129,40 +139,93 @@ def box_iou(a: str, b: str, floor: float = 1e-9) -> Column:
     return inter / F.greatest(area(a) + area(b) - inter, F.lit(floor))
 
 
-def box_matches(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """image, cls, det_id, conf, hit: detections by falling confidence take the best unused truth, IoU at the threshold or
-    above, the later truth on a tie (M6). Images bound the groups."""
-    pairs = det.join(gt, ["image", "cls"], "left").withColumn("iou", F.coalesce(box_iou("box", "truth"), F.lit(0.0)))
-    listed = pairs.groupBy("image", "cls", "det_id", "conf").agg(F.collect_list(F.struct("iou", "truth_id")).alias("c"))
+def box_pairs(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The columns of det (image, cls, det_id, box) and gt (image, cls, truth_id, truth), and iou, of all pairs of one image
+    and class with an IoU at the threshold or above.
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        hits = []
-        pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True])
-        for found in pdf["c"]:
-            best = max(((x["iou"], x["truth_id"]) for x in found if x["truth_id"] is not None and x["truth_id"] not in used), default=(0.0, None))
-            hits.append(best[1] is not None and best[0] >= threshold)
-            if hits[-1]:
-                used.add(best[1])
-        return pdf.assign(hit=hits)[["image", "cls", "det_id", "conf", "hit"]]
+    Such boxes differ in width and height by no more than the threshold, and their centres by no more than the rest of the
+    wider one. So a truth lies in one cell of a grid whose size follows its own width and height, and a detection looks
+    into the few cells, of sizes like its own, that can hold a partner; nothing else is compared.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold above 0")
+    slack = 1e-9
 
-    return listed.groupBy("image", "cls").applyInPandas(settle, "image long, cls int, det_id long, conf double, hit boolean")
+    def sides(df: DataFrame, box: str) -> DataFrame:
+        return df.where(f"{box}.x2 > {box}.x1 and {box}.y2 > {box}.y1").withColumns({"_w": F.expr(f"{box}.x2 - {box}.x1"), "_h": F.expr(f"{box}.y2 - {box}.y1"), "_x": F.expr(f"({box}.x1 + {box}.x2) / 2"), "_y": F.expr(f"({box}.y1 + {box}.y2) / 2")})
+
+    cell = lambda at, level: f"cast(floor(({at}) / pow(2d, {level} + 1)) as long)"
+    own = sides(gt, "truth").withColumns({"_lw": F.expr("cast(floor(log2(_w)) as int)"), "_lh": F.expr("cast(floor(log2(_h)) as int)")})
+    own = own.withColumns({"_cx": F.expr(cell("_x", "_lw")), "_cy": F.expr(cell("_y", "_lh"))}).drop("_w", "_h", "_x", "_y")
+    asks = sides(det, "box")
+    for level, size in (("_lw", "_w"), ("_lh", "_h")):
+        low, high = f"cast(floor(log2({size} * {threshold * (1 - slack)})) as int)", f"cast(floor(log2({size} * {(1 + slack) / threshold})) as int)"
+        asks = asks.withColumn(level, F.explode(F.expr(f"sequence({low}, {high})")))
+    for at, level, size, out in (("_x", "_lw", "_w", "_cx"), ("_y", "_lh", "_h", "_cy")):
+        reach = f"{(1 - threshold) * (1 + slack) + slack} * greatest({size}, pow(2d, {level} + 1))"
+        asks = asks.withColumn(out, F.explode(F.expr(f"sequence({cell(f'{at} - {reach}', level)}, {cell(f'{at} + {reach}', level)})")))
+    met = asks.join(own, ["image", "cls", "_lw", "_lh", "_cx", "_cy"]).withColumn("iou", box_iou("box", "truth"))
+    return met.where(F.col("iou") >= threshold).drop("_lw", "_lh", "_cx", "_cy", "_w", "_h", "_x", "_y")
+
+
+def box_matches(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """image, cls, det_id, conf, hit: detections by falling confidence (then id) take the best unused truth, IoU at the
+    threshold or above, the later truth on a tie (M6).
+
+    Truths all prefer the earlier detection, so taking turns gives the one stable matching, which deferred acceptance finds
+    in rounds: each detection asks its best truth, a truth holds the first of those that ask, and all pairs of a held
+    truth with later detections are out, until no truth is asked twice.
+    """
+    det = det.withColumn("_turn", F.struct(F.coalesce(-F.col("conf"), F.lit(float("inf"))).alias("late"), "det_id"))
+    truth, one = ["image", "cls", "truth_id"], ["image", "cls", "det_id"]
+    open_ = cut(box_pairs(det, gt, threshold).select(*truth, "det_id", "_turn", "iou"))
+    while True:
+        asked = open_.groupBy(*one).agg(F.max(F.struct("iou", "truth_id")).alias("_want"), F.first("_turn").alias("_turn")).withColumn("truth_id", F.col("_want.truth_id"))
+        held = cut(asked.groupBy(*truth).agg(F.min("_turn").alias("_held"), F.count("*").alias("_n")))
+        if not held.where("_n > 1").take(1):
+            break
+        open_ = cut(open_.join(held, truth, "left").where("_held is null or _turn <= _held").drop("_held", "_n"))
+    hits = asked.select(*one, F.lit(True).alias("hit"))
+    return det.join(hits, one, "left").select(*one, "conf", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def ap50(hits: DataFrame, truths: DataFrame, classes: int = 3) -> DataFrame:
-    """cls, ap: precision envelope averaged over 101 recall points; a class without truth counts 0."""
+    """cls, ap: precision envelope averaged over 101 recall points; a class without truth counts 0 (M7, W7). Hits are summed
+    by a scan over ranges; each goes to the last recall point it reaches, and the envelope is a maximum over those."""
     spark = hits.sparkSession
-    order = Window.partitionBy("cls").orderBy(F.desc("conf"), "image", "det_id")
     n = truths.groupBy("cls").agg(F.count("*").alias("n"))
-    run = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(order), "k": F.row_number().over(order)}).join(n, "cls")
-    run = run.withColumns({"recall": F.col("tp") / F.col("n"), "precision": F.col("tp") / F.col("k")})
-    best = run.groupBy("cls", "tp", "recall").agg(F.max("precision").alias("p"))
-    grid = spark.range(101).select((F.col("id") / 100).alias("at"))
-    # at most one row for each true positive and point
-    points = best.join(F.broadcast(grid), F.col("recall") >= F.col("at")).groupBy("cls", "at").agg(F.max("p").alias("p")).groupBy("cls").agg((F.sum("p") / 101).alias("ap"))
+    run = scan(hits, ["cls"], [F.desc("conf"), F.col("image"), F.col("det_id")], {"tp": ("sum", F.col("hit").cast("int")), "k": ("count", F.lit(1))})
+    run = run.join(n, "cls").withColumns({"recall": F.col("tp") / F.col("n"), "precision": F.col("tp") / F.col("k")})
+    near = F.floor(F.col("recall") * 100)
+    last = F.when((near + 1) / 100 <= F.col("recall"), near + 1).when(near / 100 <= F.col("recall"), near).otherwise(near - 1)
+    best = run.groupBy("cls", F.least(last, F.lit(100)).alias("at")).agg(F.max("precision").alias("p"))
+    # at most 101 rows a class: each stands for the points from the one before it up to its own
+    falling = Window.partitionBy("cls").orderBy(F.desc("at"))
+    ends = best.select("cls", "at", F.max("p").over(falling).alias("p"), F.lag("at").over(Window.partitionBy("cls").orderBy("at")).alias("from"))
+    points = ends.groupBy("cls").agg((F.sum(F.col("p") * (F.col("at") - F.coalesce("from", F.lit(-1)))) / 101).alias("ap"))
     return spark.range(classes).select(F.col("id").cast("int").alias("cls")).join(points, "cls", "left").select("cls", F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("ap"))
 
 
+def detector_scores(hits: DataFrame, truths: DataFrame, thresholds: DataFrame, classes: int = 3) -> DataFrame:
+    """threshold, macro_f1, min_recall, mean_recall, recall (M6, O7) of box_matches() at each threshold of confidence. As
+    detections take turns by falling confidence, leaving later ones out changes nothing for those before: one matching
+    serves all thresholds, and these meet distinct confidences and not rows."""
+    spark = hits.sparkSession
+    domain = spark.range(classes).select(F.col("id").cast("int").alias("cls")).join(F.broadcast(thresholds.select("threshold")))
+    n = truths.groupBy("cls").agg(F.count("*").alias("n"))
+    by = hits.groupBy("cls", "conf").agg(F.count_if("hit").alias("tp"), F.count("*").alias("k"))
+    got = by.join(F.broadcast(thresholds.select("threshold")), F.col("conf") >= F.col("threshold")).groupBy("threshold", "cls").agg(F.sum("tp").alias("tp"), F.sum("k").alias("k"))
+    per = domain.join(got, ["threshold", "cls"], "left").join(n, "cls", "left").fillna(0, ["tp", "k", "n"])
+    f1, recall = ratio(2 * F.col("tp"), F.col("k") + F.col("n")), ratio(F.col("tp"), F.col("n"))
+    six = lambda x, name: F.round(x, 6).alias(name)
+    return per.groupBy("threshold").agg(six(F.avg(f1), "macro_f1"), six(F.min(recall), "min_recall"), six(F.avg(recall), "mean_recall"), six(ratio(F.sum("tp"), F.sum("n")), "recall"))
+
+
+def chosen_threshold(scores: DataFrame) -> DataFrame:
+    """The row with the highest (macro_f1, min_recall, mean_recall), the smaller threshold on a tie."""
+    return scores.orderBy(F.desc("macro_f1"), F.desc("min_recall"), F.desc("mean_recall"), "threshold").limit(1)
+
+
 def iou_bins(matched: DataFrame, bins: list[tuple[float, float]]) -> DataFrame:
     """lo, hi, n, right_type of matches with an IoU in (lo, hi] (J14): the few bins are sent to the matches."""
     few = matched.sparkSession.createDataFrame(bins, "lo double, hi double")

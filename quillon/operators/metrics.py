@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.operators.blocks import running_sums
 from quillon.operators.matching import metric_columns, ratio
+from quillon.operators.quantiles import interpolated, picked
 
 
 def auroc(df: DataFrame, score: str = "s", truth: str = "y") -> DataFrame:
@@ -51,15 +51,14 @@ def best(swept: DataFrame, min_recall: float = 0.2) -> DataFrame:
 
 def percentile_nearest(df: DataFrame, value: str, by: str, q: float) -> DataFrame:
     """sorted[ceil(q n) - 1]."""
-    return df.groupBy(by).agg(F.expr(f"percentile_disc({q}) within group (order by {value})").alias("p_nearest"))
+    return picked(df, [by], value, {"p_nearest": F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))}).drop("n")
 
 
-def percentile_floor(df: DataFrame, value: str, by: str, tie: str, q: float) -> DataFrame:
-    """sorted[max(0, int(q n) - 1)] and sorted[n div 2]."""
-    w = Window.partitionBy(by)
-    ranked = df.withColumns({"k": F.row_number().over(w.orderBy(value, tie)), "n": F.count("*").over(w)})
-    floor_at, upper_at = F.greatest(F.lit(1), F.floor(q * F.col("n"))), F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy(by).agg(F.max(F.when(F.col("k") == floor_at, F.col(value))).alias("p_floor"), F.max(F.when(F.col("k") == upper_at, F.col(value))).alias("p50_upper"), F.median(value).alias("median"))
+def percentile_floor(df: DataFrame, value: str, by: str, q: float) -> DataFrame:
+    """sorted[max(0, int(q n) - 1)], sorted[n div 2] and the median."""
+    n = F.col("n")
+    got = picked(df, [by], value, {"p_floor": F.greatest(F.lit(1), F.floor(q * n)), "p50_upper": F.floor(n / 2) + 1, "_lower": F.floor((n + 1) / 2)})
+    return got.select(by, "p_floor", "p50_upper", F.when(n % 2 == 1, F.col("p50_upper").cast("double")).otherwise((F.col("_lower") + F.col("p50_upper")) / 2).alias("median"))
 
 
 def gates(values: DataFrame, floors: dict[str, float]) -> DataFrame:
@@ -70,5 +69,5 @@ def gates(values: DataFrame, floors: dict[str, float]) -> DataFrame:
 
 def percentile_features(df: DataFrame, value: str, by: str) -> DataFrame:
     """p10, p50, p90 and the interquartile range, linearly interpolated."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(by).agg(F.round(p(0.1), 6).alias("p10"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.9), 6).alias("p90"), F.round(p(0.75) - p(0.25), 6).alias("iqr"))
+    got = interpolated(df, [by], value, {"p10": 0.1, "p50": 0.5, "p90": 0.9, "q1": 0.25, "q3": 0.75})
+    return got.select(by, *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))

@@ -119,17 +119,34 @@ def corpus_membership(context: DataFrame, terms: DataFrame) -> DataFrame:
     return context.join(t, "go_id", "left").select("case_id", "evidence_id", problem.alias("problem")).where("problem is not null")
 
 
-def notes(responses: DataFrame, claims: DataFrame, findings: DataFrame, context: DataFrame) -> DataFrame:
-    """case_id, note (K11): lines in claim order, each with its finding labels and evidence; the reason if abstained."""
-    at = lambda c, x: claims.select("case_id", "claim_id", F.posexplode(c).alias("p", x))
-    label = at("finding_ids", "finding_id").join(findings.select("case_id", "finding_id", "label"), ["case_id", "finding_id"]).groupBy("case_id", "claim_id").agg(F.expr("listagg(label, ', ') within group (order by p)").alias("labels"))
-    cite = at("evidence_ids", "evidence_id").join(context.select("case_id", "evidence_id", "go_id"), ["case_id", "evidence_id"])
-    cite = cite.withColumn("c", F.format_string("%s (%s)", "evidence_id", "go_id")).groupBy("case_id", "claim_id").agg(F.expr("listagg(c, ', ') within group (order by p)").alias("cites"))
-    lines = claims.join(label, ["case_id", "claim_id"], "left").join(cite, ["case_id", "claim_id"], "left")
-    lines = lines.select("case_id", "seq", F.format_string("- [%s] %s\n  findings: %s; evidence: %s", "claim_id", "text", F.coalesce("labels", F.lit("")), F.coalesce("cites", F.lit(""))).alias("line"))
-    body = lines.groupBy("case_id").agg(F.expr("listagg(line, '\n') within group (order by seq)").alias("body"))
-    text = F.when(F.col("abstained"), F.format_string("ABSTAINED: no supported finding.\nReason: %s", "abstention_reason")).otherwise(F.coalesce("body", F.lit("")))
-    return responses.join(body, "case_id", "left").select("case_id", F.format_string("Case %s\n\n%s\n", F.col("case_id").cast("string"), text).alias("note"))
+#: Fixed value: the last line of every note, as users of such notes know it.
+ASSIST_WARNING = "Diagnostic-assist only: this note was generated locally from supplied findings and retrieved context. Every statement must be reviewed and signed off by a qualified human; nothing here makes an autonomous clinical call."
+
+
+def notes(responses: DataFrame, claims: DataFrame, findings: DataFrame, context: DataFrame, limitations: DataFrame | None = None, warning: str = ASSIST_WARNING) -> DataFrame:
+    """case_id, note (K11): a title; the claims in order, each with the labels and evidence it names itself, or the reason
+    if abstained; the case's limitations (case_id, limitations array), if it has any; the warning.
+
+    A claim is a row of `claims`: its place (seq) tells it from others of the same claim_id. Of repeated findings or
+    evidence of one id the greatest counts. What a claim names and the case doesn't have is left out; a null reason is
+    written as null.
+    """
+    row = ["case_id", "seq"]
+    named = lambda ids, one: claims.select(*row, F.posexplode(ids).alias("p", one))
+    joined = lambda df, text, out: df.groupBy(*row).agg(F.expr(f"listagg({text}, ', ') within group (order by p)").alias(out))
+    known = findings.groupBy("case_id", "finding_id").agg(F.max("label").alias("label"))
+    shown = context.groupBy("case_id", "evidence_id").agg(F.max("go_id").alias("go_id"))
+    labels = joined(named("finding_ids", "finding_id").join(known, ["case_id", "finding_id"]), "label", "labels")
+    cites = joined(named("evidence_ids", "evidence_id").join(shown, ["case_id", "evidence_id"]), "concat(evidence_id, ' (', go_id, ')')", "cites")
+    lines = claims.join(labels, row, "left").join(cites, row, "left")
+    line = F.format_string("- [%s] %s\n  findings: %s; evidence: %s", "claim_id", "text", F.coalesce("labels", F.lit("")), F.coalesce("cites", F.lit("")))
+    body = lines.select(*row, line.alias("line")).groupBy("case_id").agg(F.expr("listagg(line, '\n') within group (order by seq)").alias("body"))
+    every = responses.join(body, "case_id", "left")
+    every = every.join(limitations, "case_id", "left") if limitations is not None else every.withColumn("limitations", F.lit(None).cast("array<string>"))
+    said = F.when(F.col("abstained"), F.format_string("ABSTAINED: no supported finding to report.\nReason: %s", "abstention_reason")).otherwise(F.col("body"))
+    limits = F.when(F.size("limitations") > 0, F.concat(F.lit("\nLimitations: "), F.array_join("limitations", "; ")))
+    title = F.format_string("Case %s \u2014 synthesis review note\n", F.col("case_id").cast("string"))
+    return every.select("case_id", F.concat(F.concat_ws("\n", title, said, limits, F.lit(f"\n{warning}")), F.lit("\n")).alias("note"))
 
 
 def canonical_json(columns: Sequence[str]) -> Column:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.blocks import numbered
+
 
 def stratified_split(df: DataFrame, id_col: str, stratum: str, seed: str = "seed", train: int = 70, val: int = 15) -> DataFrame:
-    """id, stratum, split (E1): within a stratum in hash order the first int(.70 n) train, the next int(.15 n) val."""
+    """id, stratum, split (E1): within a stratum in hash order the first int(.70 n) train, the next int(.15 n) val. Places
+    are by a scan over ranges, so that a stratum of any size is in many tasks."""
     ranked = df.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256).alias("h"))
-    w = Window.partitionBy("stratum")
-    ranked = ranked.withColumns({"k": F.row_number().over(w.orderBy("h", "id")), "n": F.count("*").over(w)})
+    sizes = ranked.groupBy(F.col("stratum").alias("s")).agg(F.count("*").alias("n"))
+    ranked = numbered(ranked, ["stratum"], [F.col("h"), F.col("id")]).join(sizes, F.col("stratum").eqNullSafe(F.col("s")))
     t, v = F.floor(F.col("n") * train / 100), F.floor(F.col("n") * val / 100)
     return ranked.select("id", "stratum", F.when(F.col("k") <= t, "train").when(F.col("k") <= t + v, "val").otherwise("test").alias("split"))
 

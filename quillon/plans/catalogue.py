@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
-from quillon.operators import audit, engine, lifecycle, matching, metrics, policies, retrieval, sampling
+from quillon.operators import audit, engine, index_store, lifecycle, matching, metrics, policies, retrieval, sampling
 from quillon.session import shared_dir
 from quillon.sources import ontology
-from quillon.streaming import logs
+from quillon.streaming import logs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,17 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.selectExpr("id", "name alias", "true is_name").union(live.selectExpr("id", "substring_index(name, ' ', -1)", "false"))
 
 
+def term_index(spark: SparkSession, sf_dir: str) -> engine.Index:
+    """Built by the first query that asks for it, opened by the others as long as the table's files are the same."""
+
+    def tables() -> tuple[DataFrame, DataFrame, DataFrame]:
+        t = terms(spark, sf_dir).withColumn("definition", F.lit(None).cast("string"))
+        none = spark.createDataFrame([], "id long, kind string, target long")
+        return t, t.select("id", F.substring_index("name", " ", -1).alias("value")), none
+
+    return index_store.opened(spark, f"{shared_dir(spark)}/terms", [f"{sf_dir}/part.parquet"], tables)
+
+
 ALIASES = "select p_partkey as id, p_name as alias, true as is_name from part where p_size <= 45 union all select p_partkey, list_extract(string_split(p_name, ' '), -1), false from part where p_size <= 45"
 WORDS = ["", "blue", "  green small ", "hot", "copper large green", "a"]
 
@@ -173,10 +184,7 @@ def knn_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LEXICAL + "select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from sc) where rank <= 20")
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = terms(spark, sf_dir).withColumn("definition", F.lit(None).cast("string"))
-    none = spark.createDataFrame([], "id long, kind string, target long")
-    index = engine.build(t, t.select("id", F.substring_index("name", " ", -1).alias("value")), none)
-    found = engine.lexical(asked_words(spark, sf_dir).withColumn("query_id", F.col("query")), index).withColumnRenamed("query_id", "query")
+    found = engine.lexical(asked_words(spark, sf_dir).withColumn("query_id", F.col("query")), term_index(spark, sf_dir)).withColumnRenamed("query_id", "query")
     return retrieval.rank_by(found, "query", "score", "id", 20)
 
 
@@ -205,11 +213,11 @@ def rank_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.complete(lexical_rank(spark, sf_dir), corpus, asked_words(spark, sf_dir))
 
 
-@query(LEXICAL + f", r as (select query as case_id, id, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from sc) where rank <= 20), g as (select query as case_id, p_partkey as id from ({ASKED}) q join part on lower(p_name) = lower(trim(query)) where p_size <= 45 and p_partkey % 3 = 0), h as (select case_id, min(rank) as first_rank, count(*) filter (where rank <= 5) as hits from r join g using (case_id, id) group by all), n as (select case_id, count(*) as n_gold from g group by all) select query as case_id, coalesce(n_gold, 0) as n_gold, coalesce(first_rank, 0) as first_rank, round(case when n_gold > 0 then coalesce(hits, 0) / n_gold::double else 0 end, 6) as recall, round(coalesce(1.0::double / first_rank, 0), 6) as mrr from ({ASKED}) b left join n on n.case_id = query left join h on h.case_id = query")
+@query(LEXICAL + f", r as (select query as case_id, id, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from sc) where rank <= 20), g as (select query as case_id, p_partkey as id from ({ASKED}) q join part on lower(p_name) = lower(trim(query)) where p_size <= 45), h as (select case_id, min(rank) as first_rank, count(*) filter (where rank <= 5) as hits from r join g using (case_id, id) group by all), n as (select case_id, count(*) as n_gold from g group by all) select query as case_id, coalesce(n_gold, 0) as n_gold, coalesce(first_rank, 0) as first_rank, round(case when n_gold > 0 then coalesce(hits, 0) / n_gold::double else 0 end, 6) as recall, round(coalesce(1.0::double / first_rank, 0), 6) as mrr from ({ASKED}) b left join n on n.case_id = query left join h on h.case_id = query")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical ranking against a third of the parts whose name is the query."""
+    """The lexical ranking against the parts whose name is the query."""
     asked = asked_words(spark, sf_dir).withColumnRenamed("query", "case_id")
-    named = terms(spark, sf_dir).where("not obsolete and id % 3 = 0").select("id", F.lower("name").alias("q"))
+    named = terms(spark, sf_dir).where("not obsolete").select("id", F.lower("name").alias("q"))
     gold = asked.withColumn("q", F.lower(F.trim("case_id"))).join(named, "q").select("case_id", "id")
     return retrieval.retrieval_metrics(lexical_rank(spark, sf_dir).withColumnRenamed("query", "case_id"), gold, asked).fillna(0, ["first_rank"])
 
@@ -327,6 +335,29 @@ def box_ap50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ap50(matching.box_matches(det, gt), gt)
 
 
+DETECTOR = BOXES + """, n as (select cls, count(*) as n from gt group by all), th as (select round(0.7 + 0.02 * i, 2)::double as threshold from range(12) t(i)), dm as (select c::int as cls, threshold from range(3) d(c), th),
+ gk as (select threshold, cls, count(*) filter (where hit) as tp, count(*) as k from h join th on conf >= threshold group by all),
+ pc as (select dm.threshold, coalesce(tp, 0) as tp, coalesce(k, 0) as k, coalesce(n, 0) as n from dm left join gk using (threshold, cls) left join n using (cls)),
+ ds as (select threshold, round(avg(case when k + n > 0 then 2 * tp / (k + n)::double else 0 end), 6) as macro_f1, round(min(case when n > 0 then tp / n::double else 0 end), 6) as min_recall, round(avg(case when n > 0 then tp / n::double else 0 end), 6) as mean_recall, round(sum(tp) / sum(n)::double, 6) as recall from pc group by all)
+"""
+
+
+def _detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    det, gt = boxes(spark, sf_dir)
+    thresholds = spark.range(12).select(F.round(F.lit(0.7) + F.lit(0.02) * F.col("id"), 2).alias("threshold"))
+    return matching.detector_scores(matching.box_matches(det, gt), gt, thresholds)
+
+
+@query(DETECTOR + "select * from ds")
+def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detector(spark, sf_dir)
+
+
+@query(DETECTOR + "select * from ds order by macro_f1 desc, min_recall desc, mean_recall desc, threshold limit 1")
+def detector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.chosen_threshold(_detector(spark, sf_dir))
+
+
 GREEDY = PX.replace("with px", "with recursive px", 1) + """, c as (select patch, pred, truth, iou, row_number() over (partition by patch order by iou desc, pred desc, truth desc) as k from ov where iou > 0.3),
  g as (select patch, 0::bigint as k, []::bigint[] as ps, []::bigint[] as ts, null::bigint as pred, null::bigint as truth, null::double as iou, false as ok from (select distinct patch from c)
   union all select c.patch, c.k, case when not list_contains(ps, c.pred) and not list_contains(ts, c.truth) then list_append(ps, c.pred) else ps end, case when not list_contains(ps, c.pred) and not list_contains(ts, c.truth) then list_append(ts, c.truth) else ts end, c.pred, c.truth, c.iou, not list_contains(ps, c.pred) and not list_contains(ts, c.truth) from g join c on c.patch = g.patch and c.k = g.k + 1)
@@ -394,7 +425,7 @@ def latency_nearest_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with r as (select event_type, value, row_number() over (partition by event_type order by value, event_id) as k, count(*) over (partition by event_type) as n from events) select event_type, max(value) filter (where k = greatest(1, floor(0.95 * n))) as p_floor, max(value) filter (where k = n // 2 + 1) as p50_upper, median(value) as median from r group by all")
 def latency_floor_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.percentile_floor(table(spark, sf_dir, "events"), "value", "event_type", "event_id", 0.95)
+    return metrics.percentile_floor(table(spark, sf_dir, "events"), "value", "event_type", 0.95)
 
 
 @query("with c as (select o_orderstatus, count(*) as n_c from orders group by all) select o_orderstatus, n_c, round((select sum(n_c) from c) / ((select count(*) from c) * n_c)::double, 6) as weight from c")
@@ -417,6 +448,22 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.current(spark, f"{folder}/state")
 
 
+ENDS = ["purchase", "error"]
+#: A time without a zone as microseconds, whatever the session's zone.
+MICROS = "timestampdiff(microsecond, timestamp_ntz'1970-01-01 00:00:00', ts)"
+
+
+@query("select user_id as job, coalesce(arg_min(event_type, (ts, event_id)) filter (where event_type in ('purchase', 'error')), arg_max(event_type, (ts, event_id))) as status, coalesce(arg_min(event_id, (ts, event_id)) filter (where event_type in ('purchase', 'error')), arg_max(event_id, (ts, event_id))) as seq, bool_or(event_type in ('purchase', 'error')) as ended, count(*) as n_records, 0::bigint as replays from events group by all")
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one stream of jobs, an event type as a job's status."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = logs.read(spark, f"{sf_dir}/events.parquet*", schema).selectExpr("user_id job", f"timestamp_micros({MICROS}) at", "event_id seq", "event_type status")
+    folder = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    with state.stateful(spark):
+        logs.drain(state.jobs(stream, ENDS, keep="60 days", late="60 days"), f"{folder}/state", f"{folder}/checkpoint")
+    return logs.current(spark, f"{folder}/state", "job")
+
+
 @query("with b as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) select event_id, user_id, event_type as action from b where p is null or p <> event_type")
 def idempotent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.without_replays(log(spark, sf_dir), "user_id", ["ts", "event_id"], ["action"]).select("event_id", "user_id", "action")

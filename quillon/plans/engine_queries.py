@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import engine, evaluation, lifecycle, matching, metrics, packets, policies, retrieval
-from quillon.plans.catalogue import EDGES, PX, found, hierarchy, log, pixels, query, scores, table
+from quillon.operators import audit, engine, evaluation, index_store, lifecycle, matching, metrics, packets, policies, retrieval, shapes, texture
+from quillon.plans.catalogue import EDGES, PX, SWEEP, found, hierarchy, log, pixels, query, scores, table
+from quillon.session import shared_dir
 from quillon.sources import sinks
 
-# ---- the engine's corpus: parts with the vector of the same number; every 20th is a query -----------------------------
+# ---- the engine's corpus: all parts, each with the vector of its number modulo their count; every 20th is a query -------
 GO = "printf('GO:%07d', {})"
-CORPUS = f"""c as (select p_partkey as n, {GO.format("p_partkey")} as id, p_name as name, p_size > 45 as obsolete, p_type as definition, embedding::double[] as v from part join embeddings on vec_id = p_partkey),
+CORPUS = f"""c as (select p_partkey as n, {GO.format("p_partkey")} as id, p_name as name, p_size > 45 as obsolete, p_type as definition, embedding::double[] as v from part join embeddings on vec_id = p_partkey % (select count(*) from embeddings)),
  cur as (select * from c where not obsolete),
  al as (select id, lower(name) as a, true as is_name from cur union select id, lower(list_extract(string_split(name, ' '), -1)), false from cur),
  red as (select * from (select {GO.format("n + 1000000")} as id, 'alternate' as kind, 1 as p, id as target from c where n % 10 = 0 union all select id, 'obsolete_replaced_by', 2, {GO.format("n + 1")} from c where obsolete and n % 3 = 0
@@ -35,20 +38,32 @@ def _id(n) -> F.Column:
     return F.format_string("GO:%07d", n)
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> engine.Index:
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
-    c = part.join(vectors.withColumnRenamed("vec_id", "p_partkey"), "p_partkey").select(F.col("p_partkey").alias("n"), _id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 45).alias("obsolete"), F.col("p_type").alias("definition"), F.col("embedding").alias("v"))
+    numbered = part.withColumn("vec_id", F.col("p_partkey") % F.lit(vectors.count()))
+    columns = [F.col("p_partkey").alias("n"), _id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 45).alias("obsolete"), F.col("p_type").alias("definition"), F.col("embedding").alias("v")]
+    return numbered.join(vectors, "vec_id").select(*columns)
+
+
+def _corpus_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Terms, synonyms, redirects and vectors."""
+    c = _corpus(spark, sf_dir)
     red = c.where("n % 10 = 0").select(_id(F.col("n") + 1000000).alias("id"), F.lit("alt_id").alias("kind"), F.col("id").alias("target"))
     red = red.union(c.where("obsolete and n % 3 = 0").select("id", F.lit("replaced_by"), _id(F.col("n") + 1)))
     red = red.union(c.where("obsolete and n % 3 = 1").select("id", F.lit("consider"), F.explode(F.array(*(_id(F.col("n") + i) for i in (1, 2, 3))))))
-    return engine.build(c.select("id", "name", "definition", "obsolete"), c.select("id", F.substring_index("name", " ", -1).alias("value")), red, c.select("id", "v"))
+    return c.select("id", "name", "definition", "obsolete"), c.select("id", F.substring_index("name", " ", -1).alias("value")), red, c.select("id", "v")
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> engine.Index:
+    """Built by the first query that asks for it, opened by the others as long as the two tables' files are the same."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("part", "embeddings")]
+    return index_store.opened(spark, f"{shared_dir(spark)}/index", sources, lambda: _corpus_tables(spark, sf_dir))
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
-    n = F.col("p_partkey")
-    text = F.when(n % 60 == 0, F.lower(_id(n))).when(n % 100 == 40, _id(n + 1000000)).when(n % 140 == 20, "GO:9999999").otherwise(F.col("p_name"))
-    return part.where("p_partkey % 20 = 0").join(vectors.withColumnRenamed("vec_id", "p_partkey"), "p_partkey").select(n.alias("query_id"), text.alias("query"), F.col("embedding").cast("array<double>").alias("q"))
+    n = F.col("n")
+    text = F.when(n % 60 == 0, F.lower("id")).when(n % 100 == 40, _id(n + 1000000)).when(n % 140 == 20, "GO:9999999").otherwise(F.col("name"))
+    return _corpus(spark, sf_dir).where("n % 20 = 0").select(n.alias("query_id"), text.alias("query"), F.col("v").cast("array<double>").alias("q"))
 
 
 @query(f"with {CORPUS} select query_id, id, rank from sym where rank <= 10")
@@ -80,12 +95,12 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(i.aliases, "aliases").join(one(i.grams, "postings")).join(one(i.names, "name_words"))
 
 
-@query(f"with {CORPUS}, r as (select * from sym where rank <= 20 and query_id not in (select query_id from ids)), g as (select query_id, cur.id from rq join cur on lower(name) = q where n % 2 = 0), h as (select query_id, min(rank) as first_rank, count(*) filter (where rank <= 5) as hits from r join g using (query_id, id) group by all), n as (select query_id, count(*) as n_gold from g group by all) select query_id as case_id, coalesce(n_gold, 0) as n_gold, first_rank, round(case when n_gold > 0 then coalesce(hits, 0) / n_gold::double else 0 end, 6) as recall_at_5, case when query_id % 40 = 0 then round(coalesce(1.0::double / first_rank, 0), 6) end as mrr, round((coalesce(first_rank, 0) = 1 and n_gold = 1)::int::double, 6) as exact_id_accuracy from rq left join n using (query_id) left join h using (query_id)")
+@query(f"with {CORPUS}, r as (select * from sym where rank <= 20 and query_id not in (select query_id from ids)), g as (select query_id, cur.id from rq join cur on lower(name) = q), h as (select query_id, min(rank) as first_rank, count(*) filter (where rank <= 5) as hits from r join g using (query_id, id) group by all), n as (select query_id, count(*) as n_gold from g group by all) select query_id as case_id, coalesce(n_gold, 0) as n_gold, first_rank, round(case when n_gold > 0 then coalesce(hits, 0) / n_gold::double else 0 end, 6) as recall_at_5, case when query_id % 40 = 0 then round(coalesce(1.0::double / first_rank, 0), 6) end as mrr, round((coalesce(first_rank, 0) = 1 and n_gold = 1)::int::double, 6) as exact_id_accuracy from rq left join n using (query_id) left join h using (query_id)")
 def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = corpus_index(spark, sf_dir)
     asked = corpus_queries(spark, sf_dir).where(~F.upper(F.trim("query")).rlike("^GO:[0-9]{7}$"))
     ranked = engine.symbolic(asked, index, 20).withColumnRenamed("query_id", "case_id")
-    named = index.terms.where("not obsolete and cast(substring(id, 4) as int) % 2 = 0").select("id", F.lower("name").alias("name"))
+    named = index.terms.where("not obsolete").select("id", F.lower("name").alias("name"))
     gold = asked.select(F.col("query_id").alias("case_id"), F.lower(F.trim("query")).alias("name")).join(named, "name").select("case_id", "id")
     eligible = F.when(F.col("query_id") % 40 == 0, F.array(*map(F.lit, evaluation.METRICS))).otherwise(F.array(F.lit("recall_at_5"), F.lit("exact_id_accuracy")))
     return evaluation.case_metrics(ranked, gold, asked.select(F.col("query_id").alias("case_id"), eligible.alias("eligible_metrics")))
@@ -103,10 +118,10 @@ def ranking_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ranking_digest(ranked.withColumnRenamed("query_id", "case_id"))
 
 
-@query(f"with {CORPUS}, z as (select (select count(*) from cur) as size), t as (select query_id, count(*) as n, count(distinct id) as d, count(distinct id) filter (where id in (select id from cur)) as k from sym where rank <= 50 group by all) select query_id as case_id, n, n - d as repeated, d - k as \"foreign\", size - k as missing from t, z")
+@query(f"with {CORPUS}, z as (select (select count(*) from cur) as size), t as (select query_id, count(*) as n, count(distinct id) as d, count(distinct id) filter (where id in (select id from cur)) as k from sym group by all) select query_id as case_id, n, n - d as repeated, d - k as \"foreign\", size - k as missing from t, z")
 def ranking_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = corpus_index(spark, sf_dir)
-    ranked = engine.symbolic(corpus_queries(spark, sf_dir), index, 50)
+    ranked = engine.symbolic(corpus_queries(spark, sf_dir), index, None)
     return evaluation.permutation_problems(ranked.withColumnRenamed("query_id", "case_id"), index.current)
 
 
@@ -224,13 +239,13 @@ def separate_bests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.separate_bests(e, {"f1": "f1", "least": "least(f1, dead_f1)", "n": "n"}, "entry")
 
 
-MASK = "mk as (select distinct l_orderkey % 97 as patch, (l_partkey % 24)::int as y, (l_suppkey % 24)::int as x, (l_linenumber % 3)::int as cls, l_partkey % 5 + 1 as raw_id from lineitem where l_quantity > 20), bg as (select distinct l_orderkey % 97 as patch, (l_partkey % 24)::int as y, (l_suppkey % 24)::int as x from lineitem where l_quantity <= 8)"
+MASK = "mk as (select distinct l_orderkey % 97 as patch, (l_partkey % 24)::int as y, (l_suppkey % 24)::int as x, (l_linenumber % 3)::int as cls, l_partkey % 5 + 1 as raw_id from lineitem where l_quantity > 8), bg as (select distinct l_orderkey % 97 as patch, (l_partkey % 24)::int as y, (l_suppkey % 24)::int as x from lineitem where l_quantity <= 8)"
 
 
 def masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem")
     place = ["l_orderkey % 97 patch", "cast(l_partkey % 24 as int) y", "cast(l_suppkey % 24 as int) x"]
-    return lines.where("l_quantity > 20").selectExpr(*place, "cast(l_linenumber % 3 as int) cls", "l_partkey % 5 + 1 raw_id").distinct(), lines.where("l_quantity <= 8").selectExpr(*place).distinct()
+    return lines.where("l_quantity > 8").selectExpr(*place, "cast(l_linenumber % 3 as int) cls", "l_partkey % 5 + 1 raw_id").distinct(), lines.where("l_quantity <= 8").selectExpr(*place).distinct()
 
 
 @query(f"with {MASK}, t as (select cls, count(distinct (patch, raw_id)) as instances, count(*) as pixels, count(distinct patch) as patches from mk group by all) select c::int as cls, coalesce(instances, 0) as instances, coalesce(pixels, 0) as pixels, coalesce(patches, 0) as patches from range(0, 5) d(c) left join t on cls = c")
@@ -359,9 +374,9 @@ def contiguous_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.contiguous_batches(b, "batch", "i")
 
 
-@query("select o_orderkey, concat('E', row_number() over (order by o_orderdate, o_orderkey)) as label from orders where o_orderstatus = 'F'")
+@query("select o_orderkey, concat('E', row_number() over (order by o_orderdate, o_orderkey)) as label from orders")
 def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return evaluation.renumbered(rows, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "label")
 
 
@@ -456,13 +471,31 @@ def suite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.suite(case_scores(spark, sf_dir))
 
 
-@query(f"""with {PACKET}, l as (select case_id, claim_id, string_agg(label, ', ' order by p) as labels from (select case_id, claim_id, unnest(finding_ids) as finding_id, unnest(range(len(finding_ids))) as p from cl) join fi using (case_id, finding_id) group by all),
- e as (select case_id, claim_id, string_agg(concat(evidence_id, ' (', go_id, ')'), ', ' order by p) as cites from (select case_id, claim_id, unnest(evidence_ids) as evidence_id, unnest(range(len(evidence_ids))) as p from cl) join cx using (case_id, evidence_id) group by all),
- b as (select case_id, string_agg(concat('- [', claim_id, '] ', text, chr(10), '  findings: ', coalesce(labels, ''), '; evidence: ', coalesce(cites, '')), chr(10) order by seq) as body from cl left join l using (case_id, claim_id) left join e using (case_id, claim_id) group by all)
- select case_id, sha256(concat('Case ', case_id, chr(10), chr(10), case when abstained then concat('ABSTAINED: no supported finding.', chr(10), 'Reason: ', coalesce(abstention_reason, 'null')) else coalesce(body, '') end, chr(10))) as note_sha256 from rs left join b using (case_id)""")
+@query(CASE_SCORES + ", r as (select concat('run', case_id % 5) as run, case_id // 10 as case_id, valid, 1 - len(missing_labels) / 2.0::double as fr, 1 - len(missing_go) / 1.0::double as gr, len(forbidden_found) as forbidden, told as output from sr), c as (select run, case_id, count(*) as n, count(*) filter (where valid) as ok, count(distinct output) filter (where valid) as outputs, sum(fr) filter (where valid) as fr, sum(gr) filter (where valid) as gr, sum(forbidden) as forbidden from r group by all) select run, round(sum(ok) / sum(n)::double, 6) as valid_rate, round(avg(case when n >= 2 and outputs = 1 then 1 else 0 end), 6) as repeatability, round(case when sum(ok) > 0 then coalesce(sum(fr), 0) / sum(ok) else 0 end, 6) as finding_recall, round(case when sum(ok) > 0 then coalesce(sum(gr), 0) / sum(ok) else 0 end, 6) as go_recall, sum(forbidden)::bigint as forbidden from c group by all")
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases as repeats of runs: every tenth case of a run's turn is the same case again."""
+    claims = packet_tables(spark, sf_dir)[2]
+    told = claims.groupBy("case_id").agg(F.expr("lower(listagg(text, ' ') within group (order by seq))").alias("output"))
+    scored = case_scores(spark, sf_dir).join(told, "case_id", "left")
+    runs = scored.select(F.concat(F.lit("run"), F.col("case_id") % 5).alias("run"), F.expr("case_id div 10").alias("case_id"), F.when(F.col("valid"), "ok").otherwise("failed").alias("status"), F.coalesce("output", F.lit("")).alias("output"), "finding_recall", "go_recall", F.size("forbidden_found").alias("forbidden"))
+    return lifecycle.run_aggregate(runs, 2, ["finding_recall", "go_recall"], "forbidden")
+
+
+@query(f"""with {PACKET},
+ l as (select case_id, seq, string_agg(label, ', ' order by p) as labels from (select case_id, seq, unnest(finding_ids) as finding_id, unnest(range(len(finding_ids))) as p from cl)
+  join (select case_id, finding_id, max(label) as label from fi group by all) using (case_id, finding_id) group by all),
+ e as (select case_id, seq, string_agg(concat(evidence_id, ' (', go_id, ')'), ', ' order by p) as cites from (select case_id, seq, unnest(evidence_ids) as evidence_id, unnest(range(len(evidence_ids))) as p from cl)
+  join (select case_id, evidence_id, max(go_id) as go_id from cx group by all) using (case_id, evidence_id) group by all),
+ b as (select case_id, string_agg(concat('- [', claim_id, '] ', text, chr(10), '  findings: ', coalesce(labels, ''), '; evidence: ', coalesce(cites, '')), chr(10) order by seq) as body from cl left join l using (case_id, seq) left join e using (case_id, seq) group by all),
+ li as (select conv_id as case_id, concat(chr(10), 'Limitations: ', case when count(*) < 4 then 'short case; ' else '' end, count(*), ' turns') as limits from conversations group by all having count(*) % 3 > 0)
+ select case_id, sha256(concat(concat_ws(chr(10), concat('Case ', case_id, ' \u2014 synthesis review note', chr(10)),
+  case when abstained then concat('ABSTAINED: no supported finding to report.', chr(10), 'Reason: ', coalesce(abstention_reason, 'null')) else body end, limits, chr(10) || '{packets.ASSIST_WARNING}'), chr(10))) as note_sha256
+ from rs left join b using (case_id) left join li using (case_id)""")
 def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, context, claims, responses = packet_tables(spark, sf_dir)
-    return packets.notes(responses, claims, findings, context).select("case_id", F.sha2("note", 256).alias("note_sha256"))
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.count("*").alias("n")).where("n % 3 > 0")
+    limits = turns.selectExpr("case_id", "array_compact(array(case when n < 4 then 'short case' end, concat(n, ' turns'))) limitations")
+    return packets.notes(responses, claims, findings, context, limits).select("case_id", F.sha2("note", 256).alias("note_sha256"))
 
 
 @query(f"with {PACKET}, t as (select distinct turn, printf('GO:%07d', turn) as go_id, 'user' as t_name, turn % 5 = 0 as obsolete from conversations) select case_id, evidence_id, case when obsolete is null then 'unknown' when obsolete then 'obsolete' else 'name' end as problem from cx left join t using (go_id) where obsolete is null or obsolete or name <> t_name")
@@ -520,7 +553,7 @@ def detection_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.detection_problems(orders.where(k % 23 != 0).withColumn("boxes", F.array(box)), orders)
 
 
-@query("with t as (select threshold, f1, recall from (" + "select unnest([1.0]) as threshold, 0.0 as f1, 0.0 as recall" + ") where false) select threshold, f1, recall from t")
+@query(SWEEP + "select threshold, f1, recall from w where recall >= 1.01 order by f1 desc, threshold limit 1")
 def sensitive_threshold_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No threshold reaches a recall of more than 1: no row."""
     return evaluation.sensitive_threshold(metrics.sweep(scores(spark, sf_dir), metrics.threshold_grid(spark)), 1.01)
@@ -533,6 +566,119 @@ def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("var_y", "var_x")})
 
 
+SHAPES = f"""with {MASK}, u as (select distinct patch, raw_id, y, x from mk),
+ q4 as (select u.patch, u.raw_id, u.y, u.x, count(v.patch) as n from u left join u v on v.patch = u.patch and v.raw_id = u.raw_id and abs(v.y - u.y) + abs(v.x - u.x) = 1 group by all),
+ bd as (select patch, raw_id, y, x from q4 where n < 4),
+ cd as (select a.patch, a.raw_id, a.y, a.x, 1 + sum(case abs(b.y - a.y) + abs(b.x - a.x) when 1 then 2 when 2 then 10 else 0 end) as code from bd a join bd b on b.patch = a.patch and b.raw_id = a.raw_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 group by all),
+ pr as (select patch, raw_id, count(*) filter (where code in (5, 7, 15, 17, 25, 27)) + count(*) filter (where code in (21, 33)) * sqrt(2) + count(*) filter (where code in (13, 23)) * (1 + sqrt(2)) / 2 as per from cd group by all),
+ mo as (select patch, raw_id, count(*)::double as a, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, (count(*) * sum(y * y) - sum(y) * sum(y)) / (count(*) * count(*))::double as yy, (count(*) * sum(x * x) - sum(x) * sum(x)) / (count(*) * count(*))::double as xx, (count(*) * sum(y * x) - sum(y) * sum(x)) / (count(*) * count(*))::double as yx from u group by all),
+ ax as (select *, (yy + xx) / 2 + sqrt(pow((yy - xx) / 2, 2) + yx * yx) as l1, greatest((yy + xx) / 2 - sqrt(pow((yy - xx) / 2, 2) + yx * yx), 0) as l2 from mo),
+ rp as (select patch, raw_id, y, min(x) as lo, max(x) as hi from u group by all),
+ pt as (select patch, raw_id, yy, max(r) as r, max(l) as l from (select patch, raw_id, 2 * y as yy, 2 * hi + 1 as r, 1 - 2 * lo as l from rp union all select patch, raw_id, 2 * y + d, 2 * hi, -2 * lo from rp, (select unnest([-1, 1]) as d)) group by all),
+ ro as (select patch, raw_id, unnest(range(top, bottom + 1)) as y from (select patch, raw_id, min(y) as top, max(y) as bottom from rp group by all)),
+ en as (select ro.patch, ro.raw_id, ro.y, max(case when a.yy = b.yy then a.r else a.r + (b.r - a.r) * (2 * ro.y - a.yy) / (b.yy - a.yy)::double end) as r, max(case when a.yy = b.yy then a.l else a.l + (b.l - a.l) * (2 * ro.y - a.yy) / (b.yy - a.yy)::double end) as l
+  from ro join pt a on a.patch = ro.patch and a.raw_id = ro.raw_id and a.yy <= 2 * ro.y join pt b on b.patch = ro.patch and b.raw_id = ro.raw_id and b.yy >= 2 * ro.y group by all),
+ hu as (select patch, raw_id, sum(floor(r / 2 + 1e-9) + floor(l / 2 + 1e-9) + 1) as hull from en group by all)
+ select patch, raw_id, round(per / sqrt(a), 6) as compactness, round(4 * pi() * a / greatest(per * per, 1), 6) as circularity, round(ln(h / w::double), 6) as log_aspect, round(a / (h * w), 6) as extent,
+  round(case when l1 > 0 then sqrt(greatest(1 - l2 / l1, 0)) else 0 end, 6) as eccentricity, round(a / hull, 6) as solidity, round(4 * sqrt(l1) / 256, 6) as major, round(4 * sqrt(l2) / 256, 6) as minor
+ from ax join pr using (patch, raw_id) join hu using (patch, raw_id)"""
+
+
+@query(SHAPES)
+def shape_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shapes.features(masks(spark, sf_dir)[0], ["patch", "raw_id"])
+    return found.select("patch", "raw_id", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
+@query("with s as (select vec_id, label from embeddings), e as (select vec_id, embedding, case when vec_id % 50 = 7 then label + 1 else label end as label from embeddings where vec_id % 97 <> 5), d as (select unnest(range(64)) as i) select 'wrong width' as problem, count(*) filter (where len(embedding) <> 64) as n from e union all select 'not finite', count(*) filter (where len(list_filter(embedding, lambda x: not isfinite(x))) > 0) from e union all select 'zero', count(*) filter (where len(list_filter(embedding, lambda x: x <> 0)) = 0) from e union all select 'repeated', count(*) - count(distinct embedding) from e union all select 'constant column', count(*) from (select i from e, d group by i having min(embedding[i + 1]) = max(embedding[i + 1])) union all select 'label', count(*) from e join s using (vec_id) where e.label is distinct from s.label union all select 'not in both', (select count(*) from s anti join e using (vec_id)) union all select 'classes', abs((select count(distinct label) from s) - 19)")
+def embedding_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of which some have another label than their source and some are lost."""
+    source = table(spark, sf_dir, "embeddings")
+    held = source.where("vec_id % 97 <> 5").withColumn("label", F.when(F.col("vec_id") % 50 == 7, F.col("label") + 1).otherwise(F.col("label")))
+    return audit.embedding_problems(held, "embedding", 64, source, "vec_id", "label", 19)
+
+
+@query("select o_orderkey, case when o_orderkey % 89 = 3 then 'missing' when o_orderkey % 97 = 11 then 'changed' end as problem from orders where o_orderkey % 89 = 3 or o_orderkey % 97 = 11 union all select -o_orderkey, 'unexpected' from orders where o_orderkey % 101 = 9")
+def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which some are lost, some changed and some new; only leaves that differ are compared."""
+    want = table(spark, sf_dir, "orders")
+    got = want.where("o_orderkey % 89 <> 3").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 11, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    got = got.unionByName(want.where("o_orderkey % 101 = 9").withColumn("o_orderkey", -F.col("o_orderkey")))
+    return audit.row_differences(got, want, ["o_orderkey"])
+
+
+BENCH = f"""with {CORPUS}, bs as (select query_id as case_id, case when n_type = 0 then 'canonical_id' when n_type = 1 then 'alternate_id' when n_type = 2 then 'rare' else 'ambiguous' end as case_type,
+  case when n_type = 0 then id when n_type = 1 then {GO.format("n + 1000000")} when n_type = 2 then name else list_extract(string_split(name, ' '), -1) end as query, id as gold, query_id % 140 = 0 as wrong from (select n as query_id, n % 4 as n_type, n, id, name from c where not obsolete)),
+ tg as (select case_id, id from bs join cur on id = query where case_type = 'canonical_id' union all select case_id, target from bs join red on red.id = query where case_type = 'alternate_id' and kind = 'alternate' union all select distinct case_id, al.id from bs join al on a = lower(query) where case_type = 'rare' union all select distinct case_id, al.id from bs join al on a = lower(query) where case_type = 'ambiguous' and not is_name),
+ gd as (select case_id, gold as id from bs), un as (select distinct case_id from ((select * from gd except select * from tg) union all (select * from tg except select * from gd))),
+ ac as (select id, count(*) as k from al group by all), cases as (select * from bs)"""
+
+
+@query(BENCH + " select case_id, 'gold' as rule from un union all select case_id, 'ambiguous has several targets' from cases where case_type = 'ambiguous' union all select case_id, 'rare has few aliases' from cases join ac on id = gold where case_type = 'rare' and k > 1")
+def benchmark_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each current part, of four types by turns, whose only gold is the part itself."""
+    terms, synonyms, redirects, _ = _corpus_tables(spark, sf_dir)
+    live = _corpus(spark, sf_dir).where("not obsolete")
+    turn = F.col("n") % 4
+    query_ = F.when(turn == 0, F.col("id")).when(turn == 1, _id(F.col("n") + 1000000)).when(turn == 2, F.col("name")).otherwise(F.substring_index("name", " ", -1))
+    kind = F.when(turn == 0, "canonical_id").when(turn == 1, "alternate_id").when(turn == 2, "rare").otherwise("ambiguous")
+    null = F.lit(None).cast("string")
+    cases = live.select(F.col("n").alias("case_id"), kind.alias("case_type"), query_.alias("query"), null.alias("kind"), F.lit("EXACT").alias("scope"), null.alias("direction"), F.lit(0).alias("depth"), F.array("id").alias("gold_ids"), F.lit(1).alias("alias_max"), F.array(F.lit("mrr")).alias("eligible_metrics"))
+    aliases = live.select("name", "id", null).union(synonyms.join(live.select("id"), "id").select("value", "id", F.lit("EXACT"))).toDF("alias", "id", "scope").select(F.lower("alias").alias("alias"), "id", "scope").distinct()
+    edges = spark.createDataFrame([], "parent string, child string, relation string")
+    present = redirects.join(terms.select(F.col("id").alias("target")), "target", "left_semi").select("id", "kind", "target")
+    return evaluation.benchmark_problems(cases, terms, present, aliases, edges)
+
+
+# ---- texture: images of 24 x 24 pixels, coloured by sums of lines ---------------------------------------------------------
+SIDE = 24
+CELLS = "select l_orderkey % 97 as image, (l_partkey % 24)::int as y, (l_suppkey % 24)::int as x, sum(l_linenumber * 37 + l_suppkey)::bigint % 256 as r, sum(l_partkey * 11 + l_linenumber)::bigint % 256 as g, count(*) * 53 % 256 as b from lineitem group by all"
+
+
+def _pattern_sql() -> str:
+    """The eight bits of a pattern from the nine cells around a pixel, in the arithmetic of texture.local."""
+    bits = []
+    for dy, dx in texture.CIRCLE:
+        (y0, y1, fy), (x0, x1, fx) = ((math.floor(d), math.ceil(d), d - math.floor(d)) for d in (dy, dx))
+        w = lambda y, x: f"w[{(y + 1) * 3 + x + 2}]"
+        row = lambda y: f"({1 - fx!r}::double * {w(y, x0)} + {fx!r}::double * {w(y, x1)})"  # noqa: B023, E731
+        bits.append(f"({1 - fy!r}::double * {row(y0)} + {fy!r}::double * {row(y1)} - w[5] >= 0)::int")
+    return f"[{', '.join(bits)}]"
+
+
+TEXTURE = SHAPES[: SHAPES.index(" pr as (")] + f""" ce as ({CELLS}), im as (select t.i as image, y.i as y, x.i as x, coalesce(r, 0) / 255.0::double as r, coalesce(g, 0) / 255.0::double as g, coalesce(b, 0) / 255.0::double as b from range(97) t(i), range({SIDE}) y(i), range({SIDE}) x(i) left join ce on ce.image = t.i and ce.y = y.i and ce.x = x.i),
+ gr as (select *, (r + g + b) / 3 as gray from im),
+ pe as (select image, q.i as y, p.i as x, gray as e, case when q.i between 0 and {SIDE - 1} and p.i between 0 and {SIDE - 1} then round(gray * 255) else 0 end as w from range(-1, {SIDE + 1}) q(i), range(-1, {SIDE + 1}) p(i), gr where gr.y = least(greatest(q.i, 0), {SIDE - 1}) and gr.x = least(greatest(p.i, 0), {SIDE - 1})),
+ nn as (select a.image, a.y, a.x, list(e order by b.y, b.x) as e, list(w order by b.y, b.x) as w from gr a join pe b on b.image = a.image and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 group by all),
+ lc as (select image, y, x, (0.25 * (e[1] - e[7]) + 0.5 * (e[2] - e[8])) + 0.25 * (e[3] - e[9]) as d, (0.25 * (e[1] - e[3]) + 0.5 * (e[4] - e[6])) + 0.25 * (e[7] - e[9]) as a, {_pattern_sql()} as bits from nn),
+ se as (select gr.*, sqrt((d * d + a * a) / 2) as gradient, case when list_sum(list_transform(range(1, 8), lambda i: (bits[i] <> bits[i + 1])::int)) <= 2 then list_sum(bits) else 9 end as pattern from gr join lc using (image, y, x)),
+ ow as (select u.raw_id, se.* from u join se on se.image = u.patch and se.y = u.y and se.x = u.x),
+ inn as (select image, raw_id, {', '.join(f'quantile_cont({c}, 0.{q}) as {c}_p{q}0' for c in ('r', 'g', 'b', 'gray') for q in (1, 5, 9))}, quantile_cont(gray, 0.75) - quantile_cont(gray, 0.25) as gray_iqr, quantile_cont(gradient, 0.9) as gradient_p90, avg(gradient) as gradient_mean, stddev_pop(gradient) as gradient_std,
+  {', '.join(f'count(*) filter (where pattern = {i}) / count(*)::double as pattern_{i}' for i in range(10))}, avg(r) as mr, avg(g) as mg, avg(b) as mb, avg(gray) as mgray, stddev_pop(gray) as sd from ow group by all),
+ rg as (select distinct patch as image, raw_id, y + dy.i as y, x + dx.i as x from bd, range(-5, 6) dy(i), range(-5, 6) dx(i) where dy.i * dy.i + dx.i * dx.i between 1 and 25),
+ rn as (select rg.* from rg anti join (select patch as image, raw_id, y, x from u) o using (image, raw_id, y, x)),
+ rs as (select rn.image, rn.raw_id, count(*) as al, count(se.image) as seen, avg(r) as o_r, avg(g) as o_g, avg(b) as o_b, avg(gray) as o_gray, stddev_pop(gray) as o_sd, avg(gradient) as o_gd from rn left join se using (image, y, x) group by all)
+ select image, raw_id, {', '.join(f'round({c}, 6) as {c}' for c in [*(f'{c}_p{q}0' for c in ('r', 'g', 'b', 'gray') for q in (1, 5, 9)), 'gray_iqr', 'gradient_p90', 'gradient_mean', 'gradient_std', *(f'pattern_{i}' for i in range(10))])},
+  {', '.join(f'round(coalesce(o_{c} - m{c}, 0), 6) as ring_{c}' for c in ('r', 'g', 'b', 'gray'))}, round(coalesce(o_sd - sd, 0), 6) as ring_std, round(coalesce(o_gd - gradient_mean, 0), 6) as ring_gradient, round(least(coalesce(seen, 0) / greatest(coalesce(al, 0), 1)::double, 1), 6) as ring_share
+ from inn left join rs using (image, raw_id)"""
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pixels of 97 images; where no line falls a pixel is black."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 97 image", "l_partkey % 24 y", "l_suppkey % 24 x", "l_linenumber * 37 + l_suppkey r", "l_partkey * 11 + l_linenumber g")
+    cells = lines.groupBy("image", "y", "x").agg(*(F.sum(c).cast("long") % 256 for c in "rg"), F.count("*") * 53 % 256).toDF("image", "y", "x", *"rgb")
+    whole = spark.range(97 * SIDE * SIDE).selectExpr(f"id div {SIDE * SIDE} image", f"id div {SIDE} % {SIDE} y", f"id % {SIDE} x")
+    return whole.join(cells, ["image", "y", "x"], "left").select("image", "y", "x", *((F.coalesce(c, F.lit(0)) / F.lit(255.0)).alias(c) for c in "rgb"))
+
+
+@query(TEXTURE)
+def texture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = masks(spark, sf_dir)[0].selectExpr("patch image", "raw_id", "y", "x")
+    size = spark.range(97).selectExpr("id image", f"{SIDE} height", f"{SIDE} width")
+    found = texture.features(px, ["image", "raw_id"], coloured(spark, sf_dir), size, tile=16)
+    return found.select("image", "raw_id", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
 @query(PX + ", f as (select patch, pred, count(*) as pixels from px where pred > 0 group by all) select patch, pred, truth, round(iou, 6) as iou, truth % 5 + 1 as cls, pixels from m join f using (patch, pred)")
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
@@ -553,7 +699,7 @@ def reusable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reusable_jobs(wanted, state, ["k"], ["view", "click"])
 
 
-@query("select null::varchar as run, 'no_candidate' as status")
+@query("with c as (select concat('run', user_id % 4) as run, avg(value) as v from events group by all), b as (select run from c where v < 0 order by v desc, run limit 1) select b.run, case when b.run is null then 'no_candidate' else 'selected' end as status from (select 1) one left join b on true")
 def no_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), "value").groupBy("run").agg(F.avg("value").alias("v"))
-    return lifecycle.winner_or_status(runs.withColumn("vetoed", F.lit(True)), "vetoed", ["v"], "run")
+    return lifecycle.winner_or_status(runs.withColumn("vetoed", F.col("v") >= 0), "vetoed", ["v"], "run")

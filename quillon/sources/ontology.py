@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import quoted
+from quillon.sources import images
 
 SCOPES = ("EXACT", "RELATED", "NARROW", "BROAD")
 
@@ -120,13 +121,21 @@ def sidecars(lines: DataFrame) -> DataFrame:
 MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "tiff": "49492A00", "tiff_be": "4D4D002A", "bmp": "424D"}
 
 
-def image_stills(files: DataFrame, registry: DataFrame | None = None, most: int = 64 << 20) -> DataFrame:
-    """id, kind, path, bytes of new images (S15): recognised by their first bytes, not empty and of at most `most` bytes;
+#: The sides and the number of pixels that an image may have.
+SIDES, PIXELS = (64, 4096), 32_000_000
+
+
+def image_stills(files: DataFrame, registry: DataFrame | None = None, most: int = 64 << 20, sides: tuple[int, int] = SIDES, pixels: int = PIXELS) -> DataFrame:
+    """id, kind, path, bytes, width, height of new images (S15): recognised by their first bytes, not empty and of at most
+    `most` bytes, both sides within `sides` and at most `pixels` pixels by their headers (an image that tells no size is out);
     the id is what their digest begins with. Equal files come in once, and not again if the registry (id) has them.
     files (path, length, content)."""
     kind = F.coalesce(*(F.when(F.startswith(F.hex(F.substring("content", 1, 8)), F.lit(m)), F.lit(k.partition("_")[0])) for k, m in MAGIC.items()))
-    rows = files.where(F.col("length").between(1, most)).select(F.substring(F.sha2("content", 256), 1, 12).alias("id"), kind.alias("kind"), "path", F.col("length").alias("bytes"))
-    rows = rows.where("kind is not null").groupBy("id").agg(F.min(F.struct("path", "kind", "bytes")).alias("f")).select("id", "f.kind", "f.path", "f.bytes")
+    known = files.where(F.col("length").between(1, most)).withColumn("kind", kind).where("kind is not null")
+    rows = known.select(F.substring(F.sha2("content", 256), 1, 12).alias("id"), "kind", "path", F.col("length").alias("bytes"), images.size(F.col("content")).alias("size"))
+    rows = rows.select("id", "kind", "path", "bytes", "size.width", "size.height")
+    rows = rows.where(F.col("width").between(*sides) & F.col("height").between(*sides) & (F.col("width") * F.col("height") <= pixels))
+    rows = rows.groupBy("id").agg(F.min(F.struct("path", "kind", "bytes", "width", "height")).alias("f")).select("id", "f.kind", "f.path", "f.bytes", "f.width", "f.height")
     return rows if registry is None else rows.join(registry.select("id"), "id", "left_anti")
 
 

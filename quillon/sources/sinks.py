@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import files
+
 
 def publish(df: DataFrame, path: str, shard: int | None = None, key: str | None = None) -> None:
     """Writes once and never over anything (K1-K7); with a shard size, partitions by key div shard (K5)."""
@@ -60,16 +62,26 @@ def publish_batches(batches: DataFrame, source: DataFrame, width: int, path: str
         raise ValueError(f"not published: {bad}")
     spark = batches.sparkSession
     publish(batches, f"{path}/rows")
-    publish(manifest(spark, {"rows": spark.read.parquet(f"{path}/rows")}), f"{path}/manifest")
+    _seal(spark, path, spark.read.parquet(f"{path}/rows"))
+
+
+def _seal(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """The manifest of the rows, and last the names and sizes of their files."""
+    publish(manifest(spark, {"rows": rows}), f"{path}/manifest")
+    files.write_once(spark, f"{path}/files.json", {"rows": [list(f[:2]) for f in files.listing(spark, f"{path}/rows")]})
 
 
-def read_published(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:
-    """What publish_batches() or publish_detections() wrote, if it is whole and unchanged."""
+def read_published(spark: SparkSession, path: str, order: list[str] | None = None, deep: bool = False) -> DataFrame:
+    """What publish_batches() or publish_detections() wrote, if it is whole and unchanged (S7, S8, S9, T2, T10): its files
+    have the names and sizes that were written down last, which reads no row; `deep` also compares the rows' digest."""
+    told = f"{path}/files.json"
+    if not files.exists(spark, told) or files.read_json(spark, told)["rows"] != [list(f[:2]) for f in files.listing(spark, f"{path}/rows")]:
+        raise ValueError("the files are not those that were published")
     rows = spark.read.parquet(f"{path}/rows")
-    want = {r["name"]: (r["rows"], r["digest"]) for r in spark.read.parquet(f"{path}/manifest").collect()}
-    now = {r["name"]: (r["rows"], r["digest"]) for r in manifest(spark, {"rows": rows}).collect()}
-    if now != want:
-        raise ValueError("the rows are not those of the manifest")
+    if deep:
+        want = {r["name"]: (r["rows"], r["digest"]) for r in spark.read.parquet(f"{path}/manifest").collect()}
+        if {r["name"]: (r["rows"], r["digest"]) for r in manifest(spark, {"rows": rows}).collect()} != want:
+            raise ValueError("the rows are not those of the manifest")
     return rows if order is None else rows.orderBy(*order)
 
 
@@ -101,7 +113,7 @@ def publish_detections(det: DataFrame, images: DataFrame, path: str) -> None:
         raise ValueError(f"not published: {bad}")
     spark = det.sparkSession
     publish(det, f"{path}/rows")
-    publish(manifest(spark, {"rows": spark.read.parquet(f"{path}/rows")}), f"{path}/manifest")
+    _seal(spark, path, spark.read.parquet(f"{path}/rows"))
 
 
 def publish_embeddings(df: DataFrame, key: str, vector: str, content: list[str], path: str, tolerance: float = 2e-5) -> None:

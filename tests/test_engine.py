@@ -1,12 +1,13 @@
 """The engine, policies, packets, publication and evaluation on small tables, with the cases that must fail."""
 
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import engine, evaluation, packets, policies, retrieval
-from quillon.sources import ontology, sinks
+from quillon.sources import images, ontology, sinks
 from quillon.streaming import logs
 
 
@@ -42,7 +43,7 @@ def test_lexical_by_index_and_by_scan(spark, index):
     assert best[6, "GO:0000001"] == 102 and not any(i in (2, 8) for i, _ in best)
 
 
-def test_modes(spark, index, tmp_path):
+def test_modes(spark, index):
     q = spark.createDataFrame(
         [(1, "go:0000011", [0.0] * 3), (2, "GO:0000004", [1.0] * 3), (3, "GO:0000006", [1.0] * 3), (4, "GO:7777777", [1.0] * 3), (5, "growth", [0.0, 9.0, 0.0])], "query_id int, query string, q array<double>"
     )
@@ -58,9 +59,6 @@ def test_modes(spark, index, tmp_path):
         assert rows(short, "query_id", "rank", "id") == rows(full.where("rank <= 2"), "query_id", "rank", "id")
     with pytest.raises(ValueError):
         engine.retrieve(q, index, "other")
-    engine.save(index, f"{tmp_path}/index")
-    again = engine.load(spark, f"{tmp_path}/index")
-    assert rows(engine.hybrid(q, again, 3), "query_id", "rank", "id") == rows(engine.hybrid(q, index, 3), "query_id", "rank", "id")
 
 
 def test_findings_and_lookups(spark, index):
@@ -224,13 +222,21 @@ def test_small_sources(spark, tmp_path):
         ontology.fold_paths("/d", 4)
     digest = "a" * 64
     assert rows(ontology.sidecars(spark.createDataFrame([(f"{digest}  my file",), ("bad",)], "value string"))) == [("my file", digest), (None, None)]
-    png = bytes.fromhex("89504E470D0A1A0A") + b"data"
-    for name, data in (("a.png", png), ("b.png", png), ("c.txt", b"text"), ("d.jpg", bytes.fromhex("FFD8FFE0") + b"x"), ("e.png", b"")):
+    png = lambda w, h: bytes.fromhex("89504E470D0A1A0A") + b"\0\0\0\rIHDR" + struct.pack(">II", w, h)
+    frame = b"\xff\xc2\0\x11\x08" + struct.pack(">HH", 80, 90)
+    jpg = b"\xff\xd8\xff\xe0\0\x04xy\xff" + frame  # a segment, a fill byte, a progressive frame
+    tiff = lambda o, w, h: (b"II*\0" if o == "<" else b"MM\0*") + struct.pack(o + "IH", 8, 2) + struct.pack(o + "HHIHH", 256, 3, 1, w, 0) + struct.pack(o + "HHII", 257, 4, 1, h)
+    bmp = b"BM" + b"\0" * 16 + struct.pack("<ii", 100, -70)
+    assert [images.dimensions(b) for b in (png(64, 65), jpg, tiff("<", 66, 67), tiff(">", 68, 69), bmp, jpg[:9], png(1, 1)[:18], b"", None)] == [(64, 65), (90, 80), (66, 67), (68, 69), (100, 70), None, None, None, None]
+    small, wide, many = png(63, 64), png(4097, 64), png(4096, 4096) + b"more"
+    assert images.dimensions(many) == (4096, 4096) and 8192 * 4000 > ontology.PIXELS >= 4096 * 4096
+    for name, data in (("a.png", png(64, 4096)), ("b.png", png(64, 4096)), ("c.txt", b"text"), ("d.jpg", jpg), ("e.png", b""), ("f.png", small), ("g.png", wide), ("h.jpg", jpg[:12])):
         (tmp_path / name).write_bytes(data)
     files = spark.read.format("binaryFile").load(str(tmp_path))
     first = ontology.image_stills(files)
     assert sorted((r["kind"], r["path"][-5:]) for r in first.collect()) == [("jpeg", "d.jpg"), ("png", "a.png")]
-    assert ontology.image_stills(files, first.where("kind = 'png'")).count() == 1
+    assert {(r["kind"], r["width"], r["height"]) for r in first.collect()} == {("jpeg", 90, 80), ("png", 64, 4096)}
+    assert ontology.image_stills(files, first.where("kind = 'png'")).count() == 1 and ontology.image_stills(files, pixels=8000).count() == 1
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "x.txt").write_text("0 0.5 0.5 0.1 0.1\n\n1 x 0 0 0\n2 3\n")
     assert sorted(r["malformed"] for r in ontology.read_labels(spark, f"{tmp_path}/l").collect()) == [False, True, True]
@@ -302,3 +308,31 @@ def test_hosts(spark):
     urls = ["http://localhost:80/x", "https://[::1]:8/", "http://127.0.0.1", "http://u@example.org/127.0.0.1", "ftp://LOCALHOST", "nothing", None]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
     assert [r[0] for r in df.orderBy("i").select(T.is_loopback("u")).collect()] == [True, True, True, False, True, False, None]
+
+
+def test_notes_of_repeated_claim_ids(spark):
+    claims = [(1, 1, "C1", "first", ["F1"], ["E1"]), (1, 2, "C1", "second", ["F2", "F1"], ["E2"]), (1, 3, "C2", "third", ["F9"], [])]
+    claims = spark.createDataFrame(claims, "case_id int, seq int, claim_id string, text string, finding_ids array<string>, evidence_ids array<string>")
+    findings = spark.createDataFrame([(1, "F1", "dead"), (1, "F2", "blue"), (1, "F2", "azure")], "case_id int, finding_id string, label string")
+    context = spark.createDataFrame([(1, "E1", "GO:1"), (1, "E2", "GO:2")], "case_id int, evidence_id string, go_id string")
+    responses = spark.createDataFrame([(1, False, None), (2, True, "low count"), (3, False, None)], "case_id int, abstained boolean, abstention_reason string")
+    limits = spark.createDataFrame([(1, ["one", "two"]), (2, [])], "case_id int, limitations array<string>")
+    got = {r["case_id"]: r["note"] for r in packets.notes(responses, claims, findings, context, limits, "Warning.").collect()}
+    assert got[1] == (
+        "Case 1 \u2014 synthesis review note\n\n- [C1] first\n  findings: dead; evidence: E1 (GO:1)\n- [C1] second\n  findings: blue, dead; evidence: E2 (GO:2)\n"
+        "- [C2] third\n  findings: ; evidence: \n\nLimitations: one; two\n\nWarning.\n"
+    )
+    assert got[2] == "Case 2 \u2014 synthesis review note\n\nABSTAINED: no supported finding to report.\nReason: low count\n\nWarning.\n"
+    assert got[3] == "Case 3 \u2014 synthesis review note\n\n\nWarning.\n"
+    plain = {r["case_id"]: r["note"] for r in packets.notes(responses, claims, findings, context).collect()}
+    assert "Limitations" not in plain[1] and plain[3].endswith(packets.ASSIST_WARNING + "\n")
+
+
+def test_entry_survives_a_missing_dependency():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'lexical_rank' in q and 'op1_bpe' not in q and set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
