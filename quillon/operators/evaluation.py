@@ -49,6 +49,21 @@ def unsteady(repeats: DataFrame) -> DataFrame:
     return repeats.groupBy("case_id").agg(F.count_distinct("digest").alias("digests")).where("digests > 1")
 
 
+def prefix_equivalence(a: DataFrame, b: DataFrame, prefixes: Sequence[int] = (0, 1, 2, 5, 10)) -> DataFrame:
+    """case_id, prefix, equal: whether two rankings (case_id, id, rank) of each case begin with the same ids in the same
+    order (X20); prefix null stands for the whole of both. What counts is the first rank where they differ."""
+    both = a.select("case_id", "rank", F.col("id").alias("x")).join(b.select("case_id", "rank", F.col("id").alias("y")), ["case_id", "rank"], "full")
+    first = both.groupBy("case_id").agg(F.min(F.when(~F.col("x").eqNullSafe(F.col("y")), F.col("rank"))).alias("differ"))
+    each = F.explode(F.array(*(F.lit(int(p)) for p in prefixes), F.lit(None).cast("int"))).alias("prefix")
+    same = F.col("differ").isNull() | F.coalesce(F.col("differ") > F.col("prefix"), F.lit(False))
+    return first.select("case_id", "differ", each).select("case_id", "prefix", same.alias("equal"))
+
+
+def within(df: DataFrame, indices: DataFrame, key: str) -> DataFrame:
+    """The rows of an index subset (X15), each once however often the subset names it."""
+    return df.join(indices.select(key).distinct(), key, "left_semi")
+
+
 def permutation_problems(rankings: DataFrame, corpus: DataFrame) -> DataFrame:
     """case_id, n, repeated, foreign, missing: how far each ranking is from a permutation of the corpus."""
     size = corpus.select("id").distinct().agg(F.count("*").alias("size"))

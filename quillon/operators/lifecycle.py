@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +71,24 @@ def admit_jobs(log: DataFrame, key: str, seq: list[str], status: str, terminal:
     return state.where(~F.col("status").isin(terminal)).unionByName(done).select(key, "status")
 
 
+def run_repeats(cases: DataFrame, key: str, given: str, repeats: int, work: Callable[[str], str]) -> DataFrame:
+    """key, repeat, status, output, error: each case's text through the caller's work as often as stated (X24). What fails is
+    a row like others, with the kind and text of its error; nothing is tried twice."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for case, repeat, text in part.itertuples(index=False):
+                try:
+                    rows.append((case, repeat, "ok", work(text), None))
+                except Exception as e:
+                    rows.append((case, repeat, "failed", None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[key, "repeat", "status", "output", "error"])
+
+    every = cases.select(key, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), given)
+    return every.mapInPandas(run, f"{key} {cases.schema[key].dataType.simpleString()}, repeat int, status string, output string, error string")
+
+
 def run_aggregate(runs: DataFrame, repeats: int, recalls: Sequence[str] = (), forbidden: str | None = None) -> DataFrame:
     """run, valid_rate, repeatability (G16): a case repeats if all its repeats ran and its ok outputs are one; further the
     mean of each recall over ok rows (0 without any) and the sum of forbidden hits. runs(run, case_id, status, output)."""

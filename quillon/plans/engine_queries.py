@@ -125,6 +125,14 @@ def ranking_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.permutation_problems(ranked.withColumnRenamed("query_id", "case_id"), index.current)
 
 
+@query(f"with {CORPUS}, a as (select query_id, rank, id from sym where rank <= 10), b as (select query_id, rank, id from hyb where rank <= 10), f as (select query_id, min(rank) filter (where a.id is distinct from b.id) as differ from a full join b using (query_id, rank) group by all), p as (select unnest([0, 1, 2, 5, 10, null]) as prefix) select query_id as case_id, prefix, differ is null or coalesce(differ > prefix, false) as equal from f, p")
+def ranking_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the symbolic and the fused ranking of each query agree."""
+    index, asked = corpus_index(spark, sf_dir), corpus_queries(spark, sf_dir)
+    symbolic, fused = (engine.retrieve(asked, index, mode, 10).withColumnRenamed("query_id", "case_id") for mode in ("symbolic", "hybrid"))
+    return evaluation.prefix_equivalence(symbolic, fused)
+
+
 TRAVERSE = f"with recursive e as ({EDGES}), d as (select concat('R', r_regionkey) as start, concat('R', r_regionkey) as node, 0 as depth from region union select start, child, depth + 1 from d join e on parent = node where depth < 2), u as (select concat('C', c_custkey) as start, concat('C', c_custkey) as node, 0 as depth from customer union select start, parent, depth + 1 from u join e on child = node where depth < 2)"
 
 

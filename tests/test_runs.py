@@ -295,3 +295,20 @@ def test_a_cache_that_is_not_committed_is_none(spark, tmp_path):
         spark.createDataFrame([("x",)], "s string").write.format("array_cache").mode("append").save(str(path))
     spark.createDataFrame([], "id long, v array<double>").write.format("array_cache").mode("append").save(str(path))
     assert spark.read.format("array_cache").load(str(path)).count() == 0
+
+
+def test_repeats_prefixes_and_subsets(spark):
+    def work(text):
+        if text == "bad":
+            raise ValueError("no")
+        return text.upper()
+
+    cases = spark.createDataFrame([(1, "a"), (2, "bad")], "case_id int, text string")
+    got = sorted(map(tuple, lifecycle.run_repeats(cases, "case_id", "text", 2, work).collect()))
+    assert got == [(1, 1, "ok", "A", None), (1, 2, "ok", "A", None), (2, 1, "failed", None, "ValueError: no"), (2, 2, "failed", None, "ValueError: no")]
+    a = spark.createDataFrame([("q", 1, "x"), ("q", 2, "y"), ("q", 3, "z"), ("r", 1, "x")], "case_id string, rank int, id string")
+    b = spark.createDataFrame([("q", 1, "x"), ("q", 2, "y"), ("q", 3, "w"), ("r", 1, "x"), ("r", 2, "y")], "case_id string, rank int, id string")
+    equal = {(r["case_id"], r["prefix"]): r["equal"] for r in evaluation.prefix_equivalence(a, b, (0, 1, 2, 3)).collect()}
+    assert equal == {("q", 0): True, ("q", 1): True, ("q", 2): True, ("q", 3): False, ("q", None): False, ("r", 0): True, ("r", 1): True, ("r", 2): False, ("r", 3): False, ("r", None): False}
+    assert evaluation.prefix_equivalence(a, a).where("not equal").count() == 0
+    assert evaluation.within(a, spark.createDataFrame([("q",), ("q",), ("n",)], "case_id string"), "case_id").count() == 3
