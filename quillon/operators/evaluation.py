@@ -59,7 +59,7 @@ def prefix_equivalence(a: DataFrame, b: DataFrame, prefixes: Sequence[int] = (0,
     return first.select("case_id", "differ", each).select("case_id", "prefix", same.alias("equal"))
 
 
-def within(df: DataFrame, indices: DataFrame, key: str) -> DataFrame:
+def subset(df: DataFrame, indices: DataFrame, key: str) -> DataFrame:
     """The rows of an index subset (X15), each once however often the subset names it."""
     return df.join(indices.select(key).distinct(), key, "left_semi")
 

@@ -148,7 +148,7 @@ def test_jobs_are_forgotten_after_their_end(spark, tmp_path):
     put(spark, f"{tmp_path}/in", "a", [(1, START, 1, "queued"), (1, START, 2, "done"), (2, START, 3, "queued")])
     put(spark, f"{tmp_path}/in", "b", [(3, START + timedelta(hours=5), 4, "queued")])
     put(spark, f"{tmp_path}/in", "c", [(3, START + timedelta(hours=5), 5, "running")])
-    put(spark, f"{tmp_path}/in", "d", [(1, START + timedelta(hours=5), 6, "queued"), (2, START + timedelta(hours=5), 7, "running")])
+    put(spark, f"{tmp_path}/in", "d", [(1, START + timedelta(hours=6), 6, "queued"), (2, START + timedelta(hours=6), 7, "running")])
     with state.stateful(spark):
         jobs = state.jobs(logs.read(spark, f"{tmp_path}/in/*", SCHEMA), ["done"], keep="1 hour")
         logs.drain(jobs, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
@@ -311,4 +311,4 @@ def test_repeats_prefixes_and_subsets(spark):
     equal = {(r["case_id"], r["prefix"]): r["equal"] for r in evaluation.prefix_equivalence(a, b, (0, 1, 2, 3)).collect()}
     assert equal == {("q", 0): True, ("q", 1): True, ("q", 2): True, ("q", 3): False, ("q", None): False, ("r", 0): True, ("r", 1): True, ("r", 2): False, ("r", 3): False, ("r", None): False}
     assert evaluation.prefix_equivalence(a, a).where("not equal").count() == 0
-    assert evaluation.within(a, spark.createDataFrame([("q",), ("q",), ("n",)], "case_id string"), "case_id").count() == 3
+    assert evaluation.subset(a, spark.createDataFrame([("q",), ("q",), ("n",)], "case_id string"), "case_id").count() == 3
