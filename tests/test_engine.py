@@ -50,7 +50,7 @@ def test_modes(spark, index):
     kinds = {r["query_id"]: (r["kind"], r["targets"]) for r in engine.resolved(q, index).collect()}
     assert kinds == {1: ("alternate", ["GO:0000001"]), 2: ("obsolete_replaced_by", ["GO:0000003"]), 3: ("obsolete_unresolved", []), 4: ("unknown_identifier", [])}
     for mode in engine.MODES:
-        full = engine.retrieve(q, index, mode, None)
+        full = engine.retrieve(q, index, mode, None).cache()
         order = {i: [r["id"] for r in full.where(F.col("query_id") == i).orderBy("rank").collect()] for i in range(1, 6)}
         everyone = ["GO:0000001", "GO:0000002", "GO:0000003", "GO:0000005"]
         assert order[1] == everyone and order[2] == ["GO:0000003", "GO:0000001", "GO:0000002", "GO:0000005"] and order[3] == order[4] == everyone
