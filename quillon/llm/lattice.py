@@ -8,9 +8,11 @@ word begins with a space and no piece has one inside, a step's outcomes sum to 1
 marginal probability.
 
 `fitted_score` is a second score whose weights are learnt from the corpus: ROUNDS of expectation maximisation over the
-words of all training documents (a backward recursion tells how often each piece is expected), and one further edge for a
-whole word, with the word's own share of training tokens; these edges have together as much weight as words that occur
-more than once have (Good-Turing), less a little for unknown words. Its outcomes sum to at most 1 as well.
+words that training documents have once (they stand for what is unknown; a backward recursion tells how often each piece
+is expected), and two further edges for a whole word. One has the word's own share of training tokens; these edges have
+together as much weight as words that occur more than once have (Good-Turing), less a little for unknown words. The other
+has the word's share of the document's words before it; these have AGAIN of each step's weight. Its outcomes sum to at
+most 1 as well.
 
 The counts of words are gathered from all documents. The KNOWN most frequent words of at most KNOWN_BYTES, with their
 scores, are sent to the executors (that bounds what is sent); each document's other words meet the word table in a join.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, discard, materialize
 
-SHIFT, ROUNDS, KNOWN, KNOWN_BYTES, FLUSH = 2.7, 1, 100_000, 64, 200_000
+SHIFT, ROUNDS, AGAIN, KNOWN, KNOWN_BYTES, FLUSH = 2.7, 2, 0.15, 100_000, 64, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -1e30
 
@@ -221,35 +223,49 @@ def score(documents: DataFrame, train: Column, vocabulary: str, id_col: str = "d
     top = words.where(f"c > 1 and octet_length(word) <= {KNOWN_BYTES}").orderBy(F.desc("c"), "word").limit(KNOWN).collect()
     known = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["lp"], r["fp"]) for r in top})
     del top
+    # a step's weight is dealt to the document's own words before it and to all words
+    near, rest = AGAIN * (1 - end_share), math.log10(1 - AGAIN)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, line = known.value, TaskContext.get().partitionId(), 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text, is_train in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train")), strict=True):
-                found, uid, base, lp, fp, n = Counter((text or "").encode().lower().split()), part << 40 | line, 0.0, 0.0, 0.0, 0
+                steps = (text or "").encode().lower().split()
+                found, uid, base, lp, fp, n = Counter(steps), part << 40 | line, 0.0, 0.0, 0.0, 0
+                again: dict[bytes, list[float]] = {}
+                if len(found) < len(steps):
+                    seen: dict[bytes, int] = {}
+                    for i, w in enumerate(steps):
+                        k = seen[w] = seen.get(w, 0) + 1
+                        if k > 1:
+                            again.setdefault(w, []).append((k - 1) / i)
                 line += 1
                 for w, k in found.items():
                     if (x := table.get(w)) is not None:
                         base += k * x[0]
                         lp += k * x[1]
-                        fp += k * x[2]
+                        fp += x[2] + rest
+                        if k > 1:
+                            p = 10 ** (x[2] + rest)
+                            fp += sum(math.log10(p + near * share) for share in again[w])
                         n += k
                     else:
-                        rows.append((uid, None, None, None, None, None, None, None, w, k))
-                rows.append((uid, doc_id, is_train, sum(found.values()) + 1, n, base, lp, fp, None, None))
+                        rows.append((uid, None, None, None, None, None, None, None, w, k, again.get(w)))
+                rows.append((uid, doc_id, is_train, len(steps) + 1, n, base, lp, fp, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *(pa.float64(),) * 3, pa.binary(), pa.int64())
-    names = ["uid", "doc_id", "train", "n_tokens", "n", "base", "lp", "fp", "word", "k"]
-    parts = arrow_map(docs, add_up, "uid long, doc_id long, train boolean, n_tokens long, n long, base double, lp double, fp double, word binary, k long")
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *(pa.float64(),) * 3, pa.binary(), pa.int64(), pa.list_(pa.float64()))
+    names = ["uid", "doc_id", "train", "n_tokens", "n", "base", "lp", "fp", "word", "k", "again"]
+    parts = arrow_map(docs, add_up, "uid long, doc_id long, train boolean, n_tokens long, n long, base double, lp double, fp double, word binary, k long, again array<double>")
     parts = materialize(parts, "parts")
     times = lambda c: F.sum(F.col("k") * words[c])
-    rare = parts.where("word is not null").select("uid", "word", "k").join(words, "word").groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n2"), times("base").alias("base2"), times("lp").alias("lp2"), times("fp").alias("fp2")
+    repeats = F.aggregate(F.coalesce("again", F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + F.log10(F.pow(F.lit(10.0), F.col("fp") + rest) + near * x))
+    rare = parts.where("word is not null").select("uid", "word", "k", "again").join(words, "word").groupBy("uid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n2"), times("base").alias("base2"), times("lp").alias("lp2"), F.sum(F.col("fp") + rest + repeats).alias("fp2")
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    full = parts.where("word is null").drop("word", "k").join(rare, "uid", "left")
+    full = parts.where("word is null").drop("word", "k", "again").join(rare, "uid", "left")
     end = F.lit(math.log10(end_share))
     out = full.select(
         "doc_id", "train", "n_tokens", (F.col("n") + none("n2") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
@@ -262,7 +278,7 @@ def score(documents: DataFrame, train: Column, vocabulary: str, id_col: str = "d
 
 
 def _expectation(counts: DataFrame, sent, log: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """One round: expected counts of the pieces over all words of the training documents, with a little of the prior."""
+    """One round: expected counts of the pieces over the words that training documents have once, with a little of the prior."""
     sent_log = counts.sparkSession.sparkContext.broadcast(log)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +292,7 @@ def _expectation(counts: DataFrame, sent, log: np.ndarray, prior: np.ndarray) ->
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.float64())], ["piece", "x"])
 
-    rows = arrow_map(counts.where("c > 0"), run, "piece int, x double", rows=10_000).groupBy("piece").agg(F.sum("x").alias("x")).collect()
+    rows = arrow_map(counts.where("c = 1"), run, "piece int, x double", rows=10_000).groupBy("piece").agg(F.sum("x").alias("x")).collect()
     found = np.zeros(len(log))
     for r in rows:
         found[r["piece"]] = r["x"]

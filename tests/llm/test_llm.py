@@ -443,6 +443,28 @@ def test_lattice_is_never_infinite(spark):
     assert len(got) == 5 and all(-1000 < x < 0 for r in got.values() for x in r)
 
 
+def test_lattice_repeats_in_a_document(spark):
+    words = [f"w{i}x{i * i}" for i in range(300)]
+    train = [(i, " ".join(words[i : i + 3] * 2)) for i in range(0, 300, 3)]
+    df = spark.createDataFrame([*train, (1000, "zqua zqub zqua zqua w1x1 w1x1 w1x1"), (1001, "zqua zqub"), (1002, "w1x1 w1x1 w1x1")], "doc_id long, text string")
+    scored = lattice.score(df, F.col("doc_id") < 1000, P.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["fitted_score"] for r in scored.collect()}
+    n, ends = 600, 100
+    end = (ends + 1) / (n + ends + 2)
+    near, rest, e = lattice.AGAIN * (1 - end), math.log10(1 - lattice.AGAIN), math.log10(end)
+    # the known word's own weight follows from three of it
+    one = next(x / 1000 for x in range(-8000, 0) if _three(x / 1000, rest, near) >= got[1002] - e)
+    unknown = got[1001] - e  # zqua and zqub, each once
+    alone = got[1000] - unknown - e
+    # two more of zqua at 1/2 and 2/3 of the words before, then the known word after 4 words: new, 1/5, 2/6
+    want = math.log10(near / 2) + math.log10(near * 2 / 3) + one + rest + math.log10(10 ** (one + rest) + near / 5) + math.log10(10 ** (one + rest) + near * 2 / 6)
+    assert abs(alone - want) < 0.01
+
+
+def _three(one, rest, near):
+    return one + rest + 2 * math.log10(10 ** (one + rest) + near)
+
+
 def test_lattice_has_long_pieces():
     m = lattice.Pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
     assert " является".encode() in m.pieces and m.longest == max(map(len, m.pieces)) > 16

@@ -116,3 +116,10 @@ def test_lm_scoring(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (remainder(r["doc_id"], 7) == 2, len(d), sum(w in c for w in d), n)
         assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in d)) < 1e-6 * max(1, len(d))
         assert math.isfinite(r["score"]) and r["score"] <= 0
+
+
+def test_lm_scores_of_held_out_texts_are_near_the_base(spark):
+    held = [r for r in QUERIES["op10_lm_scoring"](spark, LARGER).collect() if r["held_out"]]
+    per_token = lambda c: sum(r[c] for r in held) / sum(r["n_tokens"] for r in held)
+    assert all(r["score"] is not None and math.isfinite(r["score"]) for r in held)
+    assert per_token("score") > 1.15 * per_token("base_score")
