@@ -120,6 +120,25 @@ def test_many_boxes_of_one_image(spark):
     assert hits.count() == n and hits.where("hit").count() == n - n // 3  # a shift by 6 of 10 leaves too little
 
 
+def test_small_groups_of_boxes_write_nothing_by_pairs(spark, monkeypatch):
+    """Boxes of small groups are matched without a table of pairs; large ones beside them in rounds, with the same result."""
+    rng = random.Random(8)
+    data = [(i, float(rng.randint(0, 30)), float(rng.randint(0, 3)), float(rng.randint(8, 14)), rng.choice([0.5, 0.9, None, rng.random()])) for i in range(240)]
+    df = spark.createDataFrame(data, "i long, x double, y double, w double, conf double").selectExpr("case when i < 80 then 1L when i < 230 then i % 7 + 2 end image", "0 cls", "i", "x", "y", "w", "conf")
+    t = df.selectExpr("image", "cls", "i truth_id", "named_struct('x1', x, 'y1', y, 'x2', x + w, 'y2', y + w) truth")
+    d = df.selectExpr("image", "cls", "i det_id", "conf", "named_struct('x1', x + 1, 'y1', y, 'x2', x + w + 1, 'y2', y + w) box")
+    seen = []
+    rounds = matching._matched_in_rounds
+    monkeypatch.setattr(matching, "_matched_in_rounds", lambda *a: seen.append(1) or rounds(*a))
+    hits = lambda: sorted((r["det_id"], r["hit"]) for r in matching.box_matches(d, t).collect())
+    whole = hits()
+    assert not seen and len(whole) == 240 and 100 < sum(h for _, h in whole) < 230
+    for few in (100, 0):
+        monkeypatch.setattr(matching, "FEW", few)
+        assert hits() == whole
+    assert len(seen) == 2
+
+
 def test_detector_threshold(spark):
     hits = spark.createDataFrame([(0, 0.9, True), (0, 0.8, False), (1, 0.7, True), (1, 0.6, True)], "cls int, conf double, hit boolean")
     truths = spark.createDataFrame([(0,), (1,), (1,)], "cls int")
