@@ -50,3 +50,21 @@ def test_two_measures_are_fused_without_whole_rankings(spark):
     want = retrieval.reciprocal_rank_fusion([by_cosine, by_id]).where("rank <= 10")
     key = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
     assert key(fusion.fused_lists(lists, 10)) == key(want)
+
+
+def test_copies_of_a_text_are_ranked_once(spark):
+    from quillon.operators import engine
+
+    rng = random.Random(7)
+    words = ["red", "blue", "ring", "rod", "a", "big ring"]
+    terms = [(i, f"{rng.choice(words)} {rng.choice(words)}" if i % 9 else "Ring", "d", i % 11 == 0) for i in range(300)]
+    t = spark.createDataFrame(terms, "id long, name string, definition string, obsolete boolean")
+    synonyms = spark.createDataFrame([(i, rng.choice(words)) for i in range(0, 300, 2)], "id long, value string")
+    index = engine.build(t, synonyms, spark.createDataFrame([], "id long, kind string, target long"))
+    queries = spark.createDataFrame([(i, rng.choice(["ring", " Red rod ", "blue", "", "big ring red", "none", "in"])) for i in range(60)], "query_id long, query string")
+    want = retrieval.rank_by(engine.lexical(queries, index), "query_id", "score", "id", 7)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert key(engine.lexical_top(queries, index, 7)) == key(want)
+    # the rows that are ranked grow with distinct texts, not with queries or terms
+    texts, first = engine._texts(index.aliases, 7)
+    assert texts.aliases.count() == index.aliases.select("alias", "is_name").distinct().count() < 50 and first.groupBy("text").count().agg(F.max("count")).first()[0] == 7
