@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import fusion, retrieval
+from quillon.operators import evaluation, fusion, retrieval
 
 
 def test_first_rows_of_a_task_are_few_and_exact():
@@ -68,3 +68,30 @@ def test_copies_of_a_text_are_ranked_once(spark):
     # the rows that are ranked grow with distinct texts, not with queries or terms
     texts, first = engine._texts(index.aliases, 7)
     assert texts.aliases.count() == index.aliases.select("alias", "is_name").distinct().count() < 50 and first.groupBy("text").count().agg(F.max("count")).first()[0] == 7
+
+
+def test_cases_of_a_common_text_are_no_pairs(spark):
+    rng = random.Random(8)
+    terms = spark.createDataFrame([(i, i % 7 == 0) for i in range(120)], "id long, obsolete boolean")
+    aliases = [(rng.choice(["Ring", "rod", f"own {i}"]), i, rng.choice([None, "EXACT", "BROAD"])) for i in range(120) for _ in range(2)]
+    held = lambda text, scoped: {i for a, i, s in aliases if a.lower() == text and i % 7 and (s or not scoped)}
+    cases = []
+    for c in range(150):
+        kind, text = ("synonym", "ambiguous", "rare")[c % 3], rng.choice(["RING", "rod", f"Own {c % 120}", "none"])
+        right = sorted(held(text.lower(), kind != "rare"))
+        cases.append((c, kind, text, None, "EXACT", None, 0, rng.choice([right, right[:-1], [*right, 500], [c % 120]]) if c % 5 else [], 1, []))
+    cases += [(3, "rare", "rod", None, None, None, 0, sorted(held("rod", False)), 1, []), (200, None, "rod", None, None, None, 0, [1], 1, [])]
+    c = spark.createDataFrame(cases, "case_id long, case_type string, query string, kind string, scope string, direction string, depth int, gold_ids array<long>, alias_max int, eligible_metrics array<string>")
+    a = spark.createDataFrame(aliases, "alias string, id long, scope string")
+    redirects, edges = spark.createDataFrame([], "id long, kind string, target long"), spark.createDataFrame([], "parent long, child long, relation string")
+    golds, want = {}, {}
+    for r in cases:
+        golds.setdefault(r[0], set()).update(r[7])
+        want.setdefault(r[0], set()).update(held(r[2].lower(), r[1] != "rare") if r[1] else ())
+    got = {r["case_id"] for r in evaluation.benchmark_problems(c, terms, redirects, a, edges).where("rule = 'gold'").collect()}
+    assert got == {k for k in golds if golds[k] != want[k]} and 0 < len(got) < len(golds)
+    # a case's targets are listed only where they are no more than its golds
+    gold = c.select("case_id", F.explode("gold_ids").alias("id")).distinct()
+    more, rest = evaluation.crowded(c, gold, terms, a)
+    listed = evaluation.benchmark_targets(rest, terms, redirects, a, edges)
+    assert more.count() and listed.count() <= gold.count() < evaluation.benchmark_targets(c, terms, redirects, a, edges).count()
