@@ -95,3 +95,26 @@ def test_cases_of_a_common_text_are_no_pairs(spark):
     more, rest = evaluation.crowded(c, gold, terms, a)
     listed = evaluation.benchmark_targets(rest, terms, redirects, a, edges)
     assert more.count() and listed.count() <= gold.count() < evaluation.benchmark_targets(c, terms, redirects, a, edges).count()
+
+
+def test_whole_rankings_are_counted_without_listing_them(spark):
+    from quillon.operators import engine
+
+    rng = random.Random(9)
+    words = ["red", "blue", "ring", "rod", "big ring", "in"]
+    go = lambda i: f"GO:{i:07d}"
+    terms = spark.createDataFrame([(go(i), f"{rng.choice(words)} {rng.choice(words)}", "d", i % 6 == 0) for i in range(200)], "id string, name string, definition string, obsolete boolean")
+    synonyms = spark.createDataFrame([(go(i), rng.choice(words)) for i in range(0, 200, 2)], "id string, value string")
+    # targets that aren't current are foreign to the corpus
+    redirects = spark.createDataFrame([(go(6), "replaced_by", go(12)), (go(18), "consider", go(7)), (go(18), "consider", go(24)), (go(900), "alt_id", go(9))], "id string, kind string, target string")
+    index = engine.build(terms, synonyms, redirects)
+    texts = [go(7), go(6), go(18), go(900), go(999), "ring", " Red rod ", "", None, "big ring red", "none", "in"]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "query_id long, query string")
+    want = evaluation.permutation_problems(engine.symbolic(queries, index, None).withColumnRenamed("query_id", "case_id"), index.current)
+    heads = engine.symbolic_heads(queries, index)
+    got = evaluation.completed_problems(heads.withColumnRenamed("query_id", "case_id"), index.current)
+    key = lambda df: sorted(tuple(r[c] for c in ("case_id", "n", "repeated", "foreign", "missing")) for r in df.collect())
+    assert key(got) == key(want) and sum(r[3] for r in key(got)) == 4
+    # classes of ids are as many as there are sets of texts
+    _, classes = retrieval.text_classes(index.aliases)
+    assert classes.agg(F.sum("size")).first()[0] == index.current.count() > classes.count()
