@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import evaluation, fusion, retrieval
+from quillon.operators import engine, evaluation, fusion, retrieval
 
 
 def test_first_rows_of_a_task_are_few_and_exact():
@@ -53,8 +53,6 @@ def test_two_measures_are_fused_without_whole_rankings(spark):
 
 
 def test_copies_of_a_text_are_ranked_once(spark):
-    from quillon.operators import engine
-
     rng = random.Random(7)
     words = ["red", "blue", "ring", "rod", "a", "big ring"]
     terms = [(i, f"{rng.choice(words)} {rng.choice(words)}" if i % 9 else "Ring", "d", i % 11 == 0) for i in range(300)]
@@ -98,8 +96,6 @@ def test_cases_of_a_common_text_are_no_pairs(spark):
 
 
 def test_whole_rankings_are_counted_without_listing_them(spark):
-    from quillon.operators import engine
-
     rng = random.Random(9)
     words = ["red", "blue", "ring", "rod", "big ring", "in"]
     go = lambda i: f"GO:{i:07d}"
@@ -118,3 +114,17 @@ def test_whole_rankings_are_counted_without_listing_them(spark):
     # classes of ids are as many as there are sets of texts
     _, classes = retrieval.text_classes(index.aliases)
     assert classes.agg(F.sum("size")).first()[0] == index.current.count() > classes.count()
+
+
+def sent(df):
+    """Joins of a plan, as it ran, whose one side was sent to all."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_building_an_index_sends_none_of_its_tables(spark):
+    from quillon.plans import engine_queries
+
+    tables = engine_queries._corpus_tables(spark, "/root/testdata/sf0.001")
+    index = engine.build(*tables)
+    assert [sent(df) for df in (*tables, index.aliases, index.grams, index.names, index.redirects, index.vectors)] == [0] * 9
