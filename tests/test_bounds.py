@@ -128,3 +128,20 @@ def test_building_an_index_sends_none_of_its_tables(spark):
     tables = engine_queries._corpus_tables(spark, "/root/testdata/sf0.001")
     index = engine.build(*tables)
     assert [sent(df) for df in (*tables, index.aliases, index.grams, index.names, index.redirects, index.vectors)] == [0] * 9
+
+
+def test_scores_are_added_up_by_classes_of_ids(spark, monkeypatch):
+    rng = random.Random(10)
+    words = ["Red", "blue", "ring", "rod", "big ring", "in", ""]
+    aliases = [(i, f"{rng.choice(words)} {rng.choice(words)}".strip(), True) for i in range(300)] + [(i, rng.choice(words), rng.random() < 0.2) for i in range(300) for _ in range(rng.randrange(3))]
+    a = spark.createDataFrame(aliases, "id long, alias string, is_name boolean")
+    queries = spark.createDataFrame([(q,) for q in ("ring", " Red rod ", "", "big ring red", "none", "in", "RING")], "query string")
+    want = {}
+    for r in retrieval.lexical_scores(queries, a).collect():
+        n, total = want.get(r["query"], (0, 0))
+        want[r["query"]] = (n + 1, total + r["score"])
+    met, plain = [], retrieval.lexical_scores
+    monkeypatch.setattr(retrieval, "lexical_scores", lambda q, t: met.append(t.count()) or plain(q, t))
+    got = {r["query"]: (r["n"], r["total"]) for r in retrieval.lexical_totals(queries, a).collect()}
+    # queries meet each text once
+    assert got == want and met == [len({(t.lower(), n) for _, t, n in aliases})] and met[0] < 100
