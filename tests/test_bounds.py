@@ -145,3 +145,13 @@ def test_scores_are_added_up_by_classes_of_ids(spark, monkeypatch):
     got = {r["query"]: (r["n"], r["total"]) for r in retrieval.lexical_totals(queries, a).collect()}
     # queries meet each text once
     assert got == want and met == [len({(t.lower(), n) for _, t, n in aliases})] and met[0] < 100
+
+
+def test_findings_evidence_sends_no_table_of_terms(spark):
+    terms = spark.createDataFrame([(f"GO:{i:07d}", f"ring {i}", "d", i % 5 == 0) for i in range(50)], "id string, name string, definition string, obsolete boolean")
+    redirects = spark.createDataFrame([("GO:0000005", "consider", "GO:0000006"), ("GO:0000090", "alt_id", "GO:0000007")], "id string, kind string, target string")
+    asked = spark.createDataFrame([(f"GO:{i:07d}",) for i in (5, 10, 11, 90, 91)], "query string")
+    found = retrieval.resolve(asked, terms, redirects)
+    assert sent(found) == 0
+    assert {(r["query"][-2:], r["kind"], *r["targets"]) for r in found.collect()} == {("05", "obsolete_consider", "GO:0000006"), ("10", "obsolete_unresolved"), ("11", "canonical", "GO:0000011"), ("90", "alternate", "GO:0000007"), ("91", "unknown_identifier")}
+    assert sent(engine.describe(terms.select("id", F.lit(1).alias("rank")), terms)) == 0
